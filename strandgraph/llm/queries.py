@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, license_rules
+from . import decontam, license_rules, packing, shard_table, warc_bundles
 from .common import table
 
 
+def op3_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, slot, shard."""
+    return shard_table.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "slot", "shard")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_rules.digest(license_rules.scan_licences(docs, keep=["doc_id"]))
 
 
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.digest(decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"]))
 
 
+def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_bundles.digest(warc_bundles.read_bundles(warc_bundles.write_bundles(table(spark, sf_dir, "pages"))))
+
+
 def queries():
-    return {f.__name__: f for f in (op5_license_scan, op7_decontaminate)}
+    return {f.__name__: f for f in (op3_shard_placement, op5_license_scan, op6_pack, op7_decontaminate, op10_warc_bundles)}
 
 
 def oracle_sql():
