@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, license_rules, packing, shard_table, warc_bundles
+from . import decontam, license_rules, packing, shard_table, warc_bundles, zstd_quality
 from .common import table
 
 
@@ -14,6 +14,12 @@ def op3_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "slot", "shard")
 
 
+def op4_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = zstd_quality.fit(*zstd_quality.training_rows(docs, table(spark, sf_dir, "labels")))
+    return zstd_quality.digest(zstd_quality.score(docs, model, keep=["doc_id"]))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_rules.digest(license_rules.scan_licences(docs, keep=["doc_id"]))
@@ -33,7 +39,7 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op3_shard_placement, op5_license_scan, op6_pack, op7_decontaminate, op10_warc_bundles)}
+    return {f.__name__: f for f in (op3_shard_placement, op4_quality_score, op5_license_scan, op6_pack, op7_decontaminate, op10_warc_bundles)}
 
 
 def oracle_sql():
