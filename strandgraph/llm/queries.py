@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, license_rules, packing, shard_table, warc_bundles, zstd_quality
+from . import decontam, license_rules, packing, quality_mcd, shard_table, warc_bundles, zstd_quality
 from .common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mcd.digest(quality_mcd.judge(table(spark, sf_dir, "documents")))
+
+
 def op3_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, slot, shard."""
     return shard_table.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "slot", "shard")
@@ -39,7 +43,7 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op3_shard_placement, op4_quality_score, op5_license_scan, op6_pack, op7_decontaminate, op10_warc_bundles)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_shard_placement, op4_quality_score, op5_license_scan, op6_pack, op7_decontaminate, op10_warc_bundles)}
 
 
 def oracle_sql():
