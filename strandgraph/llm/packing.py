@@ -22,41 +22,97 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bytewords as B
 from .common import stage
 
 CAPACITY = 4096
 GRID = 32
 END_ID = 2
-#: Distinct words whose ids a worker keeps; beyond that its memory of words starts anew.
-CACHED_WORDS = 400_000
+#: Distinct parts of words whose ids a generation of a worker's memory holds.
+CACHED_PARTS = 400_000
+CHUNK_BYTES = 4 << 20
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class WordIds:
-    """Ids of texts through a bounded memory of words' ids.
+    """Ids of whole texts through a bounded memory of the ids of their parts.
 
-    The tokenizer drops white space and no token spans it, so a text's ids are its words' ids one after another.
+    The tokenizer drops white space and case, no token spans white space, and none spans an ASCII letter or digit and
+    punctuation after it. So a text is cut into words, and words into stem and closing punctuation; a chunk's distinct
+    parts (told apart by 64-bit hashes, within the chunk alone) are looked up or encoded once, and ids are gathered by
+    array operations. Unknown parts are encoded together, between marks that they do not hold. Chunks that could hold a
+    special token are encoded text by text.
     """
 
-    def __init__(self, path: str, limit: int = CACHED_WORDS):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+    TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
+    MARK = b"\x01"
 
-    def learn(self, found: set[bytes]) -> None:
-        new = list(found - self.known.keys())
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = list(found)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, "<u4").tobytes()
+    def __init__(self, path: str, limit: int = CACHED_PARTS):
+        from tokenizers import Tokenizer
 
-    def encode(self, words: list[bytes]) -> bytes:
-        """Little-endian 32-bit ids; the words must have been learnt."""
-        return b"".join(map(self.known.__getitem__, words))
+        self.tokenizer, self.limit, self.young, self.old = Tokenizer.from_file(path), limit, {}, {}
+        (self.mark,) = self.tokenizer.encode(self.MARK.decode(), add_special_tokens=False).ids
+        self.closing = np.isin(np.arange(256), list(self.TAIL))
+        self.alnum = np.array([chr(b).isalnum() and b < 0x80 for b in range(256)])
+
+    def parts(self, texts: B.Texts) -> B.Words:
+        """Words, those that end in punctuation after an ASCII letter or digit in two parts."""
+        found = B.words(texts, B.SPACES)
+        if not len(found.starts):
+            return found
+        last = np.where(self.closing[texts.data], -1, np.arange(len(texts.data)))
+        np.maximum.accumulate(last, out=last)
+        stem = last[found.ends - 1] + 1
+        two = (stem > found.starts) & (stem < found.ends)
+        two[two] = self.alnum[texts.data[stem[two] - 1]]
+        # Parts stand one after another, so sorted starts and sorted ends belong together.
+        starts = np.sort(np.concatenate((found.starts, stem[two])))
+        ends = np.sort(np.concatenate((found.ends, stem[two])))
+        return B.Words(starts, ends, np.searchsorted(starts, texts.offsets))
+
+    def look_up(self, parts: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each part. What was not asked for in two generations is forgotten."""
+        out = [self.young.get(p) for p in parts]
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        if len(self.young) + len(missing) > self.limit:
+            self.young, self.old = {}, self.young
+        new = []
+        for i in missing:
+            out[i] = self.old.get(parts[i])
+            if out[i] is None:
+                new.append(i)
+        together = [i for i in new if self.MARK not in parts[i]]
+        for i in set(new).difference(together):
+            out[i] = np.array(self.tokenizer.encode(parts[i].decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        for lo in range(0, len(together), 512):
+            some = together[lo : lo + 512]
+            ids = np.array(self.tokenizer.encode(b" \x01 ".join([parts[i] for i in some]).decode(), add_special_tokens=False).ids, "<u4")
+            packed, start = ids.tobytes(), 0
+            for i, end in zip(some, [*np.flatnonzero(ids == self.mark).tolist(), len(ids)], strict=True):
+                out[i] = packed[4 * start : 4 * end]
+                start = end + 1
+        self.young.update((parts[i], out[i]) for i in missing)
+        return out
+
+    def encode(self, texts: B.Texts) -> tuple[bytes, np.ndarray]:
+        """All ids of a chunk, and where each row's begin among them (one more at the end)."""
+        raw = texts.data.tobytes()
+        if b"<|" in raw:
+            rows = [np.array(self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids, "<u4") for a, b in zip(texts.offsets[:-1], texts.offsets[1:])]
+            return b"".join(r.tobytes() for r in rows), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+        found = self.parts(texts)
+        if not len(found.starts):
+            return b"", np.zeros(texts.n + 1, np.int64)
+        _, first, each = np.unique(B.word_hashes(texts, found), return_index=True, return_inverse=True)
+        low = raw.lower()
+        ids = self.look_up([low[a:b] for a, b in zip(found.starts[first].tolist(), found.ends[first].tolist())])
+        sizes = np.array([len(x) for x in ids], np.int64) // 4
+        begin = np.cumsum(sizes) - sizes
+        size = sizes[each]
+        total = np.concatenate(([0], np.cumsum(size)))
+        at = np.repeat(begin[each] - total[:-1], size) + np.arange(total[-1])
+        return np.frombuffer(b"".join(ids), "<u4")[at].tobytes(), total[found.rows]
 
 
 @cache
@@ -83,16 +139,15 @@ def tokenize_and_cut(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc
         memory = word_ids(tokenizer_path)
         for batch in batches:
             origin, rows = [], []
-            texts = batch.column(1)
-            for lo in range(0, len(texts), 256):
-                split = [(t.as_py() or "").encode().split() for t in texts.slice(lo, 256)]
-                memory.learn(set().union(*split))
-                for i, words in enumerate(split, lo):
-                    ids = memory.encode(words) + end
-                    total, start = len(ids) // 4, 0
+            for texts in B.chunks(batch.column(1), CHUNK_BYTES):
+                ids, bounds = memory.encode(texts)
+                for i, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()), texts.first):
+                    total, start = hi - lo + 1, 0
                     for length in cut(total):
+                        stop = min(lo + start + length, hi)
+                        crc = zlib.crc32(ids[4 * (lo + start) : 4 * stop])
                         origin.append(i)
-                        rows.append((start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), total))
+                        rows.append((start, length, zlib.crc32(end, crc) if start + length == total else crc, total))
                         start += length
             yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), pa.array(origin, pa.int64())), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(4))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
