@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bwt_dedup, decontam, license_rules, packing, quality_mcd, shard_table, warc_bundles, zstd_quality
+from . import bwt_dedup, decontam, jaccard_join, license_rules, packing, quality_mcd, shard_table, warc_bundles, zstd_quality
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"]))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.digest(jaccard_join.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bwt_dedup.digest(bwt_dedup.removal(docs, keep=["doc_id"]))
@@ -48,7 +52,7 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality_rules, op3_shard_placement, op4_quality_score, op5_license_scan, op6_pack, op7_decontaminate, op9_repeated_passages, op10_warc_bundles)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_shard_placement, op4_quality_score, op5_license_scan, op6_pack, op7_decontaminate, op8_jaccard_join, op9_repeated_passages, op10_warc_bundles)}
 
 
 def oracle_sql():
