@@ -60,30 +60,10 @@ def word_array(text: Column) -> Column:
     return F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE_CLASS}+"))
 
 
-def covered(places: Column, width: int = REPEAT_WINDOW) -> Column:
-    """Size of the union of [p, p + width) over sorted places."""
-    zero = F.struct(F.lit(-width).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
-    step = lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(width).cast("long"), p - a["last"])).alias("n"))
-    return F.aggregate(places, zero, step, lambda a: a["n"])
-
-
-def repeated_words(words: Column) -> Column:
-    """Words in three-word windows found twice or more.
-
-    Windows are hashed; hash and place are packed into one long each and sorted, so equal windows are neighbours. Packing
-    drops as many hash bits as places need: where two unlike windows then look alike, the text is done again with
-    hashes unpacked.
-    """
-
-    def by_hash(h: Column) -> Column:
-        bits = F.length(F.bin(F.size(h)))
-        mask = F.lit(1).cast("long") * F.expr("0L")  # replaced below: shifts by a column need SQL
-        return bits, mask
-
-    return F.expr(REPEAT_SQL.format(words="words"))
-
-
-#: lambda arguments: h hashes by place, b bits of a place, s packed and sorted, d packed and repeated.
+#: Words in three-word windows found twice or more. Windows are hashed; hash and place are packed into one long each and
+#: sorted, so equal windows are neighbours. Packing drops as many hash bits as places need: where two unlike windows then
+#: look alike, the text is done again with whole hashes. Names: h hashes by place, b bits of a place, s packed and
+#: sorted, d those packed ones that repeat.
 REPEAT_SQL = """
 CASE WHEN size({words}) < 4 THEN 0L ELSE
 transform(array(transform(sequence(0, size({words}) - 3), i -> xxhash64({words}[i], {words}[i + 1], {words}[i + 2]))), h ->
@@ -213,9 +193,8 @@ def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     estimate = stage(first_estimate(keyed), "estimate")
     for _ in range(STEPS):
         estimate = stage(concentrate(keyed, estimate), "estimate")
-    scale = chain(keyed.join(estimate, "group_key"), distance_sql()).withColumn("bin", F.expr(BIN_SQL)).groupBy("group_key", "lang_key", "source_key").agg(F.count("*").alias("n"), F.expr("count(bin)").alias("nb"))
     middle = chain(keyed.join(estimate, "group_key"), distance_sql()).withColumn("bin", F.expr(BIN_SQL)).groupBy("group_key").agg(F.expr("percentile(bin, 0.5)").alias("middle"), F.count("*").alias("members"))
-    models = stage(scale.select("group_key", "lang_key", "source_key").join(estimate, "group_key").join(middle, "group_key").withColumn("factor", F.expr(f"greatest(exp(middle / {float(DISTANCE_SCALE)}) - 1, 1e-9) / {CHI2_MEDIAN}")), "models")
+    models = stage(keyed.select("group_key", "lang_key", "source_key").distinct().join(estimate, "group_key").join(middle, "group_key").withColumn("factor", F.expr(f"greatest(exp(middle / {float(DISTANCE_SCALE)}) - 1, 1e-9) / {CHI2_MEDIAN}")), "models")
     judged = chain(rows.join(models, ["lang_key", "source_key"], "left"), distance_sql()).withColumn("distance", F.expr("CASE WHEN NOT base_failed THEN d2 / greatest(factor, 1.0) END"))
     kept = F.expr(f"NOT base_failed AND (members < {MIN_POOL} OR distance <= {CUT})")
     return judged.select("doc_id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bwt_dedup, decontam, jaccard_join, license_rules, packing, quality_mcd, shard_table, warc_bundles, zstd_quality
+from . import bwt_dedup, decontam, html_crf, jaccard_join, license_rules, packing, quality_mcd, shard_table, warc_bundles, zstd_quality
 from .common import table
 
 
@@ -13,6 +13,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mcd.digest(quality_mcd.judge(table(spark, sf_dir, "documents")))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars."""
+    return html_crf.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
+
+
 def op3_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, slot, shard."""
     return shard_table.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "slot", "shard")
@@ -52,7 +57,7 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality_rules, op3_shard_placement, op4_quality_score, op5_license_scan, op6_pack, op7_decontaminate, op8_jaccard_join, op9_repeated_passages, op10_warc_bundles)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_shard_placement, op4_quality_score, op5_license_scan, op6_pack, op7_decontaminate, op8_jaccard_join, op9_repeated_passages, op10_warc_bundles)}
 
 
 def oracle_sql():
