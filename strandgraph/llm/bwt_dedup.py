@@ -6,20 +6,18 @@ An anchor depends on the window's own bytes only, so equal windows have equal an
 start at anchors, one in about SPAN / 2 bytes, are the ones that are sorted; the windows that share an anchor are a
 stretch of consecutive starts.
 
-Shards. A task cuts its rows into shards. A suffix is read as meta-symbols: hashes of its bytes up to each of DEPTHS, the
-last being what all windows of an anchor hold to the right of it at least. A shard is sorted in that order; beside each
-suffix stands its transform symbol, the hash of the bytes that precede it in its stretch, and the hash of what
-follows up to the stretch's end.
-
-Merge. The shards' transforms are interleaved by refinement: at each depth, intervals of suffixes (of all shards) that
-agree up to it are counted; an interval of one suffix is settled and leaves, the others are refined at the next depth.
-Suffixes are never sorted again: only interval sizes are exchanged, combined in each task before they are shuffled. What
-is left are the repeated intervals, whose suffixes share at least the last depth as common prefix.
-
-Repeats. In a repeated interval, suffixes with the same transform symbol and the same right extension have all their
-windows repeated. Only where an interval holds different symbols or extensions, and one of them once, are its windows
-compared byte by byte offset: one representative each goes back to its text and states a hash for each window. Equality
-is by two independent 64-bit hashes (of the interval and of the class or window).
+Shards. A task cuts its rows into shards. A suffix is read as a meta-symbol, the hash of its first DEPTH bytes (what all
+windows of an anchor hold to the right of it at least), then what follows. A shard is sorted in that order; beside each
+suffix stands its transform symbol, the hash of the bytes that precede it in its stretch and of those that follow up to the
+stretch's end.
+
+Merge. The shards' transforms are interleaved by refinement, from a common prefix of DEPTH bytes to one of WINDOW bytes.
+At each depth, intervals of suffixes of all shards that agree up to it are counted: an interval of one suffix is settled
+(nothing repeats) and leaves; suffixes of an interval that agree to both sides, as far as their windows reach, are
+settled too (all their windows repeat); only torn intervals, which hold suffixes that differ somewhere, one of them
+single, go on to the next depth, with one suffix for each kind. Suffixes are never sorted again: only interval sizes are
+exchanged, combined in each task before they are shuffled. The depths are DEPTH bytes for whole stretches; then, for
+blocks of BLOCK windows counted from the anchor, what the block's windows have in common; then each window of its own. Equality is by two independent 64-bit hashes.
 
 Defined results: null text is the empty text; texts shorter than the window lose nothing; rows that repeat a text are
 repeats of each other (both lose what they share, as the contract's "starts anywhere else" says), also with the same or a null doc_id;
@@ -31,18 +29,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytewords as B
-from .common import drop, map_rows, stage
+from .common import drop, fresh, map_rows, squeezed, stage
 
 WINDOW = 400
 GRAM = 16
 #: A power of two; SPAN + GRAM is less than WINDOW.
 SPAN = 256
-DEPTHS = (72, WINDOW - SPAN + 1)
+DEPTH = WINDOW - SPAN + 1
+BLOCK = 16
 PART = 1 << 20
 
 BASE = 0x9FB21C651E98DF25
@@ -104,100 +104,134 @@ def stretches(texts: B.Texts, stops: np.ndarray, hashes: Prefixes) -> tuple[np.n
     return row[first], start[first], start[last], anchor[first]
 
 
-SUFFIXES = "doc long, row long, first int, windows int, d0 long, d1 long, symbol long"
-_ARROW = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("first", pa.int32()), ("windows", pa.int32()), ("d0", pa.int64()), ("d1", pa.int64()), ("symbol", pa.int64())])
-NO_ID = -(1 << 63)
+SUFFIXES = "row long, first int, windows int, lead int, prefix long, symbol long"
+_ARROW = pa.schema([("row", pa.int64()), ("first", pa.int32()), ("windows", pa.int32()), ("lead", pa.int32()), ("prefix", pa.int64()), ("symbol", pa.int64())])
 
 
-def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc and row: a key that only rows of the same doc_id and text share. They have the same result."""
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit("")), F.lit("row")).alias("row"), F.col(text).alias("text"))
+def row_key(doc_id: str, text: str):
+    """A key that only rows of the same doc_id and text share: they have the same result."""
+    return F.xxhash64(F.col(f"`{doc_id}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit("row"))
 
 
 def shard_transforms(rows: DataFrame) -> DataFrame:
-    """Sorted suffixes with their transform symbols, shard after shard."""
+    """Sorted suffixes with their transform symbols, shard after shard. rows: row and text."""
 
     def run(batches):
         for batch in batches:
-            doc, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for texts in B.chunks(batch.column(2)):
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            for texts in B.chunks(batch.column(1)):
                 for origin, piece, begin, stops in parts(texts):
                     if not stops.sum():
                         continue
                     hashes = Prefixes(piece.data)
                     row, first, last, anchor = stretches(piece, stops, hashes)
-                    depth = [hashes.of(anchor, anchor + d) for d in DEPTHS]
-                    symbol = B.mix(hashes.of(first, anchor) * np.uint64(3) + hashes.of(anchor, last + WINDOW) * np.uint64(5))
-                    order = np.lexsort((symbol, depth[1], depth[0]))
-                    source = texts.first + origin[row]
-                    columns = [doc[source], key[source], (first - piece.offsets[row] + begin[row]).astype(np.int32), (last - first + 1).astype(np.int32), *(x.view(np.int64) for x in (*depth, symbol))]
+                    prefix = hashes.of(anchor, anchor + DEPTH)
+                    reach = (anchor - first) * SPAN + (last - first)
+                    symbol = B.mix(hashes.of(first, anchor) * np.uint64(3) + hashes.of(anchor, last + WINDOW) * np.uint64(5) + reach.astype(np.uint64))
+                    order = np.lexsort((symbol, prefix))
+                    columns = [key[texts.first + origin[row]], (first - piece.offsets[row] + begin[row]).astype(np.int32), (last - first + 1).astype(np.int32), (anchor - first).astype(np.int32), prefix.view(np.int64), symbol.view(np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array(c[order]) for c in columns], schema=_ARROW)
 
     return rows.mapInArrow(run, SUFFIXES)
 
 
-def interleave(suffixes: DataFrame) -> DataFrame:
-    """The suffixes of repeated intervals, by refinement from depth to depth."""
-    active = suffixes
-    for level in range(len(DEPTHS)):
-        names = [f"d{i}" for i in range(level + 1)]
-        shared = active.groupBy(*names).agg(F.count("*").alias("size")).where("size > 1").drop("size")
-        active = active.join(shared, names, "left_semi")
-    return active
+def refine(members: DataFrame, interval: list[str], kind: str, one: list[str]) -> tuple[DataFrame, DataFrame]:
+    """One round. members have the columns of interval, kind, one and copies (how many suffixes each stands for, 2
+    meaning more). Returns the kinds that occur twice or more (interval, kind), all of whose windows repeat, and one
+    member of each kind of the torn intervals, with copies."""
+    kinds = stage(members.groupBy(*interval, kind).agg(F.sum("copies").alias("copies"), F.min(F.struct(*one)).alias("one")), "kinds")
+    torn = kinds.groupBy(*interval).agg(F.count("*").alias("n"), F.min("copies").alias("least")).where("n > 1 AND least = 1").select(*interval)
+    asked = kinds.join(torn, interval, "left_semi").select(*interval, "one.*", F.least("copies", F.lit(2)).cast("int").alias("copies"))
+    return kinds.where("copies > 1").select(*interval, kind), asked
 
 
-def window_hashes(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """For each stretch asked for (doc, row, first, windows, d1, copies), one row a window: d1, hash, place and copies."""
-    lists = asked.groupBy("doc", "row").agg(F.collect_list(F.struct("first", "windows", "d1", "copies")).alias("asked"))
-    schema = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("first", pa.int32()), ("place", pa.int32()), ("copies", pa.int32()), ("d1", pa.int64()), ("window", pa.int64())])
+def stretch_bytes(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (row, first, windows, lead, prefix, copies) with the bytes of each stretch. docs: row and text."""
+    lists = asked.groupBy("row").agg(F.collect_list(F.struct("first", "windows", "lead", "prefix", "copies")).alias("asked"))
+    schema = pa.schema([("row", pa.int64()), ("first", pa.int32()), ("windows", pa.int32()), ("lead", pa.int32()), ("prefix", pa.int64()), ("copies", pa.int32()), ("bytes", pa.binary())])
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for i in range(batch.num_rows):
-                doc, key = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                data = np.frombuffer((batch.column(2)[i].as_py() or "").encode(), np.uint8)
-                asked = batch.column(3)[i].values
-                first, windows, d1, copies = (asked.field(j).to_numpy(zero_copy_only=False) for j in range(4))
-                # One stretch at a time holds no more than its own bytes, whatever the text's length.
-                for lo, n, depth, times in zip(first.tolist(), windows.tolist(), d1.tolist(), copies.tolist()):
-                    at = np.arange(n)
-                    found = Prefixes(data[lo : lo + n + WINDOW - 1]).of(at, at + WINDOW).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc)), pa.array(np.full(n, key)), pa.array(np.full(n, lo, np.int32)), pa.array((at + lo).astype(np.int32)), pa.array(np.full(n, times, np.int32)), pa.array(np.full(n, depth)), pa.array(found)], schema=schema)
-
-    def gathered(batches):
-        held, size = [], 0
-        for batch in run(batches):
-            held.append(batch)
-            size += batch.num_rows
-            if size >= 50_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, size = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return rows.dropDuplicates(["doc", "row"]).join(lists, ["doc", "row"]).select("doc", "row", "text", "asked").mapInArrow(gathered, "doc long, row long, first int, place int, copies int, d1 long, window long")
-
-
-def repeated_spans(rows: DataFrame) -> DataFrame:
-    """doc, row and spans: byte ranges (start, end), in no order, that cover exactly the repeated windows."""
-    suffixes = stage(shard_transforms(rows), "suffixes")
-    active = stage(interleave(suffixes), "intervals")
+                data, wanted = unpack(batch.column(1)[i].as_py()), batch.column(2)[i].values
+                first, windows = (wanted.field(j).to_pylist() for j in (0, 1))
+                cut = pa.array([data[a : a + n + WINDOW - 1] for a, n in zip(first, windows)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), batch.column(0)[i].as_py())), *(wanted.field(j) for j in range(5)), cut], schema=schema)
+
+    joined = squeezed(docs, "text").join(lists, "row").dropDuplicates(["row"]).select("row", "text", "asked")
+    return joined.mapInArrow(run, "row long, first int, windows int, lead int, prefix long, copies int, bytes binary")
+
+
+def blocks(torn: DataFrame) -> DataFrame:
+    """For each stretch, its blocks: windows whose anchor is t bytes on, t div BLOCK = block. core: hash of what all windows of
+    such a block hold; hull: of all that the stretch's own windows in it hold."""
+
+    def run(batches):
+        schema = pa.schema([("row", pa.int64()), ("first", pa.int32()), ("block", pa.int32()), ("start", pa.int32()), ("windows", pa.int32()), ("prefix", pa.int64()), ("copies", pa.int32()), ("core", pa.int64()), ("hull", pa.int64())])
+        for batch in batches:
+            row, first, windows, lead, prefix, copies = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            # Stretches stand one after another in one array of bytes.
+            text = batch.column(6).cast(pa.large_binary())
+            for texts in B.chunks(text):
+                s = slice(texts.first, texts.first + texts.n)
+                hashes, base = Prefixes(texts.data), texts.offsets[:-1]
+                most, least = lead[s] // BLOCK, (lead[s] - windows[s] + 1) // BLOCK
+                count = (most - least + 1).astype(np.int64)
+                i = np.repeat(np.arange(texts.n), count)
+                block = most[i] - (np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count))
+                anchor = base[i] + lead[s][i]
+                high = np.minimum(block * BLOCK + BLOCK - 1, lead[s][i])
+                low = np.maximum(block * BLOCK, lead[s][i] - windows[s][i] + 1)
+                core = hashes.of(anchor - block * BLOCK, anchor - block * BLOCK - BLOCK + 1 + WINDOW)
+                hull = B.mix(hashes.of(anchor - high, anchor - low + WINDOW) + (high * SPAN + low).astype(np.uint64))
+                start = (first[s][i] + lead[s][i] - high).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(row[s][i]), pa.array(first[s][i]), pa.array(block.astype(np.int32)), pa.array(start), pa.array((high - low + 1).astype(np.int32)), pa.array(prefix[s][i]), pa.array(copies[s][i]), pa.array(core.view(np.int64)), pa.array(hull.view(np.int64))], schema=schema)
+
+    return torn.select("row", "first", "windows", "lead", "prefix", "copies", "bytes").mapInArrow(run, "row long, first int, block int, start int, windows int, prefix long, copies int, core long, hull long")
+
+
+def single_windows(torn: DataFrame, asked: DataFrame) -> DataFrame:
+    """One row for each window of the blocks asked for: core, window (hash), row, at, copies."""
+
+    def run(batches):
+        schema = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("copies", pa.int32()), ("core", pa.int64()), ("window", pa.int64())])
+        for batch in batches:
+            row, offset, start, windows, copies, core = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            for texts in B.chunks(batch.column(6).cast(pa.large_binary())):
+                s = slice(texts.first, texts.first + texts.n)
+                count = windows[s].astype(np.int64)
+                i = np.repeat(np.arange(texts.n), count)
+                step = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+                place = texts.offsets[:-1][i] + offset[s][i] + step
+                found = Prefixes(texts.data).of(place, place + WINDOW).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(row[s][i]), pa.array((start[s][i] + step).astype(np.int32)), pa.array(copies[s][i]), pa.array(core[s][i]), pa.array(found)], schema=schema)
+
+    joined = torn.select("row", "first", "bytes").join(asked, ["row", "first"])
+    return joined.select("row", (F.col("start") - F.col("first")).alias("offset"), "start", "windows", "copies", "core", "bytes").mapInArrow(run, "row long, at int, copies int, core long, window long")
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """row and spans: byte ranges (start, end), in no order, that cover exactly the repeated windows. docs: row and text."""
+    covered = lambda df: df.select("row", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    # Depth one: whole stretches.
+    suffixes = stage(shard_transforms(docs), "suffixes")
+    shared = suffixes.groupBy("prefix").agg(F.count("*").alias("size")).where("size > 1").select("prefix")
+    active = stage(suffixes.join(shared, "prefix", "left_semi").withColumn("copies", F.lit(1)), "intervals")
     drop(suffixes)
-    names = ["d0", "d1"]
-    classes = active.groupBy(*names, "symbol").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "row", "first", "windows")).alias("one"))
-    classes = stage(classes, "classes")
-    whole = active.join(classes.where("copies > 1").select(*names, "symbol"), [*names, "symbol"], "left_semi").select("doc", "row", F.col("first").alias("start"), (F.col("first") + F.col("windows") + WINDOW - 1).alias("end"))
-    # Intervals with several classes, one of them single: their windows are compared.
-    torn = classes.groupBy(*names).agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 AND least = 1").select(*names)
-    asked = classes.join(torn, names, "left_semi").select("one.*", "d1", F.least("copies", F.lit(2)).cast("int").alias("copies"))
-    windows = stage(window_hashes(rows, asked), "windows")
-    equal = windows.groupBy("d1", "window").agg(F.sum("copies").alias("n")).where("n > 1").select("d1", "window")
-    places = windows.where("copies = 1").join(equal, ["d1", "window"], "left_semi").groupBy("doc", "row", "first").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    single = F.transform("places", lambda p: F.struct(p.alias("start"), (p + WINDOW).alias("end")))
-    closed = F.expr(f"places[size(places) - 1] - places[0] + 1 = size(places)")
-    few = F.when(closed, F.array(F.struct(F.col("places")[0].alias("start"), F.expr(f"places[size(places) - 1] + {WINDOW}").alias("end")))).otherwise(single)
-    partial = places.select("doc", "row", F.explode(few).alias("s")).select("doc", "row", "s.start", "s.end")
-    return whole.unionByName(partial).groupBy("doc", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    whole, asked = refine(active, ["prefix"], "symbol", ["row", "first", "windows", "lead"])
+    spans = covered(active.join(whole, ["prefix", "symbol"], "left_semi").withColumn("start", F.col("first")).withColumn("end", F.col("first") + F.col("windows") + WINDOW - 1))
+    torn = stage(stretch_bytes(docs, asked), "torn")
+    # Depth two: blocks of windows.
+    members = stage(blocks(torn), "blocks")
+    interval = ["prefix", "block", "core"]
+    whole, asked = refine(members, interval, "hull", ["row", "first", "start", "windows"])
+    spans = spans.unionByName(covered(members.where("copies = 1").join(whole, [*interval, "hull"], "left_semi").withColumn("end", F.col("start") + F.col("windows") + WINDOW - 1)))
+    # Depth three: single windows.
+    windows = stage(single_windows(torn, asked.select("row", "first", "start", "windows", "copies", "core")), "windows")
+    equal = windows.groupBy("core", "window").agg(F.sum("copies").alias("n")).where("n > 1").select("core", "window")
+    spans = spans.unionByName(covered(windows.where("copies = 1").join(equal, ["core", "window"], "left_semi").withColumn("start", F.col("at")).withColumn("end", F.col("at") + WINDOW)))
+    return spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,18 +245,20 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def removal(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, names: tuple[str, ...] = ("n_bytes", "n_removed", "n_spans", "kept"), decoded: bool = False) -> DataFrame:
-    """keep (all columns by default) with the text's bytes, removed bytes, removed runs and remaining bytes, or these
+    """keep (all columns but the text by default) with the text's bytes, removed bytes, removed runs and remaining bytes, or these
     decoded, without what is left of a cut character."""
-    keep = docs.columns if keep is None else keep
-    spans = repeated_spans(keyed(docs, doc_id, text))
-    marks = [f"_{x}_{i}" for i, x in enumerate(("doc", "row", "spans", "text"))]
-    whole = docs.withColumn(marks[0], F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))).withColumn(marks[1], F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit("")), F.lit("row")))
-    joined = whole.join(spans.select(F.col("doc").alias(marks[0]), F.col("row").alias(marks[1]), F.col("spans").alias(marks[2])), marks[:2], "left").select(*(f"`{c}`" for c in dict.fromkeys([*keep, text])), marks[2])
+    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    row, found = fresh(docs, "_row"), fresh(docs, "_spans")
+    spans = repeated_spans(docs.select(row_key(doc_id, text).alias("row"), F.col(f"`{text}`").alias("text")))
+    whole = squeezed(docs.select(*(f"`{c}`" for c in dict.fromkeys([*keep, text]))).withColumn(row, row_key(doc_id, text)) if doc_id in keep else docs.withColumn(row, row_key(doc_id, text)), text)
+    joined = whole.join(spans.select(F.col("row").alias(row), F.col("spans").alias(found)), row, "left").select(*(f"`{c}`" for c in dict.fromkeys([*keep, text])), found)
     place, last = joined.columns.index(text), len(joined.columns) - 1
 
     def make():
+        unpack = zstandard.ZstdDecompressor().decompress
+
         def one(value, spans):
-            data = (value or "").encode()
+            data = b"" if value is None else unpack(value)
             if spans is None or not len(spans):
                 return len(data), 0, 0, data
             start, end = merged(*(spans.field(j).to_numpy(zero_copy_only=False).astype(np.int64) for j in range(2)))
@@ -236,6 +272,8 @@ def removal(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep
 
         return work
 
+    if text in keep:
+        raise ValueError("the text itself is returned as what is kept of it")
     fields = T.StructType([*(T.StructField(n, T.LongType()) for n in names[:3]), T.StructField(names[3], T.StringType() if decoded else T.BinaryType())])
     return map_rows(joined, keep, fields, make)
 
@@ -246,15 +284,13 @@ def digest(removed: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """The documents without repeated passages; what a removal leaves of a cut character is dropped. Texts that end up
-    empty stay as rows, n_chars follows the text, and null texts stay null."""
+    """The documents without repeated passages. Texts that end up empty stay as rows, n_chars follows the text where one
+    was removed, and null texts become empty."""
     prefix = "_kept"
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix = f"_{prefix}"
     names = tuple(f"{prefix}_{x}" for x in ("bytes", "removed", "spans", "text"))
-    removed = removal(docs, names=names, decoded=True)
-    out = removed.withColumn("text", F.when(F.col(names[1]) == 0, F.col("text")).otherwise(F.col(names[3])))
+    out = removal(docs, names=names, decoded=True).withColumn("text", F.col(names[3]))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(names[1]) == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*(f"`{c}`" for c in docs.columns))
-

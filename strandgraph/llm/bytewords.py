@@ -61,11 +61,15 @@ class Texts:
         return len(self.offsets) - 1
 
 
-def chunks(column: pa.Array | pa.ChunkedArray, target: int = CHUNK_BYTES) -> Iterator[Texts]:
-    """The rows of a string column in chunks of at most target bytes, or one longer row; null counts as empty."""
+def chunks(column: pa.Array | pa.ChunkedArray, target: int = CHUNK_BYTES, most: int = 1 << 30) -> Iterator[Texts]:
+    """The rows of a string column in chunks of at most target bytes, or one longer row, and at most `most` rows; null counts as
+    empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    if pa.types.is_large_binary(column.type):
+        column = column.fill_null(b"")
+    else:
+        column = column.cast(pa.large_string()).fill_null("")
     n = len(column)
     if not n:
         return
@@ -75,7 +79,7 @@ def chunks(column: pa.Array | pa.ChunkedArray, target: int = CHUNK_BYTES) -> Ite
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + target, "right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + most)
         yield Texts(lo, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -68,3 +69,18 @@ def map_rows(df: DataFrame, keep: list[str], fields: T.StructType, make) -> Data
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), *work(batch)], names=names)
 
     return df.mapInArrow(run, schema)
+
+
+def squeezed(docs: DataFrame, text: str) -> DataFrame:
+    """docs with the text as Zstandard frames: what a shuffle then moves is a third."""
+    place, names = docs.columns.index(text), docs.columns
+    schema = T.StructType([T.StructField(f.name, T.BinaryType()) if i == place else f for i, f in enumerate(docs.schema.fields)])
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[place] = pa.array([None if t is None else pack(t.encode()) for t in columns[place].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.mapInArrow(run, schema)
