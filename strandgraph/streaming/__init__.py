@@ -1,0 +1 @@
+"""Streams of landed documents."""
