@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import fresh, stage
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -210,5 +210,6 @@ def digest(judged: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that are kept, columns as they were."""
-    bad = judge(docs).where("NOT kept").select(F.col("row_key").alias("_bad_row")).distinct()
-    return docs.join(bad, row_key("doc_id", "text", "lang", "source") == F.col("_bad_row"), "left_anti")
+    name = fresh(docs, "_bad_row")
+    bad = judge(docs).where("NOT kept").select(F.col("row_key").alias(name)).distinct()
+    return docs.join(bad, row_key("doc_id", "text", "lang", "source") == F.col(name), "left_anti")
