@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
-#: Bytes that separate words under the two word rules of the operators.
+#: Bytes that separate words under the two word rules of the operators. The second is stated for lower-cased text, so
+#: that A-Z, which its class leaves out, are letters here.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
-NON_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
+NON_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

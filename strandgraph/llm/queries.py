@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bwt_dedup, decontam, html_crf, jaccard_join, license_rules, packing, quality_mcd, shard_table, warc_bundles, zstd_quality
+from . import bwt_dedup, decontam, html_crf, jaccard_join, license_rules, oracles, packing, quality_mcd, shard_table, warc_bundles, zstd_quality
 from .common import table
 
 
@@ -61,4 +61,10 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op1_quality_rules": oracles.quality_rules(),
+        "op3_shard_placement": oracles.shard_placement(),
+        "op7_decontaminate": oracles.DECONTAMINATE,
+        "op8_jaccard_join": oracles.JACCARD,
+        "op10_warc_bundles": oracles.WARC,
+    }

@@ -228,5 +228,5 @@ def export(content: bytes, path: str) -> None:
 
 
 def digest(records: DataFrame) -> DataFrame:
-    """One row per page: page_id, payload_bytes, payload_digest, record_type, refers_to, and where the record stands."""
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "bundle", "frame", "frame_offset", "record_bytes")
+    """One row per page: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
