@@ -99,9 +99,9 @@ def search_wildcard(spark, sf_dir):
     return Q.search(entities(spark, sf_dir), "a_%e")
 
 
-@query(f"WITH {ENTITY} SELECT * FROM entity WHERE name ILIKE '%\\_0000%' ESCAPE '\\' ORDER BY id LIMIT 20")
+@query(f"WITH {ENTITY} SELECT * FROM entity WHERE name ILIKE '%#0000%' ESCAPE '\\' ORDER BY id LIMIT 20")
 def search_escaped(spark, sf_dir):
-    return Q.search(entities(spark, sf_dir), "\\_0000")
+    return Q.search(entities(spark, sf_dir), "\\#0000")
 
 
 @query(f"WITH {ENTITY} SELECT * FROM entity WHERE kind = 'company' ORDER BY id LIMIT 200")
