@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import map_rows
 
 #: Labelled pages that the field is trained on, and their seed.
-PAGES, SEED = 500, 11
+PAGES, SEED = 700, 11
 STEPS, RATE, PENALTY = 250, 0.15, 0.003
 
 #: HTML's tags by what they do to the flow of text.
@@ -50,7 +50,7 @@ WORD_KIND = {
     "notice": "notice cookie cookies consent gdpr alert notification popup modal overlay warning disclaimer toast announcement",
     "comment": "comment comments commentlist discussion disqus reply replies respond reader responses feedback thread",
     "content": "content article post entry story text articlebody postbody body copy prose",
-    "main": "main maincontent primary page wrapper",
+    "main": "main maincontent primary",
     "related": "related recommended more share social sharing tags trending popular read-next meta",
 }
 KIND_OF_WORD = {w: k for k, words in WORD_KIND.items() for w in words.split()}
@@ -288,11 +288,16 @@ class Maker:
     def prose(self, lo: int = 1, hi: int = 5) -> str:
         return " ".join(self.sentence() for _ in range(int(self.rng.integers(lo, hi + 1))))
 
+    def odd(self) -> str:
+        """Text of no form that prose has: separated, repeated, signed or shouted words, or none that end."""
+        words = self.words(2, 40).split()
+        return self.pick(" | ".join(words), " ".join(w for w in words for _ in range(4)), " ".join(w + self.pick("###", "$$$", "***", "%%%") for w in words), " ".join(w.upper() + "!!" for w in words), " ".join(words), " ".join(str(int(self.rng.integers(1, 10**6))) for _ in words))
+
     def box(self, tag: str, names: tuple[str, ...], inner: str) -> str:
         """inner in a semantic tag, or in a division named for what it is, or in both."""
         name = self.pick(*names)
         named = self.pick(f' class="{name}"', f' id="{name}"', f' class="box {name}"', f" class='{name}'")
-        return self.pick(f"<{tag}>{inner}</{tag}>", f"<{tag}{named}>{inner}</{tag}>", f"<div{named}>{inner}</div>", f"<div{named}><div>{inner}</div></div>") if tag != "div" else f"<div{named}>{inner}</div>"
+        return self.pick(f"<{tag}>{inner}</{tag}>", f"<{tag}{named}>{inner}</{tag}>", f"<div{named}>{inner}</div>", f"<div{named}><div>{inner}</div></div>") if tag not in ("div", "section") else f"<{tag}{named}>{inner}</{tag}>"
 
     def links(self, lo: int, hi: int) -> str:
         items = [f'<a href="/{self.words(1, 1)}">{self.words(1, 3)}</a>' for _ in range(int(self.rng.integers(lo, hi + 1)))]
@@ -328,13 +333,13 @@ class Maker:
         return self.box("div", ("related", "share", "social", "tags", "recommended"), self.pick("", f"<h3>{self.words(1, 3)}</h3>") + self.links(2, 5))
 
     def article(self) -> str:
-        s = self.SIGN
+        s, odd = self.SIGN, self.chance(0.25)
         part = lambda tag, text: self.pick(f"<{tag}>{s}{text}</{tag}>", f"<{tag}>{s}{text}</{tag}>\n", f"<{tag}>{s}<b>{text}<br>{s}" if tag == "p" and self.chance(0.3) else f"<{tag}>{s}{text}</{tag}>")
         out = [part(self.pick("h1", "h1", "h2"), self.pick(self.words(2, 9).capitalize(), self.sentence()))] if self.chance(0.8) else []
         for _ in range(int(self.rng.integers(1, 9))):
             kind = self.rng.random()
             if kind < 0.7:
-                out.append(part("p", self.pick(self.prose(1, 6), self.prose(1, 2), self.sentence(1, 5))))
+                out.append(part("p", self.odd() if odd and self.chance(0.8) else self.pick(self.prose(1, 6), self.prose(1, 2), self.sentence(1, 5))))
             elif kind < 0.77:
                 out.append(part(self.pick("h2", "h3"), self.words(1, 6).capitalize()))
             elif kind < 0.83:
@@ -359,15 +364,16 @@ class Maker:
             f"<article>{main}</article>", f"<article>{main}</article>", f"<main><article>{main}</article></main>", f"<main>{main}</main>",
             f'<div id="content">{main}</div>', f'<div class="post-content">{main}</div>', f'<div class="entry">{main}</div>', f'<section class="story">{main}</section>', f"<div>{main}</div>", main,
         )
-        before = [p() for p in (self.nav, self.header, self.notice, self.ad, self.aside, self.form) if self.chance(0.45)]
-        after = [p() for p in (self.comments, self.related, self.aside, self.ad, self.form, self.notice) if self.chance(0.35)]
+        thin = self.chance(0.25)
+        before = [] if thin else [p() for p in (self.nav, self.header, self.notice, self.ad, self.aside, self.form) if self.chance(0.45)]
+        after = [p() for p in (self.comments, self.related, self.aside, self.ad, self.form, self.notice) if self.chance(0.15 if thin else 0.35)]
         self.rng.shuffle(before)
         self.rng.shuffle(after)
         after += [self.footer()] if self.chance(0.85) else []
         body = "".join(before) + main + "".join(after)
         if self.chance(0.3):
             body = self.pick(f'<div id="wrapper">{body}</div>', f'<div class="page">{body}</div>')
-        head = f"<head><title>{self.words(2, 8)}</title><style>p{{margin:0}}</style></head>"
+        head = "" if self.chance(0.3) else f"<head><title>{self.words(2, 8)}</title><style>p{{margin:0}}</style></head>"
         page = f"<!DOCTYPE html><html>{head}<body>{body}</body></html>"
         if self.chance(0.1):
             page = page[: int(len(page) * (0.5 + 0.5 * self.rng.random()))]
