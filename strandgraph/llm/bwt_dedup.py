@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytewords as B
-from .common import drop, fresh, map_rows, squeezed, stage
+from .common import drop, fresh, map_arrow, map_rows, squeezed, stage
 
 WINDOW = 400
 GRAM = 16
@@ -132,7 +132,7 @@ def shard_transforms(rows: DataFrame) -> DataFrame:
                     columns = [key[texts.first + origin[row]], (first - piece.offsets[row] + begin[row]).astype(np.int32), (last - first + 1).astype(np.int32), (anchor - first).astype(np.int32), prefix.view(np.int64), symbol.view(np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array(c[order]) for c in columns], schema=_ARROW)
 
-    return rows.mapInArrow(run, SUFFIXES)
+    return map_arrow(rows, run, SUFFIXES)
 
 
 def refine(members: DataFrame, interval: list[str], kind: str, one: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -160,7 +160,7 @@ def stretch_bytes(docs: DataFrame, asked: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), batch.column(0)[i].as_py())), *(wanted.field(j) for j in range(5)), cut], schema=schema)
 
     joined = squeezed(docs, "text").join(lists, "row").dropDuplicates(["row"]).select("row", "text", "asked")
-    return joined.mapInArrow(run, "row long, first int, windows int, lead int, prefix long, copies int, bytes binary")
+    return map_arrow(joined, run, "row long, first int, windows int, lead int, prefix long, copies int, bytes binary")
 
 
 def blocks(torn: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def blocks(torn: DataFrame) -> DataFrame:
                 start = (first[s][i] + lead[s][i] - high).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(row[s][i]), pa.array(first[s][i]), pa.array(block.astype(np.int32)), pa.array(start), pa.array((high - low + 1).astype(np.int32)), pa.array(prefix[s][i]), pa.array(copies[s][i]), pa.array(core.view(np.int64)), pa.array(hull.view(np.int64))], schema=schema)
 
-    return torn.select("row", "first", "windows", "lead", "prefix", "copies", "bytes").mapInArrow(run, "row long, first int, block int, start int, windows int, prefix long, copies int, core long, hull long")
+    return map_arrow(torn.select("row", "first", "windows", "lead", "prefix", "copies", "bytes"), run, "row long, first int, block int, start int, windows int, prefix long, copies int, core long, hull long")
 
 
 def single_windows(torn: DataFrame, asked: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def single_windows(torn: DataFrame, asked: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(row[s][i]), pa.array((start[s][i] + step).astype(np.int32)), pa.array(copies[s][i]), pa.array(core[s][i]), pa.array(found)], schema=schema)
 
     joined = torn.select("row", "first", "bytes").join(asked, ["row", "first"])
-    return joined.select("row", (F.col("start") - F.col("first")).alias("offset"), "start", "windows", "copies", "core", "bytes").mapInArrow(run, "row long, at int, copies int, core long, window long")
+    return map_arrow(joined.select("row", (F.col("start") - F.col("first")).alias("offset"), "start", "windows", "copies", "core", "bytes"), run, "row long, at int, copies int, core long, window long")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:

@@ -135,9 +135,13 @@ def word_hashes(texts: Texts, found: Words, seed: int = 1) -> np.ndarray:
         return np.zeros(0, np.uint64)
     sizes = found.ends - found.starts
     total = np.concatenate(([0], np.cumsum(sizes)))
-    place = np.arange(total[-1]) - np.repeat(total[:-1], sizes)
-    at = place + np.repeat(found.starts, sizes)
-    values = _letters(seed)[texts.data[at]] * powers_for(int(sizes.max()))[place]
+    small = np.int32 if len(texts.data) < 1 << 31 else np.int64
+    place = np.arange(total[-1], dtype=small)
+    place -= np.repeat(total[:-1].astype(small), sizes)
+    at = place + np.repeat(found.starts.astype(small), sizes)
+    values = _letters(seed)[texts.data[at]]
+    del at
+    values *= powers_for(int(sizes.max()))[place]
     return mix(np.add.reduceat(values, total[:-1]) + sizes.astype(np.uint64))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -29,6 +31,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to a table in the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
+    tidy()
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
@@ -55,6 +58,25 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def tidy() -> None:
+    """Give memory that is free back to the system: a worker outlives its task, beside the next task's JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc here
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow, tidied up after each task."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return df.mapInArrow(whole, schema)
+
+
 def map_rows(df: DataFrame, keep: list[str], fields: T.StructType, make) -> DataFrame:
     """Columns keep of df, unchanged, followed by new ones that make()(batch) returns as Arrow arrays, batch by batch.
 
@@ -68,7 +90,7 @@ def map_rows(df: DataFrame, keep: list[str], fields: T.StructType, make) -> Data
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), *work(batch)], names=names)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def squeezed(docs: DataFrame, text: str) -> DataFrame:
@@ -83,4 +105,4 @@ def squeezed(docs: DataFrame, text: str) -> DataFrame:
             columns[place] = pa.array([None if t is None else pack(t.encode()) for t in columns[place].to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

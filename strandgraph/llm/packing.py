@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytewords as B
-from .common import stage
+from .common import map_arrow, stage
 
 CAPACITY = 4096
 GRID = 32
 END_ID = 2
 #: Distinct parts of words whose ids a generation of a worker's memory holds.
 CACHED_PARTS = 400_000
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 20
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -61,7 +61,7 @@ class WordIds:
         found = B.words(texts, B.SPACES)
         if not len(found.starts):
             return found
-        last = np.where(self.closing[texts.data], -1, np.arange(len(texts.data)))
+        last = np.where(self.closing[texts.data], -1, np.arange(len(texts.data))).astype(np.int32 if len(texts.data) < 1 << 31 else np.int64)
         np.maximum.accumulate(last, out=last)
         stem = last[found.ends - 1] + 1
         two = (stem > found.starts) & (stem < found.ends)
@@ -151,7 +151,7 @@ def tokenize_and_cut(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc
                         start += length
             yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), pa.array(origin, pa.int64())), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(4))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, {PIECES}")
+    return map_arrow(slim, run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, {PIECES}")
 
 
 def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

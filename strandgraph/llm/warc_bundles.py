@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import map_arrow, stage
 
 #: Raw bytes of records in a frame, and in a bundle. One longer record has a frame or bundle of its own.
 FRAME_BYTES = 1 << 18
@@ -201,7 +201,7 @@ def write_bundles(pages: DataFrame, *, min_bytes: int = 0, frame_bytes: int = FR
         if writer.index:
             yield close()
 
-    return stage(marked.mapInArrow(run, BUNDLES), "warc")
+    return stage(map_arrow(marked, run, BUNDLES), "warc")
 
 
 def read_bundles(bundles: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
                     rows.append(found | {"bundle": name.as_py(), "frame": frame, "frame_offset": offset, "record_bytes": length})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return bundles.select("bundle", "content").mapInArrow(run, RECORDS)
+    return map_arrow(bundles.select("bundle", "content"), run, RECORDS)
 
 
 def export(content: bytes, path: str) -> None:
