@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import json_merge
 from ..schemas import KEYS, PARTITIONS, TABLES
 
 
@@ -37,6 +38,14 @@ def insert_if_absent(present: DataFrame, batch: DataFrame, keys: list[str], seq:
     return present.unionByName(new.join(present.select(*keys), keys, "left_anti"), allowMissingColumns=True)
 
 
+def merge_props(present: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
+    """present with its JSON props merged with those of updates (one row a key), right wins; other rows stay as they are."""
+    new = updates.select(*keys, F.col("props").alias("_props"))
+    merged = F.to_json(json_merge(F.col("props"), F.col("_props")), {"ignoreNullFields": "false"})
+    out = present.join(new, keys, "left").withColumn("props", F.when(F.col("_props").isNull(), F.col("props")).otherwise(merged))
+    return out.select(*present.columns)
+
+
 def orphans(child: DataFrame, parent: DataFrame, child_keys: list[str], parent_keys: list[str]) -> DataFrame:
     """Child rows whose non-null keys have no parent."""
     named = parent.select(*(F.col(p).alias(f"_p{i}") for i, p in enumerate(parent_keys))).distinct()

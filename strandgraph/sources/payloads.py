@@ -156,6 +156,25 @@ def enrichment(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return b.where("b IS NOT NULL").select("ticker", S.uri_tail(F.col("b.company.value")).alias("wikidata_id"), F.col("b.founded.value").alias("founded"), F.col("b.hqLabel.value").alias("headquarters"), F.col("b.countryLabel.value").alias("country"), F.col("b.website.value").alias("website"), F.col("b.employees.value").alias("employees"), F.col("b.revenue.value").alias("revenue"))
 
 
+def cik_lookups(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """ticker and padded CIK of landed company searches (ticker, response); responses without a CIK are dropped."""
+    page = spark.read.schema("ticker string, response string").json(path)
+    return page.select("ticker", S.cik_of(F.col("response")).alias("cik")).where("cik IS NOT NULL").dropDuplicates(["ticker"])
+
+
+def qid_by_cik(companies: DataFrame, landed: DataFrame) -> DataFrame:
+    """companies (cik, ...) with the first landed qid of their number; leading zeros and a prefix do not matter."""
+    number = lambda c: F.regexp_extract(c, r"(\d+)$", 1).try_cast("long")
+    first = landed.select(number(F.col("cik")).alias("_n"), "qid").groupBy("_n").agg(F.min("qid").alias("qid"))
+    return companies.withColumn("_n", number(F.col("cik"))).join(first, "_n", "left").drop("_n")
+
+
+def by_therapy_area(entities: DataFrame, mapping: DataFrame, area: str) -> DataFrame:
+    """Entities whose mesh_ui belongs to a therapy area."""
+    ids = mapping.where(F.col("therapy_area") == area).select(F.col("mesh_id").alias("mesh_ui")).distinct()
+    return entities.join(ids, "mesh_ui", "left_semi")
+
+
 def seed(spark: SparkSession, name: str, path: str) -> DataFrame:
     """A seed CSV with its declared schema; membership dates are M/d/yyyy."""
     df = spark.read.option("header", True).option("encoding", "UTF-8").schema(CSV[name]).csv(path)

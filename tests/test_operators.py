@@ -35,6 +35,13 @@ def test_store_publishes_versions_and_checks_keys(spark, tmp_path):
     assert s.read("entity").count() == 2
 
 
+def test_merge_props(spark):
+    old = spark.createDataFrame([(1, '{"a":"1"}', "x"), (2, None, "y"), (3, '{"a":"3"}', "z")], "k long, props string, v string")
+    new = spark.createDataFrame([(1, '{"a":null,"b":"2"}'), (2, '{"c":"4"}')], "k long, props string")
+    found = {r["k"]: r["props"] for r in store.merge_props(old, new, ["k"]).collect()}
+    assert found == {1: '{"a":null,"b":"2"}', 2: '{"c":"4"}', 3: '{"a":"3"}'}
+
+
 def test_foreign_keys(spark):
     child = spark.createDataFrame([(1,), (9,), (None,)], "p long")
     parent = spark.createDataFrame([(1,)], "id long")

@@ -90,3 +90,18 @@ def test_pipeline_is_idempotent(spark, landed):
     assert edges == {("associated_with", "OPENTARGETS:E1"), ("associated_with", "OPENTARGETS:E3"), ("sponsored_by", "CTG_SPONSOR:eli_and_co"), ("for_condition", "MESH:D1"), ("studies", "CTG_INT:drug_a"), ("protected_by", "PATENT:9"), ("assigned_to", "ORG:ACME_BIO")}
     with pytest.raises(ValueError):
         pipeline.run(store, landed, ["nothing"])
+
+
+def test_company_lookups(spark, tmp_path):
+    (tmp_path / "c.json").write_text("\n".join(json.dumps({"ticker": t, "response": r}) for t, r in (("LLY", "<CIK>59478</CIK>"), ("XX", "<none/>"))))
+    found = payloads.cik_lookups(spark, f"{tmp_path}/c.json")
+    assert [tuple(r) for r in found.collect()] == [("LLY", "0000059478")]
+    landed = spark.createDataFrame([("59478", "Q2"), ("0000059478", "Q1"), ("x", "Q9")], "cik string, qid string")
+    companies = spark.createDataFrame([("CIK_0000059478",), ("CIK_0000000001",)], "cik string")
+    assert {r["cik"]: r["qid"] for r in payloads.qid_by_cik(companies, landed).collect()} == {"CIK_0000059478": "Q1", "CIK_0000000001": None}
+
+
+def test_therapy_area(spark, landed):
+    mapping = payloads.seed(spark, "ta_mapping", landed["ta_mapping"])
+    entities = spark.createDataFrame([("D1", "a"), ("D3", "b"), (None, "c")], "mesh_ui string, name string")
+    assert [r["name"] for r in payloads.by_therapy_area(entities, mapping, "Immunology").collect()] == ["a"]
