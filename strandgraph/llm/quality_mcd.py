@@ -146,6 +146,15 @@ def chain(df: DataFrame, steps: list[tuple[str, str]]) -> DataFrame:
     return reduce(lambda d, s: d.withColumn(s[0], F.expr(s[1])), steps, df)
 
 
+#: Rows up to which a table of groups is broadcast; a larger one is joined by shuffles.
+FEW_GROUPS = 10_000
+
+
+def few(table: DataFrame) -> DataFrame:
+    """A written table of groups, to be broadcast if it is counted to be small: then no group's rows are gathered."""
+    return F.broadcast(table) if table.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS else table
+
+
 def grouped(vectors: DataFrame) -> DataFrame:
     """vectors with the key of the group that judges them: language and source, else the language's pool, else all."""
     sizes = vectors.groupBy("lang_key", "source_key").agg(F.count("*").alias("n"))
@@ -156,13 +165,13 @@ def grouped(vectors: DataFrame) -> DataFrame:
         "source_key",
         F.when(~small, F.to_json(F.struct("lang_key", "source_key"))).when(F.col("pool") >= MIN_GROUP, F.to_json(F.struct("lang_key"))).otherwise("{}").alias("group_key"),
     )
-    return vectors.join(keys, ["lang_key", "source_key"])
+    return vectors.join(few(stage(keys, "groups")), ["lang_key", "source_key"])
 
 
 def first_estimate(vectors: DataFrame) -> DataFrame:
     """Medians, and median deviations as a diagonal covariance."""
     medians = vectors.groupBy("group_key").agg(*(F.expr(f"percentile(x_{i}, 0.5)").alias(f"med_{i}") for i in range(P)))
-    spread = vectors.join(medians, "group_key").groupBy("group_key").agg(*(F.expr(f"percentile(abs(x_{i} - med_{i}), 0.5)").alias(f"mad_{i}") for i in range(P)), *(F.first(f"med_{i}").alias(f"med_{i}") for i in range(P)))
+    spread = vectors.join(few(stage(medians, "medians")), "group_key").groupBy("group_key").agg(*(F.expr(f"percentile(abs(x_{i} - med_{i}), 0.5)").alias(f"mad_{i}") for i in range(P)), *(F.first(f"med_{i}").alias(f"med_{i}") for i in range(P)))
     columns = [F.expr(f"med_{i} / {float(SCALE)}").alias(f"m_{i}") for i in range(P)]
     for i, j in PAIRS:
         columns.append(F.expr(f"power(greatest(1.4826 * mad_{i} / {float(SCALE)}, {FLOORS[i]}), 2)" if i == j else "0.0D").alias(f"c_{i}_{j}"))
@@ -171,10 +180,10 @@ def first_estimate(vectors: DataFrame) -> DataFrame:
 
 def concentrate(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
     """One concentration step: mean and covariance of the closest vectors under the present estimate."""
-    binned = chain(vectors.join(estimate, "group_key"), distance_sql()).withColumn("bin", F.expr(BIN_SQL)).select("group_key", "bin", *(f"x_{i}" for i in range(P)))
+    binned = chain(vectors.join(few(estimate), "group_key"), distance_sql()).withColumn("bin", F.expr(BIN_SQL)).select("group_key", "bin", *(f"x_{i}" for i in range(P)))
     limits = binned.groupBy("group_key").agg(F.expr(f"percentile(bin, {SUBSET_PERCENT / 100})").alias("limit_bin"))
     sums = [F.count("*").alias("n"), *(F.sum(F.expr(f"CAST(x_{i} AS DECIMAL(18,0))")).alias(f"s_{i}") for i in range(P)), *(F.sum(F.expr(f"CAST(x_{i} * x_{j} AS DECIMAL(19,0))")).alias(f"s_{i}_{j}") for i, j in PAIRS)]
-    totals = binned.join(limits, "group_key").where("bin <= limit_bin").groupBy("group_key").agg(*sums)
+    totals = binned.join(few(stage(limits, "limits")), "group_key").where("bin <= limit_bin").groupBy("group_key").agg(*sums)
     mean = {i: f"(CAST(s_{i} AS DOUBLE) / n)" for i in range(P)}
     columns = [F.expr(f"{mean[i]} / {float(SCALE)}").alias(f"m_{i}") for i in range(P)]
     for i, j in PAIRS:
@@ -193,9 +202,9 @@ def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     estimate = stage(first_estimate(keyed), "estimate")
     for _ in range(STEPS):
         estimate = stage(concentrate(keyed, estimate), "estimate")
-    middle = chain(keyed.join(estimate, "group_key"), distance_sql()).withColumn("bin", F.expr(BIN_SQL)).groupBy("group_key").agg(F.expr("percentile(bin, 0.5)").alias("middle"), F.count("*").alias("members"))
+    middle = chain(keyed.join(few(estimate), "group_key"), distance_sql()).withColumn("bin", F.expr(BIN_SQL)).groupBy("group_key").agg(F.expr("percentile(bin, 0.5)").alias("middle"), F.count("*").alias("members"))
     models = stage(keyed.select("group_key", "lang_key", "source_key").distinct().join(estimate, "group_key").join(middle, "group_key").withColumn("factor", F.expr(f"greatest(exp(middle / {float(DISTANCE_SCALE)}) - 1, 1e-9) / {CHI2_MEDIAN}")), "models")
-    judged = chain(rows.join(models, ["lang_key", "source_key"], "left"), distance_sql()).withColumn("distance", F.expr("CASE WHEN NOT base_failed THEN d2 / greatest(factor, 1.0) END"))
+    judged = chain(rows.join(few(models), ["lang_key", "source_key"], "left"), distance_sql()).withColumn("distance", F.expr("CASE WHEN NOT base_failed THEN d2 / greatest(factor, 1.0) END"))
     kept = F.expr(f"NOT base_failed AND (members < {MIN_POOL} OR distance <= {CUT})")
     return judged.select("doc_id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
 
