@@ -216,7 +216,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     covered = lambda df: df.select("row", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
     # Depth one: whole stretches.
     suffixes = stage(shard_transforms(docs), "suffixes")
-    shared = suffixes.groupBy("prefix").agg(F.count("*").alias("size")).where("size > 1").select("prefix")
+    # Written first, so that both sides of the join are read from shuffles and a frequent prefix can be split.
+    shared = stage(suffixes.groupBy("prefix").agg(F.count("*").alias("size")).where("size > 1").select("prefix"), "shared")
     active = stage(suffixes.join(shared, "prefix", "left_semi").withColumn("copies", F.lit(1)), "intervals")
     drop(suffixes)
     whole, asked = refine(active, ["prefix"], "symbol", ["row", "first", "windows", "lead"])
