@@ -288,7 +288,7 @@ def json_merge(spark, sf_dir):
 
 @query("SELECT doc_id, lower(w) AS term, min(i) AS pos FROM (SELECT doc_id, unnest(string_split(left(text, 400), ' ')) AS w, generate_subscripts(string_split(left(text, 400), ' '), 1) AS i FROM documents WHERE lang = 'en') WHERE w <> '' GROUP BY ALL")
 def case_insensitive_dedupe(spark, sf_dir):
-    words = star.read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.posexplode(F.split(F.substring("text", 1, 400), " ")).alias("p", "w")).where("w <> ''")
+    words = star.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w")).where("w <> ''")
     return words.groupBy("doc_id", F.lower("w").alias("term")).agg(F.min(F.col("p") + 1).cast("long").alias("pos"))
 
 
