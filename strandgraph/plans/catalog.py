@@ -260,14 +260,14 @@ def cascade_delete(spark, sf_dir):
 
 @query("WITH new AS (SELECT user_id AS cache_key, props AS value_json FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_id % 3 = 0) WHERE r = 1) SELECT * FROM new UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey < 200 AND c_custkey NOT IN (SELECT cache_key FROM new)")
 def upsert_last_wins(spark, sf_dir):
-    present = star.read(spark, sf_dir, "customer").where("c_custkey < 200").select(F.col("c_custkey").alias("cache_key"), F.col("c_mktsegment").alias("value_json"))
-    batch = star.cache_rows(spark, sf_dir).where("event_id % 3 = 0").select("cache_key", "value_json", F.struct("ts", "event_id").alias("seq"))
+    present = star.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cache_key"), F.col("c_mktsegment").alias("value_json"))
+    batch = star.cache_rows(spark, sf_dir).select("cache_key", "value_json", F.struct("ts", "event_id").alias("seq"))
     return W.upsert(present, batch, ["cache_key"], "seq")
 
 
 @query("WITH old AS (SELECT c_custkey AS cache_key, c_mktsegment AS value_json FROM customer WHERE c_custkey < 60) SELECT * FROM old UNION ALL SELECT user_id, props FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r = 1 AND user_id NOT IN (SELECT cache_key FROM old)")
 def insert_if_absent(spark, sf_dir):
-    present = star.read(spark, sf_dir, "customer").where("c_custkey < 60").select(F.col("c_custkey").alias("cache_key"), F.col("c_mktsegment").alias("value_json"))
+    present = star.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cache_key"), F.col("c_mktsegment").alias("value_json"))
     batch = star.cache_rows(spark, sf_dir).select("cache_key", "value_json", F.struct("ts", "event_id").alias("seq"))
     return W.insert_if_absent(present, batch, ["cache_key"], "seq")
 

@@ -21,3 +21,18 @@ def test_case_insensitive_dedupe_reads_every_document_to_its_end(spark):
     found = {(r.doc_id, r.term): r.pos for r in catalog.queries()["case_insensitive_dedupe"](spark, oracle.DATA).collect()}
     assert len({d["lang"] for d in docs}) > 1 and max(len(d["text"]) for d in docs) > 400
     assert found == first
+
+
+def test_merges_take_every_event_and_every_customer(spark, tmp_path):
+    # Customers above the former bounds, and events of users who are no customers.
+    customers = [(k, f"S{k % 5}") for k in (0, 59, 60, 199, 200, 900)]
+    events = [(i, u, 10 - i if u == 60 else i, f"v{i}") for i, u in enumerate([0, 60, 60, 200, 200, 900, 7000, 7000, 0, 8000])]
+    spark.createDataFrame(customers, "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(events, "event_id long, user_id long, t int, props string").selectExpr("event_id", "user_id", "timestamp_ntz '2024-01-01' + make_dt_interval(t) AS ts", "props").write.parquet(f"{tmp_path}/events.parquet")
+    last, first = dict(customers), dict(customers)
+    for i, u, t, v in sorted(events, key=lambda e: (e[2], e[0])):
+        last[u] = v
+        first.setdefault(u, v)
+    for name, expected in (("upsert_last_wins", last), ("insert_if_absent", first)):
+        rows = catalog.queries()[name](spark, str(tmp_path)).collect()
+        assert len(rows) == len(expected) and {r.cache_key: r.value_json for r in rows} == expected, name
