@@ -36,3 +36,14 @@ def test_merges_take_every_event_and_every_customer(spark, tmp_path):
     for name, expected in (("upsert_last_wins", last), ("insert_if_absent", first)):
         rows = catalog.queries()[name](spark, str(tmp_path)).collect()
         assert len(rows) == len(expected) and {r.cache_key: r.value_json for r in rows} == expected, name
+
+
+def test_label_cache_aside_resolves_every_customer(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in (0, 1, 2, 399, 400, 401, 402)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, "Acme"), (401, "Basel"), (402, "Core")], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    # At 15 February the entries of users 400 and 401 are live, that of user 402 is not.
+    events = [(1, 400, 30, '{"k": "a"}'), (2, 400, 29, '{"k": "b"}'), (3, 401, 20, '{"k": "c"}'), (4, 402, 1, '{"k": "d"}')]
+    spark.createDataFrame(events, "event_id long, user_id long, t int, props string").selectExpr("event_id", "user_id", "timestamp_ntz '2024-01-01' + make_dt_interval(t) AS ts", "props").write.parquet(f"{tmp_path}/events.parquet")
+    rows = catalog.queries()["label_cache_aside"](spark, str(tmp_path)).collect()
+    expected = {"Q0": "Wikidata:Q0", "Q1": "Acme", "Q2": "Wikidata:Q2", "Q399": "Wikidata:Q399", "Q400": "b", "Q401": "c", "Q402": "Core"}
+    assert len(rows) == len(expected) and {r.qid: r.label for r in rows} == expected
