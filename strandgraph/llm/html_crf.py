@@ -179,7 +179,7 @@ def active(b: Block) -> list[int]:
     share = b.link_chars / max(b.chars, 1)
     out.append(base + (share > 0.05) + (share > 0.4) + (share > 0.9))
     base += 4
-    signs = (b.text[-1] in ".!?…。»”\"", b.text[0] in "©®™" or "©" in b.text, b.text.count(" ") < 3, sum(c.isdigit() for c in b.text[:200]) * 5 > min(n, 200), "|" in b.text or "·" in b.text)
+    signs = (b.text[-1] in ".!?…。»”\"", b.text[0] in "©®™" or "©" in b.text, b.text.count(" ") < 3, sum(c.isdigit() for c in b.text) * 5 > n, "|" in b.text or "·" in b.text)
     out += [base + i for i, s in enumerate(signs) if s]
     base += 5
     good, bad = bool(b.kinds & GOOD), bool(b.kinds & BAD)
