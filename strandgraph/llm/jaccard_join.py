@@ -4,14 +4,17 @@ A document's set is its distinct five-word shingles as 52-bit hashes. Documents
 are joined as one. Shingles are put in one order for all documents, rarer first; two sets of similarity 0.75 or more share
 a shingle among the first n - ceil(0.75 n) + 1 of each. So classes meet on those prefix shingles. A pair that meets must
 pass the length filter, the positional filter (what can still follow the places of the shared shingle), and the suffix
-filter (the sets cut in BINS parts by hash: the parts' sizes bound the overlap); then it is verified once, on whole sets.
-
-The order needs no exact frequencies, any order is right: they come from a count sketch of a fixed SKETCH size, which
-overestimates only. Groups of near copies would meet in all pairs. Instead a first round verifies, for each shingle, only
-the pairs of its most central class (the one whose shingles are the most frequent) with the others; the links give
-provisional components. The second round takes all pairs that meet and are not in one component yet, so no link that
-could change a component is missed. A shingle that the sketch says could be hot is dealt over several tasks in the first
-round, and in the second most of its classes are in one component, so that only the others meet the rest, block by block.
+filter (a lower bound on how many members only one of two sets has, from parities: the sets are cut in parts by hash, and a
+part that holds an odd number of members in one set and an even number in the other holds a difference; the parts are four
+to eight times as many as members, so that few differences fall together); then it is verified once, on whole sets.
+
+The order needs no exact frequencies, any order is right: they come from a sketch of a fixed number of cells. A cell's
+count above the middle cell's, which is what rare shingles put into every cell, is the estimate. Groups of near copies would
+meet in all pairs. Instead a first round verifies, for each shingle, only the pairs of its most central class (the one whose
+shingles are the most frequent) with the others; the links give provisional components. The second round takes all pairs
+that meet and are not in one component yet, so no link that could change a component is missed. A shingle whose cell stands
+HOT above the middle is dealt over several tasks in the first round, and in the second most of its classes are in one
+component, so that only the others meet the rest, block by block.
 
 Defined results: null, empty and wordless texts have no shingles, no links and their own doc_id as component; a text of
 fewer than five words is one shingle; equal texts link, also with one or a null doc_id; a null doc_id is no component id
@@ -33,9 +36,11 @@ from .components import components
 SHINGLE = 5
 #: Similarity as a fraction: NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 3, 4
-SKETCH = 1 << 18
-BINS = 256
-#: Postings of one shingle that one task takes in the first round, by the sketch's upper bound.
+#: Cells of the sketch, and the parts in which tasks hand it over, each one packed row.
+SKETCH, SEGMENTS = 1 << 22, 64
+#: Bits of a set's parities for each member, at least, and bits of the smallest.
+PARITY_BITS, LEAST_BITS = 4, 64
+#: Postings of one shingle that one task takes in the first round, by the sketch's estimate.
 HOT = 20_000
 
 
@@ -73,47 +78,75 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def bins(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """For each set, how many members fall in each of BINS parts; a part of 65,535 or more counts as that."""
-    n = len(bounds) - 1
-    row = np.repeat(np.arange(n), np.diff(bounds))
-    counts = np.bincount(row * BINS + (hashes >> np.uint64(HASH_BITS - 8)).astype(np.int64), minlength=n * BINS)
-    return np.minimum(counts, 65_535).astype("<u2").reshape(n, BINS)
+def parities(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
+    """For each set, a bit for each part: whether an odd number of members falls in it. Empty sets: None."""
+    n = np.diff(bounds)
+    bits = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(PARITY_BITS * np.maximum(n, 1))).astype(np.int64)) * (n > 0)
+    ends = np.cumsum(bits)
+    row = np.repeat(np.arange(len(n)), n)
+    place = (ends - bits)[row] + (hashes.astype(np.int64) & (bits[row] - 1))
+    packed = np.packbits((np.bincount(place, minlength=int(ends[-1]) if len(ends) else 0) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [packed[(e - k) // 8 : e // 8] if k else None for e, k in zip(ends.tolist(), bits.tolist())]
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """Parities (64-bit words in the last axis) of fewer parts, a power of two of words: halves are combined."""
+    while words.shape[-1] > size:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
 
 
-def packed_bins(row: np.ndarray) -> bytes:
-    return row.astype(np.uint8).tobytes() if row.max(initial=0) < 256 else row.tobytes()
+def differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """At least so many members are in one of the sets alone, for each row of x."""
+    size = min(x.shape[-1], y.shape[-1])
+    return np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(axis=-1, dtype=np.int64)
 
 
 def first_pass(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """kind 0: one row per document: doc_id, its key, signature (null if empty), size and bins. kind 1: sketch cells."""
+    """kind 0: one row per document: doc_id, its key, signature (null if empty), size and parities. kind 1: a task's part of
+    the sketch: its number (key) and counts, packed."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("text"))
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("bins", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("parity", pa.binary())])
 
     def run(batches):
-        cells = np.zeros(SKETCH, np.int64)
+        cells = np.zeros(SKETCH, np.uint32)
         for batch in batches:
             for texts in B.chunks(batch.column(2), most=CHUNK_ROWS):
                 hashes, bounds = shingle_sets(texts)
-                cells += np.bincount((hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                np.add.at(cells, cell(hashes), np.uint32(1))
                 n, sig = np.diff(bounds), signatures(hashes, bounds).view(np.int64)
                 part = batch.slice(texts.first, texts.n)
-                parts = [packed_bins(r) if k else None for r, k in zip(bins(hashes, bounds), n)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(texts.n, np.int32)), part.column(0), part.column(1), pa.array(sig, mask=n == 0), pa.array(n.astype(np.int64)), pa.array(parts, pa.binary())], schema=schema)
-        held = np.flatnonzero(cells)
-        if len(held):
-            none = pa.nulls(len(held), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(held), np.int32)), none, pa.array(held), none, pa.array(cells[held]), pa.nulls(len(held), pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(texts.n, np.int32)), part.column(0), part.column(1), pa.array(sig, mask=n == 0), pa.array(n.astype(np.int64)), pa.array(parities(hashes, bounds), pa.binary())], schema=schema)
+        if cells.any():
+            pack, none = zstandard.ZstdCompressor(level=3).compress, pa.nulls(SEGMENTS, pa.int64())
+            parts = [pack(part.tobytes()) for part in cells.reshape(SEGMENTS, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(SEGMENTS, np.int32)), none, pa.array(np.arange(SEGMENTS)), none, none, pa.array(parts, pa.binary())], schema=schema)
 
-    return map_arrow(slim, run, "kind int, doc_id long, key long, sig long, n long, bins binary")
+    return map_arrow(slim, run, "kind int, doc_id long, key long, sig long, n long, parity binary")
+
+
+def cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
 def sketch(first: DataFrame) -> np.ndarray:
-    """The summed cells: SKETCH numbers, whatever the input."""
-    out = np.zeros(SKETCH, np.int64)
-    summed = first.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    out[summed.column("key").to_numpy()] = summed.column("n").to_numpy()
-    return out
+    """Each cell's count above the middle cell's: SKETCH numbers, whatever the input. The tasks' parts are summed by number."""
+
+    def run(batches):
+        unpack, sums = zstandard.ZstdDecompressor().decompress, {}
+        for batch in batches:
+            for key, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = np.frombuffer(unpack(part.as_py()), np.uint32)
+                sums[key] = sums[key] + found if key in sums else found.astype(np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["key", "cells"])
+
+    out = np.zeros((SEGMENTS, SKETCH // SEGMENTS), np.int64)
+    summed = map_arrow(first.where("kind = 1").select("key", "parity").repartition(SEGMENTS, "key"), run, "key long, cells binary").toArrow()
+    for key, cells in zip(summed.column("key").to_pylist(), summed.column("cells")):
+        out[key] = np.frombuffer(cells.as_py(), np.int64)
+    return np.minimum(np.maximum(out - int(np.median(out)), 0), (1 << 32) - 1).astype(np.uint32).reshape(-1)
 
 
 def prefix_size(n):
@@ -123,7 +156,7 @@ def prefix_size(n):
 
 def postings(docs: DataFrame, text: str, cells: np.ndarray) -> DataFrame:
     """token, salt, sig, place, n, central: the prefix of each set, once for each task that has it."""
-    shared = docs.sparkSession.sparkContext.broadcast(cells.astype(np.uint32) if cells.max(initial=0) < 1 << 32 else cells)
+    shared = docs.sparkSession.sparkContext.broadcast(cells)
     schema = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("sig", pa.int64()), ("place", pa.int32()), ("n", pa.int32()), ("central", pa.int32())])
 
     def run(batches):
@@ -134,7 +167,7 @@ def postings(docs: DataFrame, text: str, cells: np.ndarray) -> DataFrame:
                 sig = signatures(hashes, bounds).view(np.int64)
                 n = np.diff(bounds)
                 fresh = np.array([k > 0 and s not in seen and not seen.add(s) for s, k in zip(sig.tolist(), n.tolist())], bool)
-                often = cells[(hashes & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.int64)
+                often = cells[cell(hashes)].astype(np.int64)
                 row = np.repeat(np.arange(texts.n), n)
                 central = np.concatenate(([0.0], np.cumsum(np.log2(1.0 + often))))
                 central = ((central[bounds[1:]] - central[bounds[:-1]]) / np.maximum(n, 1) * 1000).astype(np.int32)
@@ -216,17 +249,17 @@ def candidates(met: DataFrame) -> DataFrame:
 
 
 def overlap_filter(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The suffix filter: pairs whose parts' sizes allow enough overlap."""
-    sized = pairs.join(classes.select(F.col("sig").alias("a"), F.col("bins").alias("a_bins"), F.col("n").alias("a_n")), "a").join(classes.select(F.col("sig").alias("b"), F.col("bins").alias("b_bins"), F.col("n").alias("b_n")), "b")
+    """The suffix filter: pairs whose parities allow few enough differences."""
+    sized = pairs.join(classes.select(F.col("sig").alias("a"), F.col("parity").alias("a_parity"), F.col("n").alias("a_n")), "a").join(classes.select(F.col("sig").alias("b"), F.col("parity").alias("b_parity"), F.col("n").alias("b_n")), "b")
 
     def run(batches):
         for batch in batches:
-            x, y = (wide(batch.column(i).to_pylist()) for i in (2, 4))
             a_n, b_n = (batch.column(i).to_numpy() for i in (3, 5))
-            held = np.flatnonzero(enough(x, y, a_n + b_n))
+            least = [int(differences(words_of(x.as_py()), words_of(y.as_py()))) for x, y in zip(batch.column(2), batch.column(4))]
+            held = np.flatnonzero(few_enough(np.array(least, np.int64), a_n + b_n))
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(held)) for i in (0, 1)], names=["a", "b"])
 
-    return map_arrow(sized.select("a", "b", "a_bins", "a_n", "b_bins", "b_n"), run, "a long, b long")
+    return map_arrow(sized.select("a", "b", "a_parity", "a_n", "b_parity", "b_n"), run, "a long, b long")
 
 
 def class_texts(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -298,10 +331,10 @@ def crossing(post: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFram
     y = named(few.withColumn("is_major", F.col("component") == F.col("major")), "y", "token", "sig", "n", "place", "component", "is_major")
     met = x.join(y, F.expr(f"x_token = y_token AND x_component <> y_component AND (y_is_major OR x_sig < y_sig) AND {LENGTH_SQL} AND {POSITION_SQL}"))
     small = overlap_filter(met.select(F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b")).distinct(), classes)
-    many = told.where(f"size > {SMALL}").join(classes.select("sig", "bins"), "sig").withColumn("q", F.expr(f"int(ceil(queries / {QUERY_BLOCK}))")).withColumn("r", F.expr(f"int(ceil(size / {ROW_BLOCK}))"))
+    many = told.where(f"size > {SMALL}").join(classes.select("sig", "parity"), "sig").withColumn("q", F.expr(f"int(ceil(queries / {QUERY_BLOCK}))")).withColumn("r", F.expr(f"int(ceil(size / {ROW_BLOCK}))"))
     part = lambda seed, n: F.pmod(F.xxhash64("sig", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["token", "query_block", "row_block", "side", "sig", "n", "place", "component", "is_major", "bins"]
+    columns = ["token", "query_block", "row_block", "side", "sig", "n", "place", "component", "is_major", "parity"]
     many = many.withColumn("is_major", F.col("component") == F.col("major"))
     queries = many.where("NOT is_major").withColumn("query_block", part(1, "q")).withColumn("row_block", every("r")).withColumn("side", F.lit(0)).select(*columns)
     rows = many.withColumn("row_block", part(2, "r")).withColumn("query_block", every("q")).withColumn("side", F.lit(1)).select(*columns)
@@ -310,19 +343,43 @@ def crossing(post: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFram
     return small.unionByName(map_arrow(dealt, block_pairs, "a long, b long")).distinct()
 
 
-def wide(buffers: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(x, np.uint8 if len(x) == BINS else "<u2").astype(np.uint16) for x in buffers]) if buffers else np.zeros((0, BINS), np.uint16)
+def words_of(parity: bytes) -> np.ndarray:
+    return np.frombuffer(parity, "<u8")
+
 
+def few_enough(least: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes in all that differ in so many members at least can link."""
+    return (NUMERATOR + DENOMINATOR) * least <= (DENOMINATOR - NUMERATOR) * total
 
-def enough(x: np.ndarray, y: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Whether sets of these bins and sizes in all can link. A bin at its ceiling may hold more: such pairs pass."""
-    most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-    return ((NUMERATOR + DENOMINATOR) * most >= NUMERATOR * total) | ((x == 65_535) | (y == 65_535)).any(axis=1)
+
+class Queries:
+    """A block's queries: columns, and parities in one array for each number of words, folded as rows ask for."""
+
+    def __init__(self, columns: list[np.ndarray], parities: list[bytes]):
+        self.columns, held = columns, {}
+        for i, parity in enumerate(parities):
+            held.setdefault(len(parity) // 8, []).append(i)
+        self.sizes = {}
+        self.where = np.zeros(len(parities), np.int64)
+        self.size = np.array([len(p) // 8 for p in parities], np.int64)
+        for size, rows in held.items():
+            self.where[rows] = np.arange(len(rows))
+            self.sizes[size, size] = np.stack([words_of(parities[i]) for i in rows])
+
+    def least(self, at: np.ndarray, parity: np.ndarray) -> np.ndarray:
+        """differences of the queries at and one row."""
+        out = np.zeros(len(at), np.int64)
+        for size in np.unique(self.size[at]).tolist():
+            some, low = np.flatnonzero(self.size[at] == size), min(size, len(parity))
+            if (size, low) not in self.sizes:
+                self.sizes[size, low] = folded(self.sizes[size, size], low)
+            out[some] = differences(self.sizes[size, low][self.where[at[some]]], folded(parity, low))
+        return out
 
 
 def block_pairs(batches):
     """Pairs of each block's queries (which come first) with its rows, in order of (token, query_block, row_block, side)."""
-    current, held = None, []
+    current, held, queries = None, [], None
     for batch in batches:
         keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
         change = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
@@ -330,25 +387,28 @@ def block_pairs(batches):
             if lo == hi:
                 continue
             part = batch.slice(lo, hi - lo)
-            values = [part.column(i).to_numpy(zero_copy_only=False) for i in range(4, 9)] + [wide(part.column(9).to_pylist())]
+            values = [part.column(i).to_numpy(zero_copy_only=False) for i in range(4, 9)]
             key = tuple(keys[:3, lo].tolist())
             if key != current:
-                current, held = key, []
+                current, held, queries = key, [], None
             if keys[3, lo] == 0:
-                held.append(values)
+                held.append((values, part.column(9).to_pylist()))
+                continue
+            if queries is None and not held:
                 continue
-            if len(held) > 1:
-                held = [[np.concatenate(c) for c in zip(*held)]]
-            sig, n, place, component, _, x = held[0]
-            sig2, n2, place2, component2, is_major, y = values
-            for i in range(len(sig2)):
+            if queries is None:
+                queries = Queries([np.concatenate(c) for c in zip(*(v for v, _ in held))], [p for _, some in held for p in some])
+                held = []
+            sig, n, place, component, _ = queries.columns
+            sig2, n2, place2, component2, is_major = values
+            for i, parity in enumerate(part.column(9)):
                 small, large = np.minimum(n, n2[i]).astype(np.int64), np.maximum(n, n2[i]).astype(np.int64)
                 after, before = np.minimum(n - place, n2[i] - place2[i]), np.minimum(place, place2[i])
                 ok = (component != component2[i]) & (is_major[i] | (sig < sig2[i])) & (DENOMINATOR * small >= NUMERATOR * large)
                 ok &= (NUMERATOR + DENOMINATOR) * (after + before).astype(np.int64) >= NUMERATOR * (small + large)
                 at = np.flatnonzero(ok)
                 if len(at):
-                    at = at[enough(x[at], y[i], (small + large)[at])]
+                    at = at[few_enough(queries.least(at, words_of(parity.as_py())), (small + large)[at])]
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sig[at], sig2[i])), pa.array(np.maximum(sig[at], sig2[i]))], names=["a", "b"])
 
@@ -356,12 +416,12 @@ def block_pairs(batches):
 def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, key, sig, n) and components (sig, component) of the classes that link to others."""
     first = stage(first_pass(docs, doc_id, text), "sets")
-    members = first.where("kind = 0").select("doc_id", "key", "sig", "n", "bins")
+    members = first.where("kind = 0").select("doc_id", "key", "sig", "n", "parity")
     cells = sketch(first)
     post = stage(shared_postings(postings(docs, text, cells)), "postings")
-    classes = stage(members.where("sig IS NOT NULL").groupBy("sig").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "key")).alias("one"), F.max("n").alias("n"), F.max("bins").alias("bins")), "classes")
+    classes = stage(members.where("sig IS NOT NULL").groupBy("sig").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "key")).alias("one"), F.max("n").alias("n"), F.max("parity").alias("parity")), "classes")
     meet = candidates(meetings(post))
-    # Salted groups of one shingle meet through their most central classes, of which the sketch bounds the number.
+    # Salted groups of one shingle meet through their most central classes, of which there are as many as salts.
     tops = post.where("salt > 0 AND y_sig = sig").select("token", "sig", "n", "place")
     least = tops.groupBy("token").agg(F.min(F.struct("sig", "n", "place")).alias("y"))
     led = tops.join(least, "token").select("sig", "n", "place", F.col("y.sig").alias("y_sig"), F.col("y.n").alias("y_n"), F.col("y.place").alias("y_place"))
@@ -370,7 +430,7 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tupl
     labels = stage(components(links).withColumnRenamed("node", "sig"), "labels")
     more = stage(crossing(post, labels, classes).join(pairs, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(linked(more, docs, doc_id, text, classes))
-    return members.drop("bins"), components(links).withColumnRenamed("node", "sig")
+    return members.drop("parity"), components(links).withColumnRenamed("node", "sig")
 
 
 NO_ID_LAST = (1 << 63) - 1
