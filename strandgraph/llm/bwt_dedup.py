@@ -27,6 +27,8 @@ are cut into overlapping parts of PART bytes, which changes stretches but no res
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -35,13 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytewords as B
-from .common import drop, fresh, map_arrow, map_rows, squeezed, stage
+from .common import drop, free_names, fresh, map_arrow, map_rows, squeezed, stage
 
 WINDOW = 400
+#: A passage is a run covered by repeated strings of so many bytes that holds more words than that: 51 words of three
+#: letters and a space have 203 bytes.
+PASSAGE_WINDOW, PASSAGE_WORDS = 200, 50
 GRAM = 16
-#: A power of two; SPAN + GRAM is less than WINDOW.
-SPAN = 256
-DEPTH = WINDOW - SPAN + 1
 BLOCK = 16
 PART = 1 << 20
 
@@ -50,6 +52,26 @@ INVERSE = pow(BASE, -1, 1 << 64)
 _VALUES = B.stream(256, 9)
 
 
+@dataclass(frozen=True)
+class Form:
+    """Bytes of a window; span, the k-grams that its anchor is sought in (the largest power of two up to two thirds of the
+    window; span + GRAM is less than the window); and depth, the bytes that all windows of an anchor hold to its right."""
+
+    window: int
+
+    def __post_init__(self):
+        if self.window < 4 * GRAM:
+            raise ValueError(f"windows have {4 * GRAM} bytes at least")
+
+    @property
+    def span(self) -> int:
+        return 1 << (2 * self.window // 3).bit_length() - 1
+
+    @property
+    def depth(self) -> int:
+        return self.window - self.span + 1
+
+
 class Prefixes:
     """Hashes of any substring of a byte array, from one running sum of a polynomial."""
 
@@ -63,40 +85,40 @@ class Prefixes:
         return B.mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
 
 
-def parts(texts: B.Texts):
+def parts(texts: B.Texts, window: int = WINDOW):
     """(row of each text or part, Texts whose rows are parts, start of each part, last window start + 1 in each part)."""
     size = int(texts.offsets[-1])
-    if size <= PART + WINDOW:
+    if size <= PART + window:
         starts = np.zeros(texts.n, np.int64)
-        stops = np.maximum(np.diff(texts.offsets) - WINDOW + 1, 0)
+        stops = np.maximum(np.diff(texts.offsets) - window + 1, 0)
         yield np.arange(texts.n), texts, starts, stops
         return
     for row in range(texts.n):
         data = texts.data[texts.offsets[row] : texts.offsets[row + 1]]
-        for start in range(0, max(len(data) - WINDOW + 1, 1), PART):
-            piece = data[start : start + PART + WINDOW - 1]
-            yield np.array([row]), B.Texts(0, piece, np.array([0, len(piece)])), np.array([start]), np.array([max(len(piece) - WINDOW + 1, 0)])
+        for start in range(0, max(len(data) - window + 1, 1), PART):
+            piece = data[start : start + PART + window - 1]
+            yield np.array([row]), B.Texts(0, piece, np.array([0, len(piece)])), np.array([start]), np.array([max(len(piece) - window + 1, 0)])
 
 
-def anchors(hashes: Prefixes, n: int) -> np.ndarray:
-    """For each byte place from which SPAN k-grams start, the place of the least k-gram hash."""
+def anchors(hashes: Prefixes, n: int, span: int) -> np.ndarray:
+    """For each byte place from which span k-grams start, the place of the least k-gram hash."""
     at = np.arange(n - GRAM + 1)
     least = (hashes.of(at, at + GRAM) & ~np.uint64(0xFFFFFF)) | at.astype(np.uint64)
     width = 1
-    while width < SPAN:
+    while width < span:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     return (least & np.uint64(0xFFFFFF)).astype(np.int64)
 
 
-def stretches(texts: B.Texts, stops: np.ndarray, hashes: Prefixes) -> tuple[np.ndarray, ...]:
+def stretches(texts: B.Texts, stops: np.ndarray, hashes: Prefixes, span: int) -> tuple[np.ndarray, ...]:
     """(row, first window start, last window start, anchor) of each stretch; places in the chunk."""
     none = np.zeros(0, np.int64)
     if not stops.sum():
         return none, none, none, none
     row = np.repeat(np.arange(texts.n), stops)
     start = np.arange(len(row)) - np.repeat(np.cumsum(stops) - stops, stops) + np.repeat(texts.offsets[:-1], stops)
-    anchor = anchors(hashes, len(texts.data))[start]
+    anchor = anchors(hashes, len(texts.data), span)[start]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
     first = np.flatnonzero(new)
@@ -113,21 +135,21 @@ def row_key(doc_id: str, text: str):
     return F.xxhash64(F.col(f"`{doc_id}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit("row"))
 
 
-def shard_transforms(rows: DataFrame) -> DataFrame:
+def shard_transforms(rows: DataFrame, form: Form) -> DataFrame:
     """Sorted suffixes with their transform symbols, shard after shard. rows: row and text."""
 
     def run(batches):
         for batch in batches:
             key = batch.column(0).to_numpy(zero_copy_only=False)
             for texts in B.chunks(batch.column(1)):
-                for origin, piece, begin, stops in parts(texts):
+                for origin, piece, begin, stops in parts(texts, form.window):
                     if not stops.sum():
                         continue
                     hashes = Prefixes(piece.data)
-                    row, first, last, anchor = stretches(piece, stops, hashes)
-                    prefix = hashes.of(anchor, anchor + DEPTH)
-                    reach = (anchor - first) * SPAN + (last - first)
-                    symbol = B.mix(hashes.of(first, anchor) * np.uint64(3) + hashes.of(anchor, last + WINDOW) * np.uint64(5) + reach.astype(np.uint64))
+                    row, first, last, anchor = stretches(piece, stops, hashes, form.span)
+                    prefix = hashes.of(anchor, anchor + form.depth)
+                    reach = (anchor - first) * form.span + (last - first)
+                    symbol = B.mix(hashes.of(first, anchor) * np.uint64(3) + hashes.of(anchor, last + form.window) * np.uint64(5) + reach.astype(np.uint64))
                     order = np.lexsort((symbol, prefix))
                     columns = [key[texts.first + origin[row]], (first - piece.offsets[row] + begin[row]).astype(np.int32), (last - first + 1).astype(np.int32), (anchor - first).astype(np.int32), prefix.view(np.int64), symbol.view(np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array(c[order]) for c in columns], schema=_ARROW)
@@ -145,7 +167,7 @@ def refine(members: DataFrame, interval: list[str], kind: str, one: list[str]) -
     return kinds.where("copies > 1").select(*interval, kind), asked
 
 
-def stretch_bytes(docs: DataFrame, asked: DataFrame) -> DataFrame:
+def stretch_bytes(docs: DataFrame, asked: DataFrame, form: Form) -> DataFrame:
     """asked (row, first, windows, lead, prefix, copies) with the bytes of each stretch. docs: row and text."""
     lists = asked.groupBy("row").agg(F.collect_list(F.struct("first", "windows", "lead", "prefix", "copies")).alias("asked"))
     schema = pa.schema([("row", pa.int64()), ("first", pa.int32()), ("windows", pa.int32()), ("lead", pa.int32()), ("prefix", pa.int64()), ("copies", pa.int32()), ("bytes", pa.binary())])
@@ -156,14 +178,14 @@ def stretch_bytes(docs: DataFrame, asked: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 data, wanted = unpack(batch.column(1)[i].as_py()), batch.column(2)[i].values
                 first, windows = (wanted.field(j).to_pylist() for j in (0, 1))
-                cut = pa.array([data[a : a + n + WINDOW - 1] for a, n in zip(first, windows)], pa.binary())
+                cut = pa.array([data[a : a + n + form.window - 1] for a, n in zip(first, windows)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), batch.column(0)[i].as_py())), *(wanted.field(j) for j in range(5)), cut], schema=schema)
 
     joined = squeezed(docs, "text").join(lists, "row").dropDuplicates(["row"]).select("row", "text", "asked")
     return map_arrow(joined, run, "row long, first int, windows int, lead int, prefix long, copies int, bytes binary")
 
 
-def blocks(torn: DataFrame) -> DataFrame:
+def blocks(torn: DataFrame, form: Form) -> DataFrame:
     """For each stretch, its blocks: windows whose anchor is t bytes on, t div BLOCK = block. core: hash of what all windows of
     such a block hold; hull: of all that the stretch's own windows in it hold."""
 
@@ -183,15 +205,15 @@ def blocks(torn: DataFrame) -> DataFrame:
                 anchor = base[i] + lead[s][i]
                 high = np.minimum(block * BLOCK + BLOCK - 1, lead[s][i])
                 low = np.maximum(block * BLOCK, lead[s][i] - windows[s][i] + 1)
-                core = hashes.of(anchor - block * BLOCK, anchor - block * BLOCK - BLOCK + 1 + WINDOW)
-                hull = B.mix(hashes.of(anchor - high, anchor - low + WINDOW) + (high * SPAN + low).astype(np.uint64))
+                core = hashes.of(anchor - block * BLOCK, anchor - block * BLOCK - BLOCK + 1 + form.window)
+                hull = B.mix(hashes.of(anchor - high, anchor - low + form.window) + (high * form.span + low).astype(np.uint64))
                 start = (first[s][i] + lead[s][i] - high).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(row[s][i]), pa.array(first[s][i]), pa.array(block.astype(np.int32)), pa.array(start), pa.array((high - low + 1).astype(np.int32)), pa.array(prefix[s][i]), pa.array(copies[s][i]), pa.array(core.view(np.int64)), pa.array(hull.view(np.int64))], schema=schema)
 
     return map_arrow(torn.select("row", "first", "windows", "lead", "prefix", "copies", "bytes"), run, "row long, first int, block int, start int, windows int, prefix long, copies int, core long, hull long")
 
 
-def single_windows(torn: DataFrame, asked: DataFrame) -> DataFrame:
+def single_windows(torn: DataFrame, asked: DataFrame, form: Form) -> DataFrame:
     """One row for each window of the blocks asked for: core, window (hash), row, at, copies."""
 
     def run(batches):
@@ -204,34 +226,35 @@ def single_windows(torn: DataFrame, asked: DataFrame) -> DataFrame:
                 i = np.repeat(np.arange(texts.n), count)
                 step = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
                 place = texts.offsets[:-1][i] + offset[s][i] + step
-                found = Prefixes(texts.data).of(place, place + WINDOW).view(np.int64)
+                found = Prefixes(texts.data).of(place, place + form.window).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(row[s][i]), pa.array((start[s][i] + step).astype(np.int32)), pa.array(copies[s][i]), pa.array(core[s][i]), pa.array(found)], schema=schema)
 
     joined = torn.select("row", "first", "bytes").join(asked, ["row", "first"])
     return map_arrow(joined.select("row", (F.col("start") - F.col("first")).alias("offset"), "start", "windows", "copies", "core", "bytes"), run, "row long, at int, copies int, core long, window long")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """row and spans: byte ranges (start, end), in no order, that cover exactly the repeated windows. docs: row and text."""
+    form = Form(window)
     covered = lambda df: df.select("row", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
     # Depth one: whole stretches.
-    suffixes = stage(shard_transforms(docs), "suffixes")
+    suffixes = stage(shard_transforms(docs, form), "suffixes")
     # Written first, so that both sides of the join are read from shuffles and a frequent prefix can be split.
     shared = stage(suffixes.groupBy("prefix").agg(F.count("*").alias("size")).where("size > 1").select("prefix"), "shared")
     active = stage(suffixes.join(shared, "prefix", "left_semi").withColumn("copies", F.lit(1)), "intervals")
     drop(suffixes)
     whole, asked = refine(active, ["prefix"], "symbol", ["row", "first", "windows", "lead"])
-    spans = covered(active.join(whole, ["prefix", "symbol"], "left_semi").withColumn("start", F.col("first")).withColumn("end", F.col("first") + F.col("windows") + WINDOW - 1))
-    torn = stage(stretch_bytes(docs, asked), "torn")
+    spans = covered(active.join(whole, ["prefix", "symbol"], "left_semi").withColumn("start", F.col("first")).withColumn("end", F.col("first") + F.col("windows") + window - 1))
+    torn = stage(stretch_bytes(docs, asked, form), "torn")
     # Depth two: blocks of windows.
-    members = stage(blocks(torn), "blocks")
+    members = stage(blocks(torn, form), "blocks")
     interval = ["prefix", "block", "core"]
     whole, asked = refine(members, interval, "hull", ["row", "first", "start", "windows"])
-    spans = spans.unionByName(covered(members.where("copies = 1").join(whole, [*interval, "hull"], "left_semi").withColumn("end", F.col("start") + F.col("windows") + WINDOW - 1)))
+    spans = spans.unionByName(covered(members.where("copies = 1").join(whole, [*interval, "hull"], "left_semi").withColumn("end", F.col("start") + F.col("windows") + window - 1)))
     # Depth three: single windows.
-    windows = stage(single_windows(torn, asked.select("row", "first", "start", "windows", "copies", "core")), "windows")
+    windows = stage(single_windows(torn, asked.select("row", "first", "start", "windows", "copies", "core"), form), "windows")
     equal = windows.groupBy("core", "window").agg(F.sum("copies").alias("n")).where("n > 1").select("core", "window")
-    spans = spans.unionByName(covered(windows.where("copies = 1").join(equal, ["core", "window"], "left_semi").withColumn("start", F.col("at")).withColumn("end", F.col("at") + WINDOW)))
+    spans = spans.unionByName(covered(windows.where("copies = 1").join(equal, ["core", "window"], "left_semi").withColumn("start", F.col("at")).withColumn("end", F.col("at") + window)))
     return spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
@@ -245,53 +268,107 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[first], end[np.concatenate((first[1:] - 1, [len(start) - 1]))] if len(start) else end
 
 
-def removal(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, names: tuple[str, ...] = ("n_bytes", "n_removed", "n_spans", "kept"), decoded: bool = False) -> DataFrame:
+def cut(docs: DataFrame, spans: DataFrame, least: int) -> DataFrame:
+    """The runs that spans cover, of `least` bytes or more, as texts of their own: piece (a key), row, base and text (bytes)."""
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for row, text, found in zip(*(batch.column(i) for i in range(3))):
+                start, end = merged(*(found.values.field(j).to_numpy(zero_copy_only=False).astype(np.int64) for j in range(2)))
+                held = np.flatnonzero(end - start >= least)
+                if len(held):
+                    data = unpack(text.as_py())
+                    yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * len(held), pa.int64()), pa.array(start[held].astype(np.int32)), pa.array([data[a:b] for a, b in zip(start[held], end[held])], pa.binary())], names=["row", "base", "text"])
+
+    return map_arrow(squeezed(docs, "text").join(spans, "row").select("row", "text", "spans"), run, "row long, base int, text binary").select(F.xxhash64("row", "base").alias("piece"), "row", "base", "text")
+
+
+def finer_spans(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
+    """repeated_spans for a longer window, from those of a shorter one: a repeated string lies in what its parts cover, so
+    that only the covered runs of `window` bytes or more are read."""
+    pieces = stage(cut(docs, spans, window), "pieces")
+    found = repeated_spans(pieces.select(F.col("piece").alias("row"), "text"), window).withColumnRenamed("row", "piece")
+    placed = found.join(pieces.select("piece", "row", "base").distinct(), "piece").select("row", F.explode("spans").alias("span"), "base")
+    return placed.groupBy("row").agg(F.collect_set(F.struct((F.col("span.start") + F.col("base")).alias("start"), (F.col("span.end") + F.col("base")).alias("end"))).alias("spans"))
+
+
+NAMES = ("n_bytes", "n_removed", "n_spans", "kept")
+
+
+def removal(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, names: tuple[str, ...] | None = None, decoded: bool = False, window: int = WINDOW, words: int = 0, passages: bool = False) -> DataFrame:
     """keep (all columns but the text by default) with the text's bytes, removed bytes, removed runs and remaining bytes, or these
-    decoded, without what is left of a cut character."""
+    decoded, without what is left of a cut character. Only runs of more than `words` words are removed.
+
+    passages: also the number and bytes of passages, runs covered by repeated strings of PASSAGE_WINDOW bytes that hold
+    more than PASSAGE_WORDS words; they are counted, not removed. names: of the new columns, by default NAMES (and
+    n_passages, passage_bytes), with underscores before a name that keep has.
+    """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    row, found = fresh(docs, "_row"), fresh(docs, "_spans")
-    spans = repeated_spans(docs.select(row_key(doc_id, text).alias("row"), F.col(f"`{text}`").alias("text")))
-    whole = squeezed(docs.select(*(f"`{c}`" for c in dict.fromkeys([*keep, text]))).withColumn(row, row_key(doc_id, text)) if doc_id in keep else docs.withColumn(row, row_key(doc_id, text)), text)
-    joined = whole.join(spans.select(F.col("row").alias(row), F.col("spans").alias(found)), row, "left").select(*(f"`{c}`" for c in dict.fromkeys([*keep, text])), found)
-    place, last = joined.columns.index(text), len(joined.columns) - 1
+    if text in keep:
+        raise ValueError("the text itself is returned as what is kept of it")
+    given = (*NAMES, "n_passages", "passage_bytes") if passages else NAMES
+    names = free_names(keep, *given) if names is None else names
+    row, found, short = fresh(docs, "_row"), fresh(docs, "_spans"), fresh(docs, "_short")
+    keyed = docs.select(row_key(doc_id, text).alias("row"), F.col(f"`{text}`").alias("text"))
+    if passages and PASSAGE_WINDOW < window:
+        shorter = stage(repeated_spans(keyed, PASSAGE_WINDOW), "spans")
+        spans = shorter.withColumnRenamed("spans", short).join(finer_spans(keyed, shorter, window).withColumnRenamed("spans", found), "row", "left")
+    elif passages:
+        raise ValueError(f"passages are counted beside windows of more than {PASSAGE_WINDOW} bytes")
+    else:
+        spans = repeated_spans(keyed, window).withColumnRenamed("spans", found)
+    needed = list(dict.fromkeys([*keep, doc_id, text]))
+    whole = squeezed(docs.select(*(f"`{c}`" for c in needed)).withColumn(row, row_key(doc_id, text)), text)
+    of_row = [short, found] if passages else [found]
+    joined = whole.join(spans.withColumnRenamed("row", row), row, "left").select(*(f"`{c}`" for c in dict.fromkeys([*keep, text])), *of_row)
+    place = joined.columns.index(text)
+    at = [joined.columns.index(c) for c in of_row]
 
     def make():
         unpack = zstandard.ZstdDecompressor().decompress
 
-        def one(value, spans):
-            data = b"" if value is None else unpack(value)
+        def runs(data, spans, words):
             if spans is None or not len(spans):
-                return len(data), 0, 0, data
+                return []
             start, end = merged(*(spans.field(j).to_numpy(zero_copy_only=False).astype(np.int64) for j in range(2)))
-            left = b"".join(data[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(data)]))
-            return len(data), int((end - start).sum()), len(start), left
+            return [(a, b) for a, b in zip(start.tolist(), end.tolist()) if not words or len(data[a:b].split()) > words]
 
         def work(batch):
-            spans = batch.column(last)
-            found = [one(t.as_py(), s.values if s.is_valid else None) for t, s in zip(batch.column(place), spans)]
-            return [*(pa.array([f[j] for f in found], pa.int64()) for j in range(3)), pa.array([f[3].decode("utf-8", "ignore") for f in found], pa.string()) if decoded else pa.array([f[3] for f in found], pa.binary())]
+            out = []
+            for i, value in enumerate(batch.column(place)):
+                data = unpack(value.as_py()) if value.is_valid else b""
+                spans = [batch.column(j)[i] for j in at]
+                spans = [s.values if s.is_valid else None for s in spans]
+                gone = runs(data, spans[-1], words)
+                left = b"".join(data[a:b] for a, b in zip([0, *(b for _, b in gone)], [*(a for a, _ in gone), len(data)]))
+                said = runs(data, spans[0], PASSAGE_WORDS) if passages else []
+                out.append((len(data), sum(b - a for a, b in gone), len(gone), left, len(said), sum(b - a for a, b in said)))
+            counts = [pa.array([f[j] for f in out], pa.int64()) for j in (0, 1, 2, 4, 5)]
+            kept = pa.array([f[3].decode("utf-8", "ignore") for f in out], pa.string()) if decoded else pa.array([f[3] for f in out], pa.binary())
+            return [*counts[:3], kept, *(counts[3:] if passages else [])]
 
         return work
 
-    if text in keep:
-        raise ValueError("the text itself is returned as what is kept of it")
-    fields = T.StructType([*(T.StructField(n, T.LongType()) for n in names[:3]), T.StructField(names[3], T.StringType() if decoded else T.BinaryType())])
-    return map_rows(joined, keep, fields, make)
+    kinds = [T.LongType(), T.LongType(), T.LongType(), T.StringType() if decoded else T.BinaryType(), T.LongType(), T.LongType()]
+    return map_rows(joined, keep, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)]), make)
 
 
 def digest(removed: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and n_passages and passage_bytes if counted."""
+    more = [c for c in ("n_passages", "passage_bytes") if c in removed.columns]
+    return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), *more)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """The documents without repeated passages. Texts that end up empty stay as rows, n_chars follows the text where one
-    was removed, and null texts become empty."""
+def remove_repeats(docs: DataFrame, window: int = PASSAGE_WINDOW, words: int = PASSAGE_WORDS) -> DataFrame:
+    """The documents without repeated passages: runs covered by strings of `window` bytes that stand elsewhere too, of more
+    than `words` words. Texts that end up empty stay as rows, n_chars follows the text where one was removed, and null texts
+    become empty."""
     prefix = "_kept"
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix = f"_{prefix}"
     names = tuple(f"{prefix}_{x}" for x in ("bytes", "removed", "spans", "text"))
-    out = removal(docs, names=names, decoded=True).withColumn("text", F.col(names[3]))
+    out = removal(docs, names=names, decoded=True, window=window, words=words).withColumn("text", F.col(names[3]))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(names[1]) == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*(f"`{c}`" for c in docs.columns))

@@ -67,8 +67,8 @@ def chunks(column: pa.Array | pa.ChunkedArray, target: int = CHUNK_BYTES, most:
     empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if pa.types.is_large_binary(column.type):
-        column = column.fill_null(b"")
+    if pa.types.is_large_binary(column.type) or pa.types.is_binary(column.type):
+        column = column.cast(pa.large_binary()).fill_null(b"")
     else:
         column = column.cast(pa.large_string()).fill_null("")
     n = len(column)

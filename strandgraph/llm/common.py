@@ -63,6 +63,17 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def free_names(keep: list[str], *names: str) -> tuple[str, ...]:
+    """names, each with underscores before it if keep, or another of them, has that name (case aside)."""
+    taken, out = {c.lower() for c in keep}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def tidy() -> None:
     """Give memory that is free back to the system: a worker outlives its task, beside the next task's JVM."""
     pa.default_memory_pool().release_unused()
@@ -107,7 +118,7 @@ def squeezed(docs: DataFrame, text: str) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             columns = list(batch.columns)
-            columns[place] = pa.array([None if t is None else pack(t.encode()) for t in columns[place].to_pylist()], pa.binary())
+            columns[place] = pa.array([None if t is None else pack(t.encode() if isinstance(t, str) else t) for t in columns[place].to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return map_arrow(docs, run, schema)

@@ -49,7 +49,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bwt_dedup.digest(bwt_dedup.removal(docs, keep=["doc_id"]))
+    return bwt_dedup.digest(bwt_dedup.removal(docs, keep=["doc_id"], passages=True))
 
 
 def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:

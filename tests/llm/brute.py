@@ -67,6 +67,22 @@ def repeats(texts, window=400):
     return out
 
 
+def passages(texts, window, words):
+    """(number, bytes) of each text's runs covered by repeated strings of window bytes that hold more than so many words."""
+    data = [(t or "").encode() for t in texts]
+    counts = Counter(b[i : i + window] for b in data for i in range(len(b) - window + 1))
+    out = []
+    for b in data:
+        hit = bytearray(len(b))
+        for i in range(len(b) - window + 1):
+            if counts[b[i : i + window]] > 1:
+                hit[i : i + window] = b"\1" * window
+        runs = [m.span() for m in re.finditer(rb"\x01+", bytes(hit))]
+        held = [e - s for s, e in runs if len(b[s:e].split()) > words]
+        out.append((len(held), sum(held)))
+    return out
+
+
 def contamination(text, items, size=10):
     words, hit, names = alnum_words(text), set(), set()
     for item, item_text in items:
