@@ -191,8 +191,8 @@ def mesh_semi_filter(spark, sf_dir):
 
 @query("SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_returnflag = 'R' AND l_linestatus = 'F')")
 def nested_any_match(spark, sf_dir):
-    lines = star.read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_returnflag", "l_linestatus")).alias("refs"))
-    return lines.where(F.exists("refs", lambda r: (r["l_returnflag"] == "R") & (r["l_linestatus"] == "F"))).select("l_orderkey", F.size("refs").cast("long").alias("lines"))
+    hit = F.bool_or((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"))
+    return star.read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(hit.alias("hit"), F.count("*").alias("lines")).where("hit").select("l_orderkey", "lines")
 
 
 @query(f"WITH {TREE} SELECT ui FROM tree WHERE tree_number LIKE 'C01%' OR tree_number LIKE 'C03%'")
@@ -258,14 +258,14 @@ def cascade_delete(spark, sf_dir):
     return W.cascade_delete(star.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), gone, ["o_custkey"], ["c_custkey"])
 
 
-@query("WITH new AS (SELECT user_id AS cache_key, props AS value_json FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_id % 3 = 0) WHERE r = 1) SELECT * FROM new UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey < 200 AND c_custkey NOT IN (SELECT cache_key FROM new)")
+@query("WITH new AS (SELECT user_id AS cache_key, props AS value_json FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1) SELECT * FROM new UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT cache_key FROM new)")
 def upsert_last_wins(spark, sf_dir):
     present = star.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cache_key"), F.col("c_mktsegment").alias("value_json"))
     batch = star.cache_rows(spark, sf_dir).select("cache_key", "value_json", F.struct("ts", "event_id").alias("seq"))
     return W.upsert(present, batch, ["cache_key"], "seq")
 
 
-@query("WITH old AS (SELECT c_custkey AS cache_key, c_mktsegment AS value_json FROM customer WHERE c_custkey < 60) SELECT * FROM old UNION ALL SELECT user_id, props FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r = 1 AND user_id NOT IN (SELECT cache_key FROM old)")
+@query("WITH old AS (SELECT c_custkey AS cache_key, c_mktsegment AS value_json FROM customer) SELECT * FROM old UNION ALL SELECT user_id, props FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r = 1 AND user_id NOT IN (SELECT cache_key FROM old)")
 def insert_if_absent(spark, sf_dir):
     present = star.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cache_key"), F.col("c_mktsegment").alias("value_json"))
     batch = star.cache_rows(spark, sf_dir).select("cache_key", "value_json", F.struct("ts", "event_id").alias("seq"))
@@ -286,7 +286,7 @@ def json_merge(spark, sf_dir):
     return star.read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k_old"), merged["k"].alias("k_new"), merged["t"].alias("t"))
 
 
-@query("SELECT doc_id, lower(w) AS term, min(i) AS pos FROM (SELECT doc_id, unnest(string_split(left(text, 400), ' ')) AS w, generate_subscripts(string_split(left(text, 400), ' '), 1) AS i FROM documents WHERE lang = 'en') WHERE w <> '' GROUP BY ALL")
+@query("SELECT doc_id, lower(w) AS term, min(i) AS pos FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents) WHERE w <> '' GROUP BY ALL")
 def case_insensitive_dedupe(spark, sf_dir):
     words = star.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w")).where("w <> ''")
     return words.groupBy("doc_id", F.lower("w").alias("term")).agg(F.min(F.col("p") + 1).cast("long").alias("pos"))
@@ -406,7 +406,7 @@ def edge_style(spark, sf_dir):
     return G.styled(edges(spark, sf_dir, "associated_with")).select("src_id", "dst_id", F.round("width", 6).alias("width"), "opacity")
 
 
-@query("SELECT w.q AS qid, coalesce(c.label, e.label, 'Wikidata:' || w.q) AS label FROM (SELECT 'Q' || c_custkey AS q, c_custkey AS k FROM customer WHERE c_custkey < 400) w LEFT JOIN (SELECT 'Q' || user_id AS q, max(json_extract_string(props, '$.k')) AS label FROM events WHERE ts + INTERVAL 30 DAY >= TIMESTAMP '2024-02-15 00:00:00' GROUP BY 1) c ON c.q = w.q LEFT JOIN (SELECT 'Q' || s_suppkey AS q, s_name AS label FROM supplier) e ON e.q = w.q")
+@query("SELECT w.q AS qid, coalesce(c.label, e.label, 'Wikidata:' || w.q) AS label FROM (SELECT 'Q' || c_custkey AS q, c_custkey AS k FROM customer) w LEFT JOIN (SELECT 'Q' || user_id AS q, max(json_extract_string(props, '$.k')) AS label FROM events WHERE ts + INTERVAL 30 DAY >= TIMESTAMP '2024-02-15 00:00:00' GROUP BY 1) c ON c.q = w.q LEFT JOIN (SELECT 'Q' || s_suppkey AS q, s_name AS label FROM supplier) e ON e.q = w.q")
 def label_cache_aside(spark, sf_dir):
     key = lambda c: F.concat(F.lit("Q"), F.col(c).cast("string"))
     ids = star.read(spark, sf_dir, "customer").select(key("c_custkey").alias("qid"))
