@@ -59,6 +59,11 @@ def phase_join(c: Column) -> Column:
     return blank_to_null(F.trim(F.array_join(c, ",")))
 
 
+def phase_text(c: Column) -> Column:
+    """phase_join of JSON text: a list, or plain text as it is."""
+    return F.when(F.ltrim(c).startswith("["), phase_join(F.from_json(c, "array<string>"))).otherwise(blank_to_null(F.trim(c)))
+
+
 def org_key(c: Column) -> Column:
     return F.concat(F.lit("ORG:"), F.substring(F.regexp_replace(F.upper(c), WHITE, "_"), 1, 120))
 
@@ -100,6 +105,20 @@ def edge_opacity(score: Column) -> Column:
     return F.greatest(F.lit(0.2), score)
 
 
+#: Colour, shape and size of nodes by kind; other kinds have the last.
+NODE_STYLES = {"disease": ("#e74c3c", "diamond", 35), "target": ("#3498db", "dot", 20), "drug": ("#2ecc71", "box", 30), "patent": ("#9b59b6", "star", 25), "company": ("#f39c12", "box", 25)}
+OTHER_STYLE = ("#95a5a6", "dot", 20)
+
+
+def node_style(kind: Column) -> Column:
+    """A struct of colour, shape and size."""
+    one = lambda style: F.struct(F.lit(style[0]).alias("color"), F.lit(style[1]).alias("shape"), F.lit(style[2]).alias("size"))
+    out = None
+    for name, style in NODE_STYLES.items():
+        out = F.when(kind == name, one(style)) if out is None else out.when(kind == name, one(style))
+    return out.otherwise(one(OTHER_STYLE))
+
+
 def like_pattern(q: str) -> str:
     """%q% for ILIKE with backslash as escape: a backslash before an ordinary character is dropped, % and _ stay wildcards,
     and a lone one at the end makes the closing % literal."""

@@ -42,3 +42,8 @@ def matching(df: DataFrame, ids: list[str], columns: tuple[str, ...] = ("mesh_id
                 return df.where(F.arrays_overlap(F.col(name), F.array(*(F.lit(i) for i in ids)))) if ids else df.limit(0)
             return df.where(F.col(name).isin(ids))
     return df
+
+
+def as_json(df: DataFrame) -> DataFrame:
+    """The rows as JSON objects, one line each, nulls included: what an endpoint answers with, or writes with write.text."""
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))

@@ -460,8 +460,12 @@ def ordered_names(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from . import loaders  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import loaders  # noqa: F401
+
     return dict(_SQL)

@@ -16,7 +16,7 @@ DAY = "struct<date:string>"
 STUDY = (
     "struct<protocolSection:struct<identificationModule:struct<nctId:string,officialTitle:string,briefTitle:string>,"
     f"statusModule:struct<overallStatus:string,startDateStruct:{DAY},primaryCompletionDateStruct:{DAY},completionDateStruct:{DAY}>,"
-    "designModule:struct<studyType:string,phases:array<string>>,sponsorCollaboratorsModule:struct<leadSponsor:struct<name:string>>,"
+    "designModule:struct<studyType:string,phases:string>,sponsorCollaboratorsModule:struct<leadSponsor:struct<name:string>>,"
     "sponsorsCollaboratorsModule:struct<leadSponsor:struct<name:string>>,conditionsModule:struct<conditions:array<string>>,"
     "armsInterventionsModule:struct<interventions:array<struct<type:string,name:string>>>>,"
     f"derivedSection:struct<miscInfoModule:struct<lastUpdatePostDateStruct:{DAY}>>>"
@@ -39,8 +39,11 @@ def mesh_records(spark: SparkSession, path: str, partitions: int | None = None)
     """ui, name, trees, terms (as listed, stripped, without empty ones) of each complete record. A gzip file is one split, so its
     records are dealt out before they are worked on."""
     raw = spark.read.option("rowTag", "DescriptorRecord").schema(DESCRIPTOR).xml(path)
-    if partitions:
-        raw = raw.repartition(partitions)
+    return descriptors(raw.repartition(partitions) if partitions else raw)
+
+
+def descriptors(raw: DataFrame) -> DataFrame:
+    """The records of parsed descriptors (the fields of DESCRIPTOR)."""
     concepts = F.coalesce("ConceptList.Concept", F.array())
     terms = F.flatten(F.transform(concepts, lambda c: F.coalesce(F.transform(c["TermList"]["Term"], lambda t: S.strip(t["String"])), F.array())))
     out = raw.select(S.strip(F.col("DescriptorUI")).alias("ui"), S.strip(F.col("DescriptorName.String")).alias("name"), F.filter(F.coalesce(F.transform("TreeNumberList.TreeNumber", S.strip), F.array()), lambda x: x != "").alias("trees"), terms.alias("terms"))
@@ -67,19 +70,25 @@ def promoted_diseases(records: DataFrame, wanted: DataFrame) -> tuple[DataFrame,
 
 
 def studies(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per study: the extracted fields, and batch_seq (page file, place in the page) for last-wins writers."""
+    """study_rows of landed pages; batch_seq is page file and place in the page."""
     page = spark.read.schema(f"studies array<{STUDY}>, nextPageToken string").option("multiLine", True).json(path)
     s = page.select(F.input_file_name().alias("page"), F.posexplode("studies").alias("pos", "s"))
+    return study_rows(s.select(F.struct("page", "pos").alias("batch_seq"), "s"))
+
+
+def study_rows(s: DataFrame) -> DataFrame:
+    """One row per study (batch_seq, s): the extracted fields, and batch_seq for last-wins writers. Studies without an
+    identifier are dropped; phases may be a list or plain text."""
     p = "s.protocolSection"
     date = lambda c: S.parse_date(F.col(c))
     ident, status = f"{p}.identificationModule", f"{p}.statusModule"
     out = s.select(
-        F.struct("page", "pos").alias("batch_seq"),
+        "batch_seq",
         S.strip(F.col(f"{ident}.nctId")).alias("nct_id"),
-        S.first_filled(F.col(f"{ident}.officialTitle"), F.col(f"{ident}.briefTitle")).alias("title"),
-        F.col(f"{status}.overallStatus").alias("overall_status"),
-        S.phase_join(F.col(f"{p}.designModule.phases")).alias("phase_raw"),
-        F.col(f"{p}.designModule.studyType").alias("study_type"),
+        S.strip(S.first_filled(F.col(f"{ident}.officialTitle"), F.col(f"{ident}.briefTitle"))).alias("title"),
+        S.strip(F.col(f"{status}.overallStatus")).alias("overall_status"),
+        S.phase_text(F.col(f"{p}.designModule.phases")).alias("phase_raw"),
+        S.strip(F.col(f"{p}.designModule.studyType")).alias("study_type"),
         date(f"{status}.startDateStruct.date").alias("start_date"),
         date(f"{status}.primaryCompletionDateStruct.date").alias("primary_completion_date"),
         date(f"{status}.completionDateStruct.date").alias("completion_date"),
@@ -121,15 +130,24 @@ def trial_graph(found: DataFrame, labels: DataFrame) -> dict[str, DataFrame]:
 
 def associations(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """mesh_id, target canonical_id, name, score, props; pages with errors or no data give none."""
-    page = spark.read.schema(ASSOCIATIONS).json(path).where("errors IS NULL OR size(errors) = 0")
-    r = page.select("mesh_id", F.explode("data.disease.associatedTargets.rows").alias("r"))
+    return association_rows(spark.read.schema(ASSOCIATIONS).json(path))
+
+
+def association_rows(page: DataFrame) -> DataFrame:
+    """associations of parsed pages."""
+    r = page.where("errors IS NULL OR size(errors) = 0").select("mesh_id", F.explode("data.disease.associatedTargets.rows").alias("r"))
     kept = r.where(S.present(F.col("r.target.id"), F.col("r.target.approvedSymbol"))).withColumn("score", F.coalesce("r.score", F.lit(0.0)))
     return kept.select("mesh_id", F.concat(F.lit("OPENTARGETS:"), "r.target.id").alias("canonical_id"), S.first_filled(F.col("r.target.approvedName"), F.col("r.target.approvedSymbol")).alias("name"), "score", S.edge_props(F.col("score"), F.col("mesh_id")).alias("props"))
 
 
 def targets(spark: SparkSession, path: str | list[str], mesh_ids: list[str] | None = None) -> DataFrame:
     """canonical_id and name of a target list, those with a cross reference into mesh_ids if given. Null names are dropped."""
-    t = spark.read.schema(TARGETS).option("multiLine", True).json(path).select(F.explode("results").alias("t")).select("t.*")
+    return target_rows(spark.read.schema(TARGETS).option("multiLine", True).json(path), mesh_ids)
+
+
+def target_rows(page: DataFrame, mesh_ids: list[str] | None = None) -> DataFrame:
+    """targets of parsed pages."""
+    t = page.select(F.explode("results").alias("t")).select("t.*")
     if mesh_ids is not None:
         t = t.where(F.coalesce(F.exists("cross_references", lambda r: (r["xref_src"] == "MeSH") & r["xref_id"].isin(mesh_ids)), F.lit(False)))
     return t.where(S.present(F.col("target_chembl_id"), F.col("pref_name"))).select(F.concat(F.lit("CHEMBL:"), "target_chembl_id").alias("canonical_id"), F.col("pref_name").alias("name"))
@@ -137,7 +155,11 @@ def targets(spark: SparkSession, path: str | list[str], mesh_ids: list[str] | No
 
 def patents(spark: SparkSession, path: str | list[str], per_drug: int = 3, assignees: int = 2) -> dict[str, DataFrame]:
     """Entities and edges of patent searches by drug: the first patents, and each one's first named assignees."""
-    page = spark.read.schema(PATENTS).json(path)
+    return patent_rows(spark.read.schema(PATENTS).json(path), per_drug, assignees)
+
+
+def patent_rows(page: DataFrame, per_drug: int = 3, assignees: int = 2) -> dict[str, DataFrame]:
+    """patents of parsed pages."""
     p = page.select("chembl_id", F.explode(F.slice("patents", 1, per_drug)).alias("p")).where(S.present(F.col("p.patent_number")))
     number = F.concat(F.lit("PATENT:"), "p.patent_number")
     owners = p.select(number.alias("cid"), F.explode(F.slice("p.assignees", 1, assignees)).alias("a")).select("cid", F.col("a.assignee_organization").alias("org")).where(S.present(F.col("org")))
@@ -151,14 +173,22 @@ def patents(spark: SparkSession, path: str | list[str], per_drug: int = 3, assig
 
 def enrichment(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per ticker of company lookups: the first binding's fields, null where it has none."""
-    page = spark.read.schema(BINDINGS).json(path)
+    return enrichment_rows(spark.read.schema(BINDINGS).json(path))
+
+
+def enrichment_rows(page: DataFrame) -> DataFrame:
+    """enrichment of parsed pages."""
     b = page.select("ticker", F.get("results.bindings", F.lit(0)).alias("b"))
     return b.where("b IS NOT NULL").select("ticker", S.uri_tail(F.col("b.company.value")).alias("wikidata_id"), F.col("b.founded.value").alias("founded"), F.col("b.hqLabel.value").alias("headquarters"), F.col("b.countryLabel.value").alias("country"), F.col("b.website.value").alias("website"), F.col("b.employees.value").alias("employees"), F.col("b.revenue.value").alias("revenue"))
 
 
 def cik_lookups(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """ticker and padded CIK of landed company searches (ticker, response); responses without a CIK are dropped."""
-    page = spark.read.schema("ticker string, response string").json(path)
+    return cik_rows(spark.read.schema("ticker string, response string").json(path))
+
+
+def cik_rows(page: DataFrame) -> DataFrame:
+    """cik_lookups of parsed responses."""
     return page.select("ticker", S.cik_of(F.col("response")).alias("cik")).where("cik IS NOT NULL").dropDuplicates(["ticker"])
 
 
@@ -177,9 +207,24 @@ def by_therapy_area(entities: DataFrame, mapping: DataFrame, area: str) -> DataF
 
 def seed(spark: SparkSession, name: str, path: str) -> DataFrame:
     """A seed CSV with its declared schema; membership dates are M/d/yyyy."""
-    df = spark.read.option("header", True).option("encoding", "UTF-8").schema(CSV[name]).csv(path)
+    return seed_rows(spark.read.option("header", True).option("encoding", "UTF-8").schema(CSV[name]).csv(path), name)
+
+
+def seed_rows(df: DataFrame, name: str) -> DataFrame:
+    """seed of parsed lines."""
     return df.withColumn("start_date", F.try_to_date("start_date", "M/d/yyyy")) if name == "universe_membership" else df
 
 
 def target_ids(mapping: DataFrame) -> DataFrame:
     return mapping.select("mesh_id").where(S.present(F.col("mesh_id"))).distinct()
+
+
+def universe_companies(membership: DataFrame, issuers: DataFrame, companies: DataFrame) -> DataFrame:
+    """issuer_id, universe_id, cik and sec_legal_name of each member whose issuer, and the issuer's company, is there."""
+    found = membership.select("issuer_id", "universe_id").join(issuers, "issuer_id")
+    return found.join(companies.withColumnRenamed("cik", "primary_cik"), "primary_cik").select("issuer_id", "universe_id", F.col("primary_cik").alias("cik"), "sec_legal_name")
+
+
+def members_without_issuer(membership: DataFrame, issuers: DataFrame) -> DataFrame:
+    """Membership rows of issuers that have no row of their own."""
+    return membership.join(issuers.select("issuer_id").distinct(), "issuer_id", "left_anti")
