@@ -308,8 +308,7 @@ def recent_feed(spark, sf_dir):
 @query("SELECT user_id AS cache_key, event_id FROM events WHERE ts + INTERVAL 30 DAY >= (SELECT max(ts) FROM events)")
 def ttl_live(spark, sf_dir):
     rows = star.cache_rows(spark, sf_dir)
-    now = rows.agg(F.max("ts").alias("now"))
-    return E.live(rows.join(F.broadcast(now)), F.col("now")).select("cache_key", "event_id")
+    return E.live(rows, rows.agg(F.max("ts")).scalar()).select("cache_key", "event_id")
 
 
 @query("SELECT user_id AS cache_key, count(*) AS live FROM events WHERE ts + INTERVAL 30 DAY >= TIMESTAMP '2024-02-15 00:00:00' GROUP BY user_id")
