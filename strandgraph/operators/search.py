@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +49,16 @@ def matching(df: DataFrame, ids: list[str], columns: tuple[str, ...] = ("mesh_id
 def as_json(df: DataFrame) -> DataFrame:
     """The rows as JSON objects, one line each, nulls included: what an endpoint answers with, or writes with write.text."""
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def token_index(entities: DataFrame) -> DataFrame:
+    """token and id: the lower-case words (runs of letters and digits) of each name, once an entity."""
+    words = F.filter(F.split(F.lower("name"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return entities.select(F.explode(F.array_distinct(words)).alias("token"), "id")
+
+
+def search_tokens(index: DataFrame, q: str, limit: int = 20) -> DataFrame:
+    """The first ids whose names hold all words of q, in any order; a q without words finds nothing."""
+    wanted = sorted({w for w in re.split(r"[\W_]+", q.lower()) if w})
+    found = index.where(F.col("token").isin(wanted)).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted))
+    return found.select("id").orderBy("id").limit(limit if wanted else 0)

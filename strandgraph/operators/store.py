@@ -93,6 +93,18 @@ class Store:
         """Declared tables that are not there."""
         return [n for n in TABLES if not self.exists(n)]
 
+    def create(self, names: list[str] | None = None) -> list[str]:
+        """Create the declared tables (or those named) that are missing, empty, in the order of their declaration; the first
+        error ends it, and what was created before stays. Returns the names created."""
+        if unknown := set(names or ()) - set(TABLES):
+            raise KeyError(f"undeclared tables {sorted(unknown)}")
+        made = []
+        for name in TABLES:
+            if (names is None or name in names) and not self.exists(name):
+                self.publish(name, self.spark.createDataFrame([], TABLES[name]))
+                made.append(name)
+        return made
+
     def read(self, name: str) -> DataFrame:
         if not self.exists(name):
             return self.spark.createDataFrame([], TABLES[name])

@@ -176,3 +176,16 @@ def nodes_json(spark, sf_dir):
 CASE kind WHEN 'disease' THEN 'diamond' WHEN 'drug' THEN 'box' WHEN 'company' THEN 'box' ELSE 'dot' END AS shape, CAST(CASE kind WHEN 'disease' THEN 35 WHEN 'drug' THEN 30 WHEN 'company' THEN 25 ELSE 20 END AS INTEGER) AS size FROM entity""")
 def node_style(spark, sf_dir):
     return entities(spark, sf_dir).select("id", S.node_style(F.col("kind")).alias("style")).select("id", "style.*")
+
+
+TOKENS = "tokens AS (SELECT DISTINCT unnest(list_filter(string_split_regex(lower(name), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS token, id FROM entity WHERE kind IN ('drug', 'company'))"
+
+
+@query(f"WITH {ENTITY}, {TOKENS} SELECT token, count(*) AS names FROM tokens GROUP BY token")
+def token_index(spark, sf_dir):
+    return Q.token_index(entities(spark, sf_dir, "drug", "company")).groupBy("token").agg(F.count("*").alias("names"))
+
+
+@query(f"WITH {ENTITY}, {TOKENS} SELECT id FROM tokens WHERE token IN ('large', 'widget') GROUP BY id HAVING count(*) = 2 ORDER BY id LIMIT 20")
+def search_tokens(spark, sf_dir):
+    return Q.search_tokens(Q.token_index(entities(spark, sf_dir, "drug", "company")), "Widget, LARGE")

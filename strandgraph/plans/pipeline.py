@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators.graph import label_lookup
+from ..operators.graph import label_lookup, resolve
 from ..operators.store import Store, entity_id
 from ..schemas import license_allowlist
-from ..sources import payloads
+from ..sources import literals, payloads
 
 ORDER = ["licenses", "mesh", "targets", "trials", "patents"]
 
@@ -65,7 +65,14 @@ def load_patents(store: Store, paths: dict[str, str], now) -> None:
     _edges(store, made["edge"], "patents")
 
 
-STEPS: dict[str, Callable[[Store, dict[str, str], Column], None]] = {"licenses": load_licenses, "mesh": load_mesh, "targets": load_targets, "trials": load_trials, "patents": load_patents}
+def load_demo(store: Store, paths: dict[str, str], now) -> None:
+    """The literal graph: edges with an end that is no entity of the store are left out."""
+    _entities(store, literals.entities(store.spark), "demo", now)
+    known = store.read("entity").select("kind", "canonical_id", "id")
+    _edges(store, resolve(literals.edges(store.spark), known).drop("src_id", "dst_id"), "demo")
+
+
+STEPS: dict[str, Callable[[Store, dict[str, str], Column], None]] = {"licenses": load_licenses, "mesh": load_mesh, "targets": load_targets, "trials": load_trials, "patents": load_patents, "demo": load_demo}
 
 
 def run(store: Store, paths: dict[str, str], steps: list[str] | None = None, now: Column | None = None) -> dict[str, int]:

@@ -3,8 +3,8 @@ from pyspark.sql import functions as F
 
 from strandgraph import schemas
 from strandgraph.operators import evidence, graph, search, stats, store
-from strandgraph.plans import catalog
-from strandgraph.sources import star
+from strandgraph.plans import catalog, pipeline
+from strandgraph.sources import landing, star
 
 from .oracle import DATA
 
@@ -107,3 +107,38 @@ def test_plans(spark):
 def test_health_and_stats(spark):
     assert stats.health(spark)["status"] == "healthy"
     assert stats.stats(star.entities(spark, DATA), star.edges(spark, DATA, ["associated_with"]))["edges"] > 0
+
+
+def test_tables_are_created_in_order_once(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    assert s.create(["edge", "entity"]) == ["entity", "edge"]
+    assert s.create(["entity", "alias"]) == ["alias"] and s.read("alias").count() == 0
+    with pytest.raises(KeyError):
+        s.create(["nothing"])
+
+
+def test_demo_graph(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    for _ in range(2):
+        found = pipeline.run(s, {}, ["demo"], F.lit("2024-01-01").cast("timestamp"))
+    kinds = {r["type"]: r["count"] for r in s.read("edge").groupBy("type").count().collect()}
+    assert found["entity"] == 22 and kinds == {"inhibits": 7, "associated_with": 6}
+    assert s.read("entity").select("updated_at").distinct().first()[0].year == 2024
+
+
+def test_token_search(spark):
+    names = spark.createDataFrame([(1, "Alpha, beta-Gamma"), (2, "alpha alpha"), (3, None), (4, "")], "id long, name string")
+    index = search.token_index(names)
+    assert sorted(map(tuple, index.collect())) == [("alpha", 1), ("alpha", 2), ("beta", 1), ("gamma", 1)]
+    assert [r["id"] for r in search.search_tokens(index, "BETA alpha").collect()] == [1]
+    assert search.search_tokens(index, " ,").count() == 0
+
+
+def test_cached_download(tmp_path):
+    (tmp_path / "a").write_text("one")
+    path, url = str(tmp_path / "x" / "copy"), f"file://{tmp_path}/a"
+    assert landing.cached(url, path) == path and open(path).read() == "one"
+    (tmp_path / "a").write_text("two")
+    assert open(landing.cached(url, path)).read() == "one"
+    open(path, "w").close()
+    assert open(landing.cached(url, path)).read() == "two"

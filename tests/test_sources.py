@@ -62,6 +62,15 @@ def test_studies(spark, landed):
     assert [r["title"] for r in window.collect()] == ["Last"]
 
 
+def test_phases_as_plain_text_and_stripped_fields(spark, tmp_path):
+    one = study("N2", " Title ", "x", [], [])
+    one["protocolSection"]["designModule"] = {"studyType": " T ", "phases": "PHASE4"}
+    two = study("N3", "t", "x", [], [], phases=())
+    (tmp_path / "p.json").write_text(json.dumps({"studies": [one, two]}))
+    rows = payloads.studies(spark, f"{tmp_path}/p.json").orderBy("nct_id").collect()
+    assert [(r["title"], r["study_type"], r["phase_raw"], r["phase_max"]) for r in rows] == [("Title", "T", "PHASE4", 4), ("t", "INTERVENTIONAL", None, None)]
+
+
 def test_associations_targets_and_patents(spark, landed, tmp_path):
     rows = payloads.associations(spark, landed["associations"]).where("mesh_id = 'D1'").orderBy("canonical_id").collect()
     assert [(r["canonical_id"], r["name"], r["score"]) for r in rows] == [("OPENTARGETS:E1", "S", 0.5), ("OPENTARGETS:E3", "Tee", 0.0)]
