@@ -24,18 +24,27 @@ def quality_rules() -> str:
     factor, distance = alias(Q.cholesky_sql()), alias(Q.distance_sql())
     medians = ", ".join(f"quantile_cont(x_{i}, 0.5) AS med_{i}" for i in range(p))
     mads = ", ".join(f"quantile_cont(abs(x_{i} - med_{i}), 0.5) AS mad_{i}, any_value(med_{i}) AS med_{i}" for i in range(p))
-    start = ", ".join(f"med_{i} / {float(Q.SCALE)} AS m_{i}" for i in range(p)) + ", " + ", ".join(f"pow(greatest(1.4826 * mad_{i} / {float(Q.SCALE)}, {Q.FLOORS[i]}), 2) AS c_{i}_{j}" if i == j else f"CAST(0 AS DOUBLE) AS c_{i}_{j}" for i, j in pairs)
+    spreads = ", ".join(f"med_{i}, {e} AS s_{i}" for i, e in enumerate(Q.SPREAD_SQL))
+    moved = ", ".join(f"{e} AS {'ab'[k - 1]}_{i}" for k, given in Q.START_SQL.items() for i, e in enumerate(given))
+    moments = ", ".join(f"sum({c}_{i} * {c}_{j}) AS {c}_{i}_{j}" for c in "ab" for i, j in pairs)
+    starts = " UNION ALL ".join(f"SELECT *, {factor} FROM (SELECT group_key, {k} AS start, {alias([(n, e) for n, e in Q.start_columns(k)])} FROM told)" for k in range(Q.STARTS))
     sums = "count(*) AS n, " + ", ".join(f"sum(x_{i}) AS s_{i}" for i in range(p)) + ", " + ", ".join(f"sum(x_{i} * x_{j}) AS s_{i}_{j}" for i, j in pairs)
     mean = {i: f"(CAST(s_{i} AS DOUBLE) / n)" for i in range(p)}
     value = lambda i, j: f"(CAST(s_{i}_{j} AS DOUBLE) / n - {mean[i]} * {mean[j]}) / {float(Q.SCALE) ** 2}" + (f" + {Q.FLOORS[i] ** 2}" if i == j else "")
     update = ", ".join(f"{mean[i]} / {float(Q.SCALE)} AS m_{i}" for i in range(p)) + ", " + ", ".join(f"{value(i, j)} AS c_{i}_{j}" for i, j in pairs)
-    steps = []
-    for k in range(Q.STEPS):
-        steps.append(f"""b{k} AS MATERIALIZED (SELECT *, {Q.BIN_SQL} AS bin FROM (SELECT group_key, {x}, {distance} FROM keyed JOIN e{k} USING (group_key))),
-q{k} AS MATERIALIZED (SELECT group_key, quantile_cont(bin, {Q.SUBSET_PERCENT / 100}) AS limit_bin FROM b{k} GROUP BY group_key),
-t{k} AS MATERIALIZED (SELECT group_key, {sums} FROM b{k} JOIN q{k} USING (group_key) WHERE bin <= limit_bin GROUP BY group_key),
-e{k + 1} AS MATERIALIZED (SELECT *, {factor} FROM (SELECT group_key, {update} FROM t{k}))""")
-    last = f"e{Q.STEPS}"
+
+    def step(k: int, before: str) -> str:
+        return f"""b{k} AS MATERIALIZED (SELECT *, {Q.BIN_SQL} AS bin FROM (SELECT group_key, start, {x}, {distance} FROM keyed JOIN {before} USING (group_key))),
+q{k} AS MATERIALIZED (SELECT group_key, start, quantile_cont(bin, {Q.SUBSET_PERCENT / 100}) AS limit_bin FROM b{k} GROUP BY group_key, start),
+t{k} AS MATERIALIZED (SELECT group_key, start, {sums} FROM b{k} JOIN q{k} USING (group_key, start) WHERE bin <= limit_bin GROUP BY group_key, start),
+e{k + 1} AS MATERIALIZED (SELECT *, {factor} FROM (SELECT group_key, start, {update} FROM t{k}))"""
+
+    # Steps beyond the one at which nothing changes any more change nothing: their number is fixed here.
+    steps = [step(k, f"e{k}") for k in range(Q.EXPLORE)]
+    steps.append(f"best AS MATERIALIZED (SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY {Q.LOGDET_SQL}, start) AS place FROM e{Q.EXPLORE}) WHERE place = 1)")
+    last = Q.EXPLORE + Q.MOST_STEPS
+    steps += [step(k, "best" if k == Q.EXPLORE else f"e{k}") for k in range(Q.EXPLORE, last)]
+    last = f"e{last}"
     ws = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
     return f"""WITH w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang_key, coalesce(source, '') AS source_key, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '{SPACES}'), lambda v: v <> '') AS words FROM documents),
 win AS (SELECT r, i, array_to_string(words[i:i + 2], ' ') AS g FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
@@ -53,7 +62,9 @@ keys AS MATERIALIZED (SELECT lang_key, source_key, CASE WHEN n >= {Q.MIN_GROUP}
 keyed AS MATERIALIZED (SELECT group_key, r, {x} FROM v JOIN keys USING (lang_key, source_key) WHERE NOT base_failed),
 med AS MATERIALIZED (SELECT group_key, {medians} FROM keyed GROUP BY group_key),
 mad AS MATERIALIZED (SELECT group_key, {mads} FROM keyed JOIN med USING (group_key) GROUP BY group_key),
-e0 AS MATERIALIZED (SELECT *, {factor} FROM (SELECT group_key, {start} FROM mad)),
+spread AS MATERIALIZED (SELECT group_key, {spreads} FROM mad),
+told AS MATERIALIZED (SELECT * FROM spread JOIN (SELECT group_key, count(*) AS n, {moments} FROM (SELECT group_key, {moved} FROM keyed JOIN spread USING (group_key)) GROUP BY group_key) USING (group_key)),
+e0 AS MATERIALIZED ({starts}),
 {", ".join(steps)},
 d AS MATERIALIZED (SELECT group_key, r, {distance} FROM keyed JOIN {last} USING (group_key)),
 mid AS (SELECT group_key, greatest(exp(quantile_cont({Q.BIN_SQL}, 0.5) / {float(Q.DISTANCE_SCALE)}) - 1, 1e-9) / {Q.CHI2_MEDIAN} AS factor, count(*) AS members FROM d GROUP BY group_key),

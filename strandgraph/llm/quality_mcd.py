@@ -1,12 +1,17 @@
 """Quality rules: word statistics, base limits, and robust multivariate outliers by minimum covariance determinant.
 
 Word statistics are DataFrame functions over whole texts. Texts that pass the base limits give a vector of five
-transformed statistics in fixed point. For each language and source, concentration steps estimate mean and covariance of
-the three quarters of vectors that lie closest: distances under the present estimate, their quantile, then mean and
-covariance of the vectors within it. A text is rejected if its Mahalanobis distance under the last estimate, scaled so
-that the median distance is that of a normal vector, exceeds CUT. All sums are of integers, so results do not depend on
-how rows are dealt; quantiles are exact over a bounded number of distinct fixed-point values, so a group of any size is
-combined before the shuffle.
+transformed statistics in fixed point. For each language and source, the covariance of least determinant over three
+quarters of the vectors is sought: from three deterministic starts (medians with median deviations; covariance of the
+vectors' hyperbolic tangents; covariance of their directions), concentration steps take the three quarters that lie closest
+under the present estimate, and these vectors' mean and covariance as the next. After EXPLORE steps the start of least
+determinant goes on until no group's estimate changes any more (MOST_STEPS at most). Covariances are regularised towards a
+fixed diagonal (FLOORS squared), as most statistics of most texts are zero and a plain determinant would be; a
+concentration step never raises the determinant of such an estimate either.
+
+A text is rejected if its squared Mahalanobis distance under that estimate, scaled so that the median distance is that of a
+normal vector, exceeds CUT. All sums are of integers, so results do not depend on how rows are dealt; quantiles are exact
+over a bounded number of distinct fixed-point values, so a group of any size is combined before the shuffle.
 
 Languages and sources of fewer than MIN_GROUP vectors are pooled by language, and such pools once more over all
 languages; a last pool of fewer than MIN_POOL rejects nothing.
@@ -22,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stage
+from .common import stage
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -30,15 +35,17 @@ REPEAT_WINDOW = 3
 
 MIN_GROUP = 200
 MIN_POOL = 50
-#: Share of vectors in the concentrated subset, in percent, and concentration steps.
+#: Share of vectors in the concentrated subset, in percent; concentration steps of every start, and of the best one.
 SUBSET_PERCENT = 75
-STEPS = 3
+STARTS, EXPLORE, MOST_STEPS = 3, 2, 10
+#: Fixed point of the starts' transformed deviations.
+START_SCALE = 1_000
 #: Fixed point of vectors and of logarithms of distances.
 SCALE = 10_000
 DISTANCE_SCALE = 1_000
-#: Squared Mahalanobis distance beyond which a vector is rejected. Transformed statistics have longer tails than a
-#: normal vector (whose 1 - 1e-9 quantile is 52), so the limit is set well beyond that.
-CUT = 100.0
+#: Squared Mahalanobis distance beyond which a vector is rejected: the 1 - 1e-6 quantile of chi-squared with five degrees
+#: of freedom, so that one normal vector in a million is.
+CUT = 35.888187
 #: Fixed value: the median of chi-squared with five degrees of freedom.
 CHI2_MEDIAN = 4.351460191095526
 #: Statistics, and the least standard deviation each is credited with: many are zero for most texts of a group.
@@ -111,12 +118,14 @@ def fixed(value: str) -> str:
     return f"CAST(round({SCALE} * ({value})) AS BIGINT)"
 
 
-#: The transforms, as SQL of Spark and DuckDB alike; a row that failed the base limits has none.
+#: The transforms, as SQL of Spark and DuckDB alike; a row that failed the base limits has none. A share's factor says what
+#: share is about one unit from none: a thousandth of symbols, a line repeated in a hundred words, a tenth of repeated
+#: words. Prose has a line or a phrase twice now and then, but hardly a run of signs.
 TRANSFORMS = [
     fixed("ln(CAST(word_chars AS DOUBLE) / n_words)"),
     fixed("ln(1 + 1000 * CAST(n_symbols AS DOUBLE) / word_chars)"),
-    fixed("ln(1 + 1000 * CAST(n_dup_lines AS DOUBLE) / n_words)"),
-    fixed("ln(1 + 1000 * CAST(n_repeat_words AS DOUBLE) / n_words)"),
+    fixed("ln(1 + 100 * CAST(n_dup_lines AS DOUBLE) / n_words)"),
+    fixed("ln(1 + 10 * CAST(n_repeat_words AS DOUBLE) / n_words)"),
     fixed("ln(CAST(n_words AS DOUBLE))"),
 ]
 P = len(VECTOR)
@@ -168,57 +177,102 @@ def grouped(vectors: DataFrame) -> DataFrame:
     return vectors.join(few(stage(keys, "groups")), ["lang_key", "source_key"])
 
 
-def first_estimate(vectors: DataFrame) -> DataFrame:
-    """Medians, and median deviations as a diagonal covariance."""
+#: A vector's deviations from the medians in median deviations, and the two starts' transforms of them.
+Z_SQL = [f"((x_{i} - med_{i}) / {float(SCALE)} / s_{i})" for i in range(P)]
+LENGTH_SQL = "sqrt(greatest(" + " + ".join(f"{z} * {z}" for z in Z_SQL) + ", 1e-9))"
+START_SQL = {1: [f"CAST(round({START_SCALE} * tanh({z})) AS BIGINT)" for z in Z_SQL], 2: [f"CAST(round({START_SCALE} * {z} / {LENGTH_SQL}) AS BIGINT)" for z in Z_SQL]}
+#: Logarithm of a covariance's determinant, of its factor; two that differ in rounding only are equal.
+LOGDET_SQL = "round(2 * (" + " + ".join(f"ln(l_{i}_{i})" for i in range(P)) + "), 6)"
+
+
+def start_columns(start: int) -> list[tuple[str, str]]:
+    """Mean and covariance of a start from medians med_i, spreads s_i, and sums a_i_j (tangents) and b_i_j (directions)."""
+    out = [(f"m_{i}", f"med_{i} / {float(SCALE)}") for i in range(P)]
+    for i, j in PAIRS:
+        if start:
+            value = f"s_{i} * s_{j} * {1 if start == 1 else P} * CAST({'ab'[start - 1]}_{i}_{j} AS DOUBLE) / n / {float(START_SCALE) ** 2}"
+            out.append((f"c_{i}_{j}", f"{value} + {FLOORS[i] ** 2}" if i == j else value))
+        else:
+            out.append((f"c_{i}_{j}", f"s_{i} * s_{i}" if i == j else "CAST(0 AS DOUBLE)"))
+    return out
+
+
+SPREAD_SQL = [f"greatest(1.4826 * mad_{i} / {float(SCALE)}, {FLOORS[i]})" for i in range(P)]
+
+
+def first_estimates(vectors: DataFrame) -> DataFrame:
+    """Each group's starts: group_key, start, m_i, c_i_j, l_i_j."""
     medians = vectors.groupBy("group_key").agg(*(F.expr(f"percentile(x_{i}, 0.5)").alias(f"med_{i}") for i in range(P)))
     spread = vectors.join(few(stage(medians, "medians")), "group_key").groupBy("group_key").agg(*(F.expr(f"percentile(abs(x_{i} - med_{i}), 0.5)").alias(f"mad_{i}") for i in range(P)), *(F.first(f"med_{i}").alias(f"med_{i}") for i in range(P)))
-    columns = [F.expr(f"med_{i} / {float(SCALE)}").alias(f"m_{i}") for i in range(P)]
-    for i, j in PAIRS:
-        columns.append(F.expr(f"power(greatest(1.4826 * mad_{i} / {float(SCALE)}, {FLOORS[i]}), 2)" if i == j else "0.0D").alias(f"c_{i}_{j}"))
-    return chain(spread.select("group_key", *columns), cholesky_sql())
+    spread = stage(spread.select("group_key", *(f"med_{i}" for i in range(P)), *(F.expr(e).alias(f"s_{i}") for i, e in enumerate(SPREAD_SQL))), "spreads")
+    moved = vectors.join(few(spread), "group_key").select("group_key", *(F.expr(e).alias(f"{'ab'[k - 1]}_{i}") for k, given in START_SQL.items() for i, e in enumerate(given)))
+    sums = moved.groupBy("group_key").agg(F.count("*").alias("n"), *(F.sum(F.expr(f"{c}_{i} * {c}_{j}")).alias(f"{c}_{i}_{j}") for c in "ab" for i, j in PAIRS))
+    told = stage(spread.join(sums, "group_key"), "starts")
+    return reduce(DataFrame.unionByName, [chain(told.select("group_key", F.lit(k).alias("start"), *(F.expr(e).alias(n) for n, e in start_columns(k))), cholesky_sql()) for k in range(STARTS)])
 
 
 def concentrate(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
-    """One concentration step: mean and covariance of the closest vectors under the present estimate."""
-    binned = chain(vectors.join(few(estimate), "group_key"), distance_sql()).withColumn("bin", F.expr(BIN_SQL)).select("group_key", "bin", *(f"x_{i}" for i in range(P)))
-    limits = binned.groupBy("group_key").agg(F.expr(f"percentile(bin, {SUBSET_PERCENT / 100})").alias("limit_bin"))
+    """One concentration step of each group's estimates: mean and covariance of the closest vectors under each."""
+    keys = ["group_key", "start"]
+    binned = chain(vectors.join(few(estimate), "group_key"), distance_sql()).withColumn("bin", F.expr(BIN_SQL)).select(*keys, "bin", *(f"x_{i}" for i in range(P)))
+    limits = binned.groupBy(*keys).agg(F.expr(f"percentile(bin, {SUBSET_PERCENT / 100})").alias("limit_bin"))
     sums = [F.count("*").alias("n"), *(F.sum(F.expr(f"CAST(x_{i} AS DECIMAL(18,0))")).alias(f"s_{i}") for i in range(P)), *(F.sum(F.expr(f"CAST(x_{i} * x_{j} AS DECIMAL(19,0))")).alias(f"s_{i}_{j}") for i, j in PAIRS)]
-    totals = binned.join(few(stage(limits, "limits")), "group_key").where("bin <= limit_bin").groupBy("group_key").agg(*sums)
+    totals = binned.join(few(stage(limits, "limits")), keys).where("bin <= limit_bin").groupBy(*keys).agg(*sums)
     mean = {i: f"(CAST(s_{i} AS DOUBLE) / n)" for i in range(P)}
     columns = [F.expr(f"{mean[i]} / {float(SCALE)}").alias(f"m_{i}") for i in range(P)]
     for i, j in PAIRS:
         value = f"(CAST(s_{i}_{j} AS DOUBLE) / n - {mean[i]} * {mean[j]}) / {float(SCALE) ** 2}"
         columns.append(F.expr(f"{value} + {FLOORS[i] ** 2}" if i == j else value).alias(f"c_{i}_{j}"))
-    return chain(totals.select("group_key", *columns), cholesky_sql())
+    return chain(totals.select(*keys, *columns), cholesky_sql())
+
+
+def least_determinant(vectors: DataFrame) -> DataFrame:
+    """Each group's estimate (group_key, start, m_i, c_i_j, l_i_j), written."""
+    estimate = stage(first_estimates(vectors), "estimate")
+    for _ in range(EXPLORE):
+        estimate = stage(concentrate(vectors, estimate), "estimate")
+    rest = [c for c in estimate.columns if c not in ("group_key", "start")]
+    best = estimate.groupBy("group_key").agg(F.min(F.struct(F.expr(LOGDET_SQL).alias("logdet"), "start", *rest)).alias("best"))
+    estimate = stage(best.select("group_key", "best.start", *(f"best.{c}" for c in rest)), "estimate")
+    same = reduce(lambda a, b: a & b, [F.col(f"new.{c}") == F.col(f"old.{c}") for c in rest])
+    for _ in range(MOST_STEPS):
+        before, estimate = estimate, stage(concentrate(vectors, estimate), "estimate")
+        if not estimate.alias("new").join(before.alias("old"), "group_key").where(~same).take(1):
+            break
+    return estimate
+
+
+def models(rows: DataFrame) -> DataFrame:
+    """lang_key, source_key and the model that judges them, written. rows: lang_key, source_key, base_failed, x_i."""
+    keyed = grouped(rows.where("NOT base_failed").select("lang_key", "source_key", *(f"x_{i}" for i in range(P))))
+    estimate = least_determinant(keyed)
+    middle = chain(keyed.join(few(estimate), "group_key"), distance_sql()).withColumn("bin", F.expr(BIN_SQL)).groupBy("group_key").agg(F.expr("percentile(bin, 0.5)").alias("middle"), F.count("*").alias("members"))
+    pairs = keyed.select("group_key", "lang_key", "source_key").distinct()
+    return stage(pairs.join(estimate, "group_key").join(middle, "group_key").withColumn("factor", F.expr(f"greatest(exp(middle / {float(DISTANCE_SCALE)}) - 1, 1e-9) / {CHI2_MEDIAN}")), "models")
 
 
-def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """One row per document: doc_id, row_key (a hash of the four columns), the statistics, base_failed, kept, distance."""
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("")).alias("lang_key"), F.coalesce(F.col(source), F.lit("")).alias("source_key"), row_key(doc_id, text, lang, source).alias("row_key"))
+def judged(docs: DataFrame, carried: list[Column], text: str, lang: str, source: str) -> DataFrame:
+    """carried (of names that no statistic has), the statistics, kept and distance. What is carried is written beside the
+    statistics once and is not shuffled, unless there are more than FEW_GROUPS languages and sources."""
+    slim = docs.select(*carried, F.col(f"`{text}`").alias("text"), F.coalesce(F.col(f"`{lang}`"), F.lit("")).alias("lang_key"), F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source_key"))
     counted = with_statistics(slim).drop("text")
     rows = stage(chain(counted, [(f"x_{i}", f"CASE WHEN NOT base_failed THEN {TRANSFORMS[i]} END") for i in range(P)]), "statistics")
-    vectors = rows.where("NOT base_failed").select("lang_key", "source_key", *(f"x_{i}" for i in range(P)))
-    keyed = grouped(vectors)
-    estimate = stage(first_estimate(keyed), "estimate")
-    for _ in range(STEPS):
-        estimate = stage(concentrate(keyed, estimate), "estimate")
-    middle = chain(keyed.join(few(estimate), "group_key"), distance_sql()).withColumn("bin", F.expr(BIN_SQL)).groupBy("group_key").agg(F.expr("percentile(bin, 0.5)").alias("middle"), F.count("*").alias("members"))
-    models = stage(keyed.select("group_key", "lang_key", "source_key").distinct().join(estimate, "group_key").join(middle, "group_key").withColumn("factor", F.expr(f"greatest(exp(middle / {float(DISTANCE_SCALE)}) - 1, 1e-9) / {CHI2_MEDIAN}")), "models")
-    judged = chain(rows.join(few(models), ["lang_key", "source_key"], "left"), distance_sql()).withColumn("distance", F.expr("CASE WHEN NOT base_failed THEN d2 / greatest(factor, 1.0) END"))
+    found = chain(rows.join(few(models(rows)), ["lang_key", "source_key"], "left"), distance_sql()).withColumn("distance", F.expr("CASE WHEN NOT base_failed THEN d2 / greatest(factor, 1.0) END"))
     kept = F.expr(f"NOT base_failed AND (members < {MIN_POOL} OR distance <= {CUT})")
-    return judged.select("doc_id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
+    return found.withColumn("kept", kept)
 
 
-def row_key(*columns: str) -> Column:
-    return F.xxhash64(*(F.col(f"`{c}`") for c in columns))
+def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """One row per document: doc_id, the statistics, base_failed, kept, distance."""
+    found = judged(docs, [F.col(f"`{doc_id}`").alias("doc_id")], text, lang, source)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
-def digest(judged: DataFrame) -> DataFrame:
-    return judged.drop("row_key", "distance")
+def digest(found: DataFrame) -> DataFrame:
+    return found.drop("distance")
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents that are kept, columns as they were."""
-    name = fresh(docs, "_bad_row")
-    bad = judge(docs).where("NOT kept").select(F.col("row_key").alias(name)).distinct()
-    return docs.join(bad, row_key("doc_id", "text", "lang", "source") == F.col(name), "left_anti")
+    found = judged(docs, [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")], text, lang, source)
+    return found.where("kept").select("row.*")
