@@ -17,14 +17,14 @@ from __future__ import annotations
 import html as html_lib
 import re
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_rows
+from .common import free_names, map_rows
 
 #: Labelled pages that the field is trained on, and their seed.
 PAGES, SEED = 700, 11
@@ -55,17 +55,28 @@ WORD_KIND = {
 }
 KIND_OF_WORD = {w: k for k, words in WORD_KIND.items() for w in words.split()}
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(script|style|template|svg|iframe|noframes|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</\1\s*>|\Z)|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</(?:[^>]*>|[^>]*\Z)", re.S | re.I)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: What stands in a tag after its name: a quote opens a quoted value only after an equals sign, else it is text; `>` ends the
+#: tag outside quoted values. An unclosed quote is text too. Every character can be taken, so that nothing is tried twice.
+_INSIDE = r"(?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+)?)*+"
+_TOKEN = re.compile(rf"<!--(?:.*?-->|.*\Z)|<svg\b{_INSIDE}(?<=/)>|<(script|style|template|svg|iframe|noframes|xmp)\b{_INSIDE}(?:>.*?(?:</\1\s*>|\Z)|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_INSIDE})(?:>|\Z)|</(?:[^>]*>|[^>]*\Z)", re.S | re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))?)?", re.I)
 _WORD = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+)*")
 
 
-@cache
+#: Parts of a name that say what a box has, lacks or how it stands, not what it is: comments-disabled, has-sidebar, no-nav.
+STATES = frozenset("no not non without with has is off on none disabled enabled closed open hidden visible active allowed count layout".split())
+
+
+@lru_cache(1 << 16)
 def attribute_kinds(attributes: str) -> int:
     """Bits of the kinds that words of class, id and role name."""
     out = 0
     for found in _ATTRIBUTE.finditer(attributes):
+        if found[1].lower() not in ("class", "id", "role"):
+            continue
         for word in _WORD.findall((found[2] or found[3] or found[4] or "").lower()):
+            if not STATES.isdisjoint(word.split("-")):
+                continue
             for part in (word, *word.split("-")):
                 for form in (part, part.rstrip("0123456789"), part.removesuffix("s")):
                     if form in KIND_OF_WORD:
@@ -117,14 +128,14 @@ def blocks(page: str) -> list[Block]:
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
-        name = m[3] or m[6]
+        name = m[3]
         if not name:
             continue
         name = name.lower()
         inline = name in INLINE
         if not inline:
             close()
-        if m[2] or m[5]:
+        if m[2]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == name:
                     del stack[i:]
@@ -149,7 +160,7 @@ def blocks(page: str) -> list[Block]:
         if name in VOID:
             continue
         own = BIT[TAG_KIND[name]] if name in TAG_KIND else 0
-        attributes = m[4] or m[7]
+        attributes = m[4]
         if attributes and "=" in attributes and not (name in ("body", "html")):
             own |= attribute_kinds(attributes)
         stack.append((name, stack[-1][1] | own))
@@ -391,9 +402,11 @@ def trained(pages: int = PAGES, seed: int = SEED) -> Field:
     return train([m for m in made if m[0]])
 
 
-def main_text(pages: DataFrame, *, html: str = "html", keep: list[str] | None = None, field: Field | None = None, names: tuple[str, str] = ("text", "n_chars")) -> DataFrame:
-    """keep (all columns by default), the main text and its code points."""
+def main_text(pages: DataFrame, *, html: str = "html", keep: list[str] | None = None, field: Field | None = None, names: tuple[str, str] | None = None) -> DataFrame:
+    """keep (all columns by default), the main text and its code points, under names (text and n_chars by default, with
+    underscores before a name that keep has)."""
     keep = pages.columns if keep is None else keep
+    names = free_names(keep, "text", "n_chars") if names is None else names
     place = pages.columns.index(html)
     shared = pages.sparkSession.sparkContext.broadcast(field or trained())
 
