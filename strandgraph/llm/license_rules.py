@@ -5,8 +5,8 @@ automaton of the rules' keywords; only the rules whose keyword occurs are tried,
 normal form. Rules have priorities. Detections are taken by priority, then length, then place; one that lies inside a
 detection already taken is suppressed, unless it is a base phrase: base phrases always stand.
 
-Rules are written as licence rows (identifier, names in normal form) and sentence forms around a name; the rules are
-their product, some four hundred signatures.
+The rules are hand-written signatures (see license_signatures): headers and grants first, then clauses of licence texts;
+then licences' names, bare and in sentence forms; then notices. Base phrases come before all.
 
 Defined results: null or wordless texts have no words, no places (first and last null), empty labels and score 0;
 repeated texts are scanned each for itself; no other column is read.
@@ -15,14 +15,18 @@ repeated texts are scanned each for itself; no other column is read.
 from __future__ import annotations
 
 import re
+import sys
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_rows
+from . import license_signatures as S
+from .common import free_names, map_rows
 from .decontam import normal_words
 
 #: Base phrases and their labels.
@@ -81,19 +85,6 @@ FORMS = [
     ("name", "{name}", None, 0.6),
 ]
 
-#: Single rules that are no licence's name.
-NOTICES = [
-    ("permissive", "permission is hereby granted free of charge", "hereby", 0.9),
-    ("permissive", "redistribution and use in source and binary forms", "redistribution", 0.9),
-    ("warranty", "without warranty of any kind", "warranty", 0.5),
-    ("warranty", "provided as is", "provided", 0.4),
-    ("copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]", "copyright", 0.5),
-    ("proprietary", "(?:proprietary and )?confidential(?: information)? do not distribute", "confidential", 0.8),
-    ("proprietary", "may not be reproduced(?: or distributed)?", "reproduced", 0.7),
-    ("noncommercial", "for non ?commercial use only", "use", 0.7),
-]
-
-
 @dataclass(frozen=True)
 class Rule:
     priority: int
@@ -104,19 +95,22 @@ class Rule:
     base: bool = False
 
 
-def _keyword(name: str) -> str:
-    """The longest literal word of a name pattern that every match must hold."""
-    literal = re.sub(r"\((?:[^()]|\([^()]*\))*\)\??", " ", name)
-    found = [w for w in literal.split() if re.fullmatch(r"[a-z0-9]+", w)]
-    return max(found, key=len) if found else ""
+def _keyword(pattern: str) -> str:
+    """The longest literal word, or start of a word, of a pattern that every match must hold."""
+    before = ""
+    while before != pattern:  # groups, from the innermost
+        before, pattern = pattern, re.sub(r"\((?:\?:)?[^()]*\)(?:[?*]|\{[0-9,]+\})?", "\x00", pattern)
+    found = [re.match(r"(?:[a-z0-9](?![?*{]))*", w)[0] for w in pattern.split(" ")]
+    return max(found, key=len)
 
 
 def _compiled(pattern: str) -> re.Pattern:
-    return re.compile(f"(?<= ){pattern}(?= )")
+    """The words of pattern after a space and before one; the first space is part of the match, so that it can be sought."""
+    return re.compile(f" (?:{pattern})(?= )")
 
 
 def rules() -> list[Rule]:
-    """All rules in order: base phrases, then sentence forms from the most to the least specific, then notices."""
+    """All rules in order: base phrases, signatures, sentence forms of names from the most to the least specific, remarks."""
     names = [(key, n) for key, given in LICENCES.items() for n in given]
     for code, words in CC_ELEMENTS.items():
         for version in CC_VERSIONS:
@@ -124,10 +118,28 @@ def rules() -> list[Rule]:
             tail = f" {version}" if version else ""
             names += [(key, f"cc {code}{tail}"), (key, f"creative commons {words}{tail}(?: (?:international|unported))?(?: license)?")]
     out = [Rule(0, label, max(phrase.split(), key=len), _compiled(phrase), 0.8, True) for phrase, label in BASE.items()]
-    for rank, (_, form, keyword, confidence) in enumerate(FORMS, 1):
+
+    def signatures(priority, section):
+        return [Rule(priority, label, _keyword(pattern), _compiled(pattern), confidence) for label, confidence, pattern in S.parse(section)]
+
+    out += signatures(1, S.HEADERS) + signatures(2, S.CLAUSES)
+    for rank, (_, form, keyword, confidence) in enumerate(FORMS, 3):
         out += [Rule(rank, key, keyword or _keyword(name), _compiled(form.format(name=f"(?:{name})")), confidence) for key, name in names]
-    out += [Rule(len(FORMS) + 1, label, keyword, _compiled(pattern), confidence) for label, pattern, keyword, confidence in NOTICES]
-    return out
+    return out + signatures(3 + len(FORMS), S.REMARKS)
+
+
+def contained(taken: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether an interval of taken holds this one; if not, it is taken. taken: by start, of intervals none of which holds
+    another, so that ends rise too and the last one that starts early enough reaches farthest."""
+    at = bisect_right(taken, (start, sys.maxsize))
+    if at and taken[at - 1][1] >= end:
+        return True
+    at = bisect_left(taken, (start, 0))
+    stop = at
+    while stop < len(taken) and taken[stop][1] <= end:
+        stop += 1
+    taken[at:stop] = [(start, end)]
+    return False
 
 
 class Scanner:
@@ -150,20 +162,21 @@ class Scanner:
         owners = set(self.always)
         for _, found in self.keywords.iter(normal):
             owners.update(found)
-        hits = [(m.start(), m.end(), self.rules[i]) for i in sorted(owners) for m in self.rules[i].pattern.finditer(normal)]
-        taken = [h for h in hits if h[2].base]
-        extra: list[tuple[int, int, Rule]] = []
-        for start, end, rule in sorted((h for h in hits if not h[2].base), key=lambda h: (h[2].priority, h[0] - h[1], h[0], h[2].label)):
-            if not any(a <= start and end <= b for a, b, _ in extra):
-                extra.append((start, end, rule))
-        return sorted(taken + extra, key=lambda h: (h[0], h[1], h[2].priority, h[2].label))
+        hits = [(m.start() + 1, m.end(), self.rules[i]) for i in sorted(owners) for m in self.rules[i].pattern.finditer(normal)]
+        taken: list[tuple[int, int]] = []
+        out = [h for h in hits if h[2].base]
+        for hit in sorted((h for h in hits if not h[2].base), key=lambda h: (h[2].priority, h[0] - h[1], h[0], h[2].label)):
+            if not contained(taken, hit[0], hit[1]):
+                out.append(hit)
+        return sorted(out, key=lambda h: (h[0], h[1], h[2].priority, h[2].label))
 
 
-FIELDS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("detections", T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("label", T.StringType()), T.StructField("base", T.BooleanType()), T.StructField("confidence", T.DoubleType())])))])
+FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("detections", T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("label", T.StringType()), T.StructField("base", T.BooleanType()), T.StructField("confidence", T.DoubleType())])))]
 
 
 def scan_licences(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """keep (all columns by default), n_words, and detections: word runs with label, base flag and confidence."""
+    """keep (all columns by default), n_words, and detections: word runs with label, base flag and confidence. The two new
+    columns get underscores before a name that keep has."""
     keep = docs.columns if keep is None else keep
     place = docs.columns.index(text)
     kind = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("label", pa.string()), ("base", pa.bool_()), ("confidence", pa.float64())]))
@@ -174,11 +187,11 @@ def scan_licences(docs: DataFrame, *, text: str = "text", keep: list[str] | None
         def one(value: str | None):
             found = normal_words((value or "").encode())
             normal = f" {b' '.join(found).decode('latin-1')} "
-            out = []
-            for start, end, rule in scanner.detections(normal) if found else ():
-                first = normal.count(" ", 0, start) - 1
-                out.append({"first_word": first, "end_word": first + 1 + normal.count(" ", start, end), "label": rule.label, "base": rule.base, "confidence": rule.confidence})
-            return len(found), out
+            hits = scanner.detections(normal) if found else []
+            # Word i stands after space i.
+            spaces = np.flatnonzero(np.frombuffer(normal.encode("latin-1"), np.uint8) == 0x20) if hits else np.zeros(0, np.int64)
+            firsts, ends = np.searchsorted(spaces, [h[0] for h in hits]) - 1, np.searchsorted(spaces, [h[1] for h in hits])
+            return len(found), [{"first_word": a, "end_word": b, "label": h[2].label, "base": h[2].base, "confidence": h[2].confidence} for a, b, h in zip(firsts.tolist(), ends.tolist(), hits)]
 
         def work(batch):
             results = [one(v.as_py()) for v in batch.column(place)]
@@ -186,7 +199,7 @@ def scan_licences(docs: DataFrame, *, text: str = "text", keep: list[str] | None
 
         return work
 
-    return map_rows(docs, keep, FIELDS, make)
+    return map_rows(docs, keep, T.StructType([T.StructField(n, f.dataType) for n, f in zip(free_names(keep, "n_words", "detections"), FIELDS)]), make)
 
 
 def digest(found: DataFrame) -> DataFrame:
