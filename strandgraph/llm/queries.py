@@ -25,7 +25,7 @@ def op3_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = zstd_quality.fit(*zstd_quality.training_rows(docs, table(spark, sf_dir, "labels")))
+    model = zstd_quality.fit(docs, table(spark, sf_dir, "labels"))
     return zstd_quality.digest(zstd_quality.score(docs, model, keep=["doc_id"]))
 
 
