@@ -1,9 +1,13 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test items, each text scanned once.
 
 Normal form: A-Z lower-cased, words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`, one space between words. Each item gives its
-windows of ten consecutive words (an item of fewer words, but not none, is one window). The automaton holds every
-window between spaces, so a hit starts and ends at word bounds; hits are mapped from normal-form offsets to word
-numbers and from there to byte offsets of the original text.
+windows of ten consecutive words (an item of fewer words, but not none, is one window). The automaton's symbols are words,
+numbered, so that a window has ten nodes at most whatever its length in bytes; a text's words are looked up in the same
+numbering and scanned once. Hits are word numbers, which are mapped to byte offsets of the original text.
+
+Windows are made and counted in executors. Up to BLOCK_WINDOWS of them are one automaton; more go in as many blocks as
+the count asks for, which pass through the driver one after another, each in one narrow pass over the documents that
+writes the rows with hits. So neither the driver nor a worker ever holds more than one block.
 
 Defined results: null or wordless texts have no words and no hits; null or wordless items give no window; rows that
 repeat an item_id are one item, a null item_id is the item "null"; repeated documents are scanned each for itself; an
@@ -13,6 +17,7 @@ empty table of items leaves every document clean; of a document's other columns
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -22,11 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytewords as B
-from .common import fresh, map_rows
+from .common import free_names, fresh, map_arrow, map_rows, stage
 
 WINDOW_WORDS = 10
-#: Text bytes of items in one broadcast automaton. Larger tables of items go in several blocks, each scanned in turn.
-BLOCK_BYTES = 8 << 20
+#: Distinct windows in one automaton: ten nodes each, some 100 bytes a node.
+BLOCK_WINDOWS = 100_000
 
 _FORM = bytes(0x20 if b in B.NON_ALNUM else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -43,39 +48,31 @@ def windows(text: bytes, size: int = WINDOW_WORDS) -> set[bytes]:
     return {b" ".join(found[i : i + size]) for i in range(max(1, len(found) - size + 1))}
 
 
-def automaton(items: list[tuple[str, bytes]], size: int = WINDOW_WORDS):
-    """The automaton of a block of items, or None if it has no window. Values: word count and the items' names."""
-    by_window: dict[bytes, set[str]] = {}
-    for name, text in items:
-        for window in windows(text, size):
-            by_window.setdefault(window, set()).add(name)
-    if not by_window:
-        return None
-    out = ahocorasick.Automaton()
-    for window, names in by_window.items():
-        # Bytes stand as Latin-1 characters: the automaton needs one symbol a byte, not text.
-        out.add_word(f" {window.decode('latin-1')} ", (window.count(b" ") + 1, tuple(sorted(names))))
-    out.make_automaton()
-    return out
-
-
-def scan(found, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """Word count, merged runs [first, last + 1) of hit words, and names of the items with a window in the text."""
-    split = normal_words(text)
-    if found is None or not split:
-        return len(split), [], set()
-    normal = f" {b' '.join(split).decode('latin-1')} "
-    ends, sizes, names = [], [], set()
-    for end, (size, owners) in found.iter(normal):
-        ends.append(end)
-        sizes.append(size)
-        names.update(owners)
-    if not ends:
-        return len(split), [], names
-    spaces = np.flatnonzero(np.frombuffer(normal.encode("latin-1"), np.uint8) == 0x20)
-    stop = np.searchsorted(spaces, ends)  # the space after word i is number i + 1
-    start = stop - np.array(sizes)
-    return len(split), merge(start, stop), names
+class Machine:
+    """The automaton of a block of windows (words, names of the items that have them)."""
+
+    def __init__(self, block: list[tuple[bytes, list[str]]]):
+        self.numbers: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if block else None
+        for window, names in block:
+            key = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in window.split(b" "))
+            self.automaton.add_word(key, (len(key), tuple(names)))
+        if block:
+            self.automaton.make_automaton()
+
+    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """Word count, merged runs [first, last + 1) of hit words, and names of the items with a window in the text."""
+        split = normal_words(text)
+        # A word that no window has is number 0, which is in no key.
+        known = [self.numbers.get(w, 0) for w in split]
+        if not any(known):
+            return len(split), [], set()
+        starts, stops, names = [], [], set()
+        for end, (size, owners) in self.automaton.iter(tuple(known)):
+            starts.append(end + 1 - size)
+            stops.append(end + 1)
+            names.update(owners)
+        return len(split), merge(np.array(starts), np.array(stops)) if starts else [], names
 
 
 def merge(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
@@ -87,59 +84,110 @@ def merge(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[new].tolist(), stops[last].tolist()))
 
 
-def blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> list[DataFrame]:
-    """items dealt by a hash into as many blocks as their measured size asks for."""
+def window_table(items: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
+    """window (bytes) and names (of its items, sorted), written: one row for each distinct window."""
     slim = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("name"), F.col(text).alias("text")).where("text is not null")
-    total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes)
-    return [slim.where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == i) for i in range(n)]
+
+    def run(batches):
+        for batch in batches:
+            for name, text in zip(batch.column(0), batch.column(1)):
+                found = list(windows(text.as_py().encode(), size))
+                for lo in range(0, len(found), 10_000):
+                    part = found[lo : lo + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(part)), pa.array(part, pa.binary())], names=["name", "window"])
+
+    return stage(map_arrow(slim, run, "name string, window binary").groupBy("window").agg(F.sort_array(F.collect_set("name")).alias("names")), "windows")
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def found_columns(column: pa.Array, results: list[tuple[int, list[tuple[int, int]], set[str]]]) -> list[pa.Array]:
+    """The new columns of texts, of what was found in each."""
+    word_runs, byte_runs = [], []
+    for i, (_, runs, _) in enumerate(results):
+        bounds = B.words(next(B.chunks(column.slice(i, 1))), B.NON_ALNUM) if runs else None
+        word_runs.append([{"start": a, "end": b} for a, b in runs])
+        byte_runs.append([{"start": int(bounds.starts[a]), "end": int(bounds.ends[b - 1])} for a, b in runs])
+    return [pa.array([n for n, _, _ in results], pa.int64()), pa.array(word_runs, _SPANS), pa.array(byte_runs, _SPANS), pa.array([sorted(names) for *_, names in results], pa.list_(pa.string()))]
+
+
+def block_hits(docs: DataFrame, text: str, shared) -> DataFrame:
+    """key (of a text), runs of hit words, and names, of the texts with hits in one block."""
+
+    def run(batches):
+        machine = Machine(shared.value)
+        for batch in batches:
+            found = [(key, machine.scan(t.as_py().encode())) for key, t in zip(batch.column(0).to_pylist(), batch.column(1))]
+            found = [f for f in found if f[1][1]]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([[{"start": a, "end": b} for a, b in r] for _, (_, r, _) in found], _SPANS), pa.array([sorted(n) for _, (*_, n) in found], pa.list_(pa.string()))], names=["key", "runs", "names"])
 
+    slim = docs.select(text_key(text).alias("key"), F.col(f"`{text}`").alias("text")).where("text is not null")
+    return map_arrow(slim, run, T.StructType([T.StructField("key", T.BinaryType()), T.StructField("runs", SPANS), T.StructField("names", T.ArrayType(T.StringType()))])).dropDuplicates(["key"])
 
-def find_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, size: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES, prefix: str = "") -> DataFrame:
+
+def text_key(text: str) -> F.Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256))
+
+
+def find_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, size: int = WINDOW_WORDS, block_windows: int = BLOCK_WINDOWS, prefix: str = "") -> DataFrame:
     """keep (all columns by default) and, under names made of prefix: n_words, hit_words (runs of word numbers), hit_bytes
-    (the same runs as byte offsets in the original text) and hit_items (names, sorted as strings).
+    (the same runs as byte offsets in the original text) and hit_items (names, sorted as strings); with underscores before a
+    name that keep has.
 
-    Each block of items is one more narrow pass over the documents; there is no shuffle of documents at any size.
+    One block is one narrow pass over the documents. With more, the blocks' hits, one row for each text that has some, are
+    joined to the documents by the text's SHA-256.
     """
     spark, keep = docs.sparkSession, docs.columns if keep is None else keep
-    names = [f"{prefix}{x}" for x in ("n_words", "hit_words", "hit_bytes", "hit_items")]
+    names = free_names(keep, *(f"{prefix}{x}" for x in ("n_words", "hit_words", "hit_bytes", "hit_items")))
     fields = T.StructType([T.StructField(names[0], T.LongType()), T.StructField(names[1], SPANS), T.StructField(names[2], SPANS), T.StructField(names[3], T.ArrayType(T.StringType()))])
-    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    found = [[(r["name"], r["text"].encode()) for r in b.collect()] for b in blocks(items, item_id, item_text, block_bytes)] or [[]]
-    shared = [spark.sparkContext.broadcast(b) for b in found]
-    place = docs.columns.index(text)
+    table = window_table(items, item_id, item_text, size)
+    n = max(1, -(-table.count() // block_windows))
+
+    def block(i):
+        part = table if n == 1 else table.where(F.pmod(F.xxhash64("window"), F.lit(n)) == i)
+        return spark.sparkContext.broadcast([(bytes(r["window"]), r["names"]) for r in part.collect()])
+
+    if n == 1:
+        place, shared = docs.columns.index(text), block(0)
+
+        def make():
+            machine = Machine(shared.value)
+            return lambda batch: found_columns(batch.column(place), [machine.scan((t.as_py() or "").encode()) for t in batch.column(place)])
+
+        return map_rows(docs, keep, fields, make)
+    parts = []
+    for i in range(n):
+        shared = block(i)
+        parts.append(stage(block_hits(docs, text, shared), "hits"))
+        shared.destroy()
+    key, runs, found = free_names(docs.columns, "_key", "_runs", "_names")
+    hits = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.flatten(F.collect_list("runs")).alias(runs), F.array_distinct(F.flatten(F.collect_list("names"))).alias(found)).withColumnRenamed("key", key)
+    needed = list(dict.fromkeys([*keep, text]))
+    joined = docs.select(*(f"`{c}`" for c in needed)).withColumn(key, text_key(text)).join(few(hits), key, "left").select(*(f"`{c}`" for c in needed), runs, found)
+    place, last = joined.columns.index(text), len(joined.columns) - 1
 
     def make():
-        machines = [automaton(b.value, size) for b in shared] if len(shared) == 1 else None
-
         def work(batch):
-            counts, word_runs, byte_runs, item_lists = [], [], [], []
-            column = batch.column(place)
-            results = [(0, [], set())] * len(column)
-            for machine in machines or (automaton(b.value, size) for b in shared):
-                for i, value in enumerate(column):
-                    n, runs, names = scan(machine, (value.as_py() or "").encode())
-                    results[i] = (n, results[i][1] + runs, results[i][2] | names)
-            for i, (n, runs, names) in enumerate(results):
-                counts.append(n)
-                if not runs:
-                    word_runs.append([])
-                    byte_runs.append([])
-                    item_lists.append(sorted(names))
-                    continue
-                runs = merge(*map(np.array, zip(*runs)))
-                bounds = B.words(next(B.chunks(column.slice(i, 1))), B.NON_ALNUM)
-                word_runs.append([{"start": a, "end": b} for a, b in runs])
-                byte_runs.append([{"start": int(bounds.starts[a]), "end": int(bounds.ends[b - 1])} for a, b in runs])
-                item_lists.append(sorted(names))
-            return [pa.array(counts, pa.int64()), pa.array(word_runs, spans), pa.array(byte_runs, spans), pa.array(item_lists, pa.list_(pa.string()))]
+            column, results = batch.column(place), []
+            for t, r, names in zip(column, batch.column(last - 1).to_pylist(), batch.column(last).to_pylist()):
+                results.append((len(normal_words((t.as_py() or "").encode())), merge(*(np.array([x[k] for x in r]) for k in ("start", "end"))) if r else [], set(names or ())))
+            return found_columns(column, results)
 
         return work
 
-    return map_rows(docs, keep, fields, make)
+    return map_rows(joined, keep, fields, make)
+
+
+#: Texts with hits up to which they are broadcast to the documents; more are joined by shuffles.
+FEW_HITS = 20_000
+
+
+def few(hits: DataFrame) -> DataFrame:
+    hits = stage(hits, "hits")
+    return F.broadcast(hits) if hits.limit(FEW_HITS + 1).count() <= FEW_HITS else hits
 
 
 def digest(found: DataFrame) -> DataFrame:
