@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from strandgraph.llm import quality_mcd, queries
+from strandgraph.llm import bwt_dedup, queries
 
 from .. import oracle
 from . import brute
@@ -49,7 +49,8 @@ def test_pipeline_stages(spark, docs, corpus, tmp_path):
             groups = brute.near_duplicates([(r["doc_id"], r["text"]) for r in before])
             assert len(after) == len({g[2] for g in groups})
         elif name == "repeated_passages":
-            assert sorted(len((r["text"] or "").encode()) for r in after) == sorted(b[0] - b[1] for b in brute.repeats(texts))
+            gone = brute.passages(texts, bwt_dedup.PASSAGE_WINDOW, bwt_dedup.PASSAGE_WORDS)
+            assert sorted(len((r["text"] or "").encode()) for r in after) == sorted(len((t or "").encode()) - g[1] for t, g in zip(texts, gone))
         elif name == "decontamination":
             clean = [t for t in texts if not brute.contamination(t, [(r["item_id"], r["text"]) for r in items])[-1]]
             assert len(after) == len(clean)
@@ -57,5 +58,13 @@ def test_pipeline_stages(spark, docs, corpus, tmp_path):
             assert {r["doc_id"] for r in after} == {r["doc_id"] for r in before}
 
 
-def test_row_key_tells_rows_apart(docs):
-    assert docs.select(quality_mcd.row_key("doc_id", "text", "lang", "source").alias("k")).distinct().count() == docs.distinct().count()
+
+def test_scores_of_held_out_labels(spark):
+    """The classifier on labels that its fit has never read, of the larger table."""
+    data = oracle.DATA.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{data}/labels.parquet").select("doc_id", "quality")
+    rows = queries.op4_quality_score(spark, data).where("held_out").join(labels, "doc_id").collect()
+    good, bad = ([r["score"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert len(good) > 50 and len(bad) > 5
+    assert sum(r["predicted"] == r["quality"] for r in rows) / len(rows) > 0.93
+    assert sum(g > b for g in good for b in bad) / (len(good) * len(bad)) > 0.97
