@@ -21,7 +21,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that stand elsewhere too."""
+    """Documents without passages of over 50 words that stand elsewhere too."""
     return bwt_dedup.remove_repeats(docs)
 
 
