@@ -17,6 +17,7 @@ empty table of items leaves every document clean; of a document's other columns
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import reduce
 
 import ahocorasick
@@ -57,21 +58,23 @@ class Machine:
         for window, names in block:
             key = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in window.split(b" "))
             self.automaton.add_word(key, (len(key), tuple(names)))
+        shortest = min((window.count(b" ") + 1 for window, _ in block), default=1)
+        # A hit lies in a run of words that windows have, of as many words as the shortest window at least.
+        self.runs = re.compile(rb"\x01{%d,}" % shortest)
         if block:
             self.automaton.make_automaton()
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Word count, merged runs [first, last + 1) of hit words, and names of the items with a window in the text."""
         split = normal_words(text)
-        # A word that no window has is number 0, which is in no key.
-        known = [self.numbers.get(w, 0) for w in split]
-        if not any(known):
-            return len(split), [], set()
+        known = list(map(self.numbers.get, split))
         starts, stops, names = [], [], set()
-        for end, (size, owners) in self.automaton.iter(tuple(known)):
-            starts.append(end + 1 - size)
-            stops.append(end + 1)
-            names.update(owners)
+        for run in self.runs.finditer(bytes([n is not None for n in known])):
+            first = run.start() + 1
+            for end, (size, owners) in self.automaton.iter(tuple(known[run.start() : run.end()])):
+                starts.append(first + end - size)
+                stops.append(first + end)
+                names.update(owners)
         return len(split), merge(np.array(starts), np.array(stops)) if starts else [], names
 
 
