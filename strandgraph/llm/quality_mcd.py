@@ -155,17 +155,28 @@ def chain(df: DataFrame, steps: list[tuple[str, str]]) -> DataFrame:
     return reduce(lambda d, s: d.withColumn(s[0], F.expr(s[1])), steps, df)
 
 
-#: Rows up to which a table of groups is broadcast; a larger one is joined by shuffles.
+#: Languages and sources up to which a table of groups is broadcast; with more, it is joined by shuffles.
 FEW_GROUPS = 10_000
 
 
-def few(table: DataFrame) -> DataFrame:
-    """A written table of groups, to be broadcast if it is counted to be small: then no group's rows are gathered."""
-    return F.broadcast(table) if table.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS else table
+def is_small(table: DataFrame) -> bool:
+    return table.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
 
 
-def grouped(vectors: DataFrame) -> DataFrame:
-    """vectors with the key of the group that judges them: language and source, else the language's pool, else all."""
+def few(table: DataFrame, small: bool) -> DataFrame:
+    """A table of groups, to be broadcast if these were counted to be few: then no group's rows are gathered."""
+    return F.broadcast(table) if small else table
+
+
+def quantile(values: DataFrame, keys: list[str], share: float, name: str) -> DataFrame:
+    """keys, the quantile of the whole numbers in `bin`, and members: equal ones are counted first, in each task before the
+    shuffle."""
+    return values.groupBy(*keys, "bin").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.expr(f"percentile(bin, {share}, n)").alias(name), F.sum("n").alias("members"))
+
+
+def grouped(vectors: DataFrame) -> tuple[DataFrame, bool]:
+    """vectors with the key of the group that judges them (language and source, else the language's pool, else all), and
+    whether languages and sources are few."""
     sizes = vectors.groupBy("lang_key", "source_key").agg(F.count("*").alias("n"))
     small = F.col("n") < MIN_GROUP
     pools = sizes.where(small).groupBy("lang_key").agg(F.sum("n").alias("pool"))
@@ -174,7 +185,9 @@ def grouped(vectors: DataFrame) -> DataFrame:
         "source_key",
         F.when(~small, F.to_json(F.struct("lang_key", "source_key"))).when(F.col("pool") >= MIN_GROUP, F.to_json(F.struct("lang_key"))).otherwise("{}").alias("group_key"),
     )
-    return vectors.join(few(stage(keys, "groups")), ["lang_key", "source_key"])
+    keys = stage(keys, "groups")
+    small = is_small(keys)
+    return vectors.join(few(keys, small), ["lang_key", "source_key"]), small
 
 
 #: A vector's deviations from the medians in median deviations, and the two starts' transforms of them.
@@ -200,24 +213,24 @@ def start_columns(start: int) -> list[tuple[str, str]]:
 SPREAD_SQL = [f"greatest(1.4826 * mad_{i} / {float(SCALE)}, {FLOORS[i]})" for i in range(P)]
 
 
-def first_estimates(vectors: DataFrame) -> DataFrame:
+def first_estimates(vectors: DataFrame, small: bool) -> DataFrame:
     """Each group's starts: group_key, start, m_i, c_i_j, l_i_j."""
     medians = vectors.groupBy("group_key").agg(*(F.expr(f"percentile(x_{i}, 0.5)").alias(f"med_{i}") for i in range(P)))
-    spread = vectors.join(few(stage(medians, "medians")), "group_key").groupBy("group_key").agg(*(F.expr(f"percentile(abs(x_{i} - med_{i}), 0.5)").alias(f"mad_{i}") for i in range(P)), *(F.first(f"med_{i}").alias(f"med_{i}") for i in range(P)))
+    spread = vectors.join(few(stage(medians, "medians"), small), "group_key").groupBy("group_key").agg(*(F.expr(f"percentile(abs(x_{i} - med_{i}), 0.5)").alias(f"mad_{i}") for i in range(P)), *(F.first(f"med_{i}").alias(f"med_{i}") for i in range(P)))
     spread = stage(spread.select("group_key", *(f"med_{i}" for i in range(P)), *(F.expr(e).alias(f"s_{i}") for i, e in enumerate(SPREAD_SQL))), "spreads")
-    moved = vectors.join(few(spread), "group_key").select("group_key", *(F.expr(e).alias(f"{'ab'[k - 1]}_{i}") for k, given in START_SQL.items() for i, e in enumerate(given)))
+    moved = vectors.join(few(spread, small), "group_key").select("group_key", *(F.expr(e).alias(f"{'ab'[k - 1]}_{i}") for k, given in START_SQL.items() for i, e in enumerate(given)))
     sums = moved.groupBy("group_key").agg(F.count("*").alias("n"), *(F.sum(F.expr(f"{c}_{i} * {c}_{j}")).alias(f"{c}_{i}_{j}") for c in "ab" for i, j in PAIRS))
     told = stage(spread.join(sums, "group_key"), "starts")
     return reduce(DataFrame.unionByName, [chain(told.select("group_key", F.lit(k).alias("start"), *(F.expr(e).alias(n) for n, e in start_columns(k))), cholesky_sql()) for k in range(STARTS)])
 
 
-def concentrate(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
+def concentrate(vectors: DataFrame, estimate: DataFrame, small: bool) -> DataFrame:
     """One concentration step of each group's estimates: mean and covariance of the closest vectors under each."""
     keys = ["group_key", "start"]
-    binned = chain(vectors.join(few(estimate), "group_key"), distance_sql()).withColumn("bin", F.expr(BIN_SQL)).select(*keys, "bin", *(f"x_{i}" for i in range(P)))
-    limits = binned.groupBy(*keys).agg(F.expr(f"percentile(bin, {SUBSET_PERCENT / 100})").alias("limit_bin"))
+    binned = chain(vectors.join(few(estimate, small), "group_key"), distance_sql()).withColumn("bin", F.expr(BIN_SQL)).select(*keys, "bin", *(f"x_{i}" for i in range(P)))
+    limits = quantile(binned, keys, SUBSET_PERCENT / 100, "limit_bin").drop("members")
     sums = [F.count("*").alias("n"), *(F.sum(F.expr(f"CAST(x_{i} AS DECIMAL(18,0))")).alias(f"s_{i}") for i in range(P)), *(F.sum(F.expr(f"CAST(x_{i} * x_{j} AS DECIMAL(19,0))")).alias(f"s_{i}_{j}") for i, j in PAIRS)]
-    totals = binned.join(few(stage(limits, "limits")), keys).where("bin <= limit_bin").groupBy(*keys).agg(*sums)
+    totals = binned.join(few(stage(limits, "limits"), small), keys).where("bin <= limit_bin").groupBy(*keys).agg(*sums)
     mean = {i: f"(CAST(s_{i} AS DOUBLE) / n)" for i in range(P)}
     columns = [F.expr(f"{mean[i]} / {float(SCALE)}").alias(f"m_{i}") for i in range(P)]
     for i, j in PAIRS:
@@ -226,29 +239,29 @@ def concentrate(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
     return chain(totals.select(*keys, *columns), cholesky_sql())
 
 
-def least_determinant(vectors: DataFrame) -> DataFrame:
+def least_determinant(vectors: DataFrame, small: bool = False) -> DataFrame:
     """Each group's estimate (group_key, start, m_i, c_i_j, l_i_j), written."""
-    estimate = stage(first_estimates(vectors), "estimate")
+    estimate = stage(first_estimates(vectors, small), "estimate")
     for _ in range(EXPLORE):
-        estimate = stage(concentrate(vectors, estimate), "estimate")
+        estimate = stage(concentrate(vectors, estimate, small), "estimate")
     rest = [c for c in estimate.columns if c not in ("group_key", "start")]
     best = estimate.groupBy("group_key").agg(F.min(F.struct(F.expr(LOGDET_SQL).alias("logdet"), "start", *rest)).alias("best"))
     estimate = stage(best.select("group_key", "best.start", *(f"best.{c}" for c in rest)), "estimate")
     same = reduce(lambda a, b: a & b, [F.col(f"new.{c}") == F.col(f"old.{c}") for c in rest])
     for _ in range(MOST_STEPS):
-        before, estimate = estimate, stage(concentrate(vectors, estimate), "estimate")
+        before, estimate = estimate, stage(concentrate(vectors, estimate, small), "estimate")
         if not estimate.alias("new").join(before.alias("old"), "group_key").where(~same).take(1):
             break
     return estimate
 
 
-def models(rows: DataFrame) -> DataFrame:
-    """lang_key, source_key and the model that judges them, written. rows: lang_key, source_key, base_failed, x_i."""
-    keyed = grouped(rows.where("NOT base_failed").select("lang_key", "source_key", *(f"x_{i}" for i in range(P))))
-    estimate = least_determinant(keyed)
-    middle = chain(keyed.join(few(estimate), "group_key"), distance_sql()).withColumn("bin", F.expr(BIN_SQL)).groupBy("group_key").agg(F.expr("percentile(bin, 0.5)").alias("middle"), F.count("*").alias("members"))
+def models(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """lang_key, source_key and the model that judges them, written, and whether these rows are few. rows: lang_key, source_key, base_failed, x_i."""
+    keyed, small = grouped(rows.where("NOT base_failed").select("lang_key", "source_key", *(f"x_{i}" for i in range(P))))
+    estimate = least_determinant(keyed, small)
+    middle = quantile(chain(keyed.join(few(estimate, small), "group_key"), distance_sql()).withColumn("bin", F.expr(BIN_SQL)), ["group_key"], 0.5, "middle")
     pairs = keyed.select("group_key", "lang_key", "source_key").distinct()
-    return stage(pairs.join(estimate, "group_key").join(middle, "group_key").withColumn("factor", F.expr(f"greatest(exp(middle / {float(DISTANCE_SCALE)}) - 1, 1e-9) / {CHI2_MEDIAN}")), "models")
+    return stage(pairs.join(estimate, "group_key").join(middle, "group_key").withColumn("factor", F.expr(f"greatest(exp(middle / {float(DISTANCE_SCALE)}) - 1, 1e-9) / {CHI2_MEDIAN}")), "models"), small
 
 
 def judged(docs: DataFrame, carried: list[Column], text: str, lang: str, source: str) -> DataFrame:
@@ -257,7 +270,7 @@ def judged(docs: DataFrame, carried: list[Column], text: str, lang: str, source:
     slim = docs.select(*carried, F.col(f"`{text}`").alias("text"), F.coalesce(F.col(f"`{lang}`"), F.lit("")).alias("lang_key"), F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source_key"))
     counted = with_statistics(slim).drop("text")
     rows = stage(chain(counted, [(f"x_{i}", f"CASE WHEN NOT base_failed THEN {TRANSFORMS[i]} END") for i in range(P)]), "statistics")
-    found = chain(rows.join(few(models(rows)), ["lang_key", "source_key"], "left"), distance_sql()).withColumn("distance", F.expr("CASE WHEN NOT base_failed THEN d2 / greatest(factor, 1.0) END"))
+    found = chain(rows.join(few(*models(rows)), ["lang_key", "source_key"], "left"), distance_sql()).withColumn("distance", F.expr("CASE WHEN NOT base_failed THEN d2 / greatest(factor, 1.0) END"))
     kept = F.expr(f"NOT base_failed AND (members < {MIN_POOL} OR distance <= {CUT})")
     return found.withColumn("kept", kept)
 
