@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as B
-from .common import drop, fresh, map_arrow, squeezed, stage
+from .common import drop, fresh, map_arrow, squeezed, stage, tidy
 from .components import components
 
 SHINGLE = 5
@@ -131,7 +131,8 @@ def cell(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketch(first: DataFrame) -> np.ndarray:
-    """Each cell's count above the middle cell's: SKETCH numbers, whatever the input. The tasks' parts are summed by number."""
+    """Each cell's count above the middle cell's: SKETCH numbers, whatever the input. The tasks' parts are summed by number, and
+    come to the driver packed, so that it holds one array of all cells. The middle is that of the parts' medians."""
 
     def run(batches):
         unpack, sums = zstandard.ZstdDecompressor().decompress, {}
@@ -140,13 +141,17 @@ def sketch(first: DataFrame) -> np.ndarray:
                 found = np.frombuffer(unpack(part.as_py()), np.uint32)
                 sums[key] = sums[key] + found if key in sums else found.astype(np.int64)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["key", "cells"])
-
-    out = np.zeros((SEGMENTS, SKETCH // SEGMENTS), np.int64)
-    summed = map_arrow(first.where("kind = 1").select("key", "parity").repartition(SEGMENTS, "key"), run, "key long, cells binary").toArrow()
-    for key, cells in zip(summed.column("key").to_pylist(), summed.column("cells")):
-        out[key] = np.frombuffer(cells.as_py(), np.int64)
-    return np.minimum(np.maximum(out - int(np.median(out)), 0), (1 << 32) - 1).astype(np.uint32).reshape(-1)
+            pack = zstandard.ZstdCompressor(level=3).compress
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([int(np.median(v)) for v in sums.values()], pa.int64()), pa.array([pack(v.tobytes()) for v in sums.values()], pa.binary())], names=["key", "middle", "cells"])
+
+    out, unpack = np.zeros((SEGMENTS, SKETCH // SEGMENTS), np.uint32), zstandard.ZstdDecompressor().decompress
+    rows = map_arrow(first.where("kind = 1").select("key", "parity").repartition(SEGMENTS, "key"), run, "key long, middle long, cells binary").collect()
+    middle = int(np.median([r["middle"] for r in rows])) if rows else 0
+    for r in rows:
+        out[r["key"]] = np.clip(np.frombuffer(unpack(r["cells"]), np.int64) - middle, 0, (1 << 32) - 1)
+    del rows
+    tidy()
+    return out.reshape(-1)
 
 
 def prefix_size(n):
