@@ -165,15 +165,31 @@ class BundleReader:
         return [self.frame(f)[o : o + n] for p, f, o, n in self.index if p == page_id]
 
 
+#: Digests that occur more than once, up to which they are broadcast, so that payloads stay where they are read.
+FEW_DIGESTS = 200_000
+#: Copies of one payload beyond which its digest counts as hot where digests are too many to be broadcast.
+HOT = 10_000
+
+
 def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, sha1 (hex), first_id and has_first: whether an equal payload has a smaller page_id.
+    """page_id, url, payload, sha1 (hex), size, first_id, and revisit: whether an equal payload has a smaller page_id.
 
-    Only digests that occur more than once are joined, one row each; the group's size never reaches a single task.
+    Digests that occur more than once are counted and written, one narrow row each. If they are few they are broadcast and
+    no payload is shuffled. Otherwise only the hot ones (at most one for HOT rows) are, and the rest are joined by
+    digest, where a hot payload's rows are dealt by page_id instead, as they need no partner any more.
     """
     slim = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     keyed = slim.select("*", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("size"))
-    shared = keyed.where(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keyed.join(shared, ["sha1", "size"], "left").withColumn("revisit", F.coalesce(F.col("first_id") != F.col("page_id"), F.col("first_id").isNotNull() & F.col("page_id").isNull()))
+    counted = keyed.where(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    shared = stage(counted, "digests")
+    if shared.limit(FEW_DIGESTS + 1).count() <= FEW_DIGESTS:
+        joined = keyed.join(F.broadcast(shared.drop("n")), ["sha1", "size"], "left")
+    else:
+        hot, cold = shared.where(F.col("n") > HOT).limit(FEW_DIGESTS), shared
+        told = keyed.join(F.broadcast(hot.select("sha1", "size", F.col("first_id").alias("hot_first"), F.lit(True).alias("is_hot"))), ["sha1", "size"], "left")
+        told = told.withColumn("deal", F.when(F.col("is_hot"), F.concat(F.lit("hot "), F.xxhash64("page_id", "url").cast("string"))).otherwise(F.col("sha1")))
+        joined = told.join(cold.select(F.col("sha1").alias("deal"), "size", "first_id"), ["deal", "size"], "left").withColumn("first_id", F.coalesce("hot_first", "first_id")).drop("deal", "hot_first", "is_hot")
+    return joined.withColumn("revisit", F.coalesce(F.col("first_id") != F.col("page_id"), F.col("first_id").isNotNull() & F.col("page_id").isNull()))
 
 
 def write_bundles(pages: DataFrame, *, min_bytes: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
