@@ -1,23 +1,22 @@
-"""Removal of repeated passages by merging the Burrows-Wheeler transforms of shards.
+"""Removal of repeated passages: anchored fingerprint refinement, in place of a merge of shards' transforms.
 
-Which suffixes. All suffixes of a corpus are too many; every string of WINDOW bytes is reached from a few of them. The
-k-grams of a text are hashed, and a window's anchor is the least hash among its first SPAN k-grams (the first, if tied).
-An anchor depends on the window's own bytes only, so equal windows have equal anchors at equal places. The suffixes that
-start at anchors, one in about SPAN / 2 bytes, are the ones that are sorted; the windows that share an anchor are a
-stretch of consecutive starts.
+The merge of Burrows-Wheeler transforms is in bwt_merge; a round of it moves every suffix by one symbol, which takes far too long
+at 400 symbols (figures in the README). This module finds the same intervals, those of strings of the window's length that
+repeat, from a sample of suffixes and by whole depths.
 
-Shards. A task cuts its rows into shards. A suffix is read as a meta-symbol, the hash of its first DEPTH bytes (what all
-windows of an anchor hold to the right of it at least), then what follows. A shard is sorted in that order; beside each
-suffix stands its transform symbol, the hash of the bytes that precede it in its stretch and of those that follow up to the
-stretch's end.
+Which suffixes. Every string of `window` bytes is reached from a few suffixes. The k-grams of a text are hashed, and a
+window's anchor is the least hash among its first `span` k-grams (the first, if tied). An anchor depends on the window's own
+bytes only, so equal windows have equal anchors at equal places. The suffixes that start at anchors are one in about span / 2
+bytes; the windows that share an anchor are a stretch of consecutive starts. Each stretch is a row: the hash of the `depth` bytes
+after its anchor, which all its windows hold, and the hash of all that its windows hold.
 
-Merge. The shards' transforms are interleaved by refinement, from a common prefix of DEPTH bytes to one of WINDOW bytes.
-At each depth, intervals of suffixes of all shards that agree up to it are counted: an interval of one suffix is settled
+Refinement. At each depth, intervals of suffixes that agree up to it are counted: an interval of one suffix is settled
 (nothing repeats) and leaves; suffixes of an interval that agree to both sides, as far as their windows reach, are
 settled too (all their windows repeat); only torn intervals, which hold suffixes that differ somewhere, one of them
-single, go on to the next depth, with one suffix for each kind. Suffixes are never sorted again: only interval sizes are
-exchanged, combined in each task before they are shuffled. The depths are DEPTH bytes for whole stretches; then, for
-blocks of BLOCK windows counted from the anchor, what the block's windows have in common; then each window of its own. Equality is by two independent 64-bit hashes.
+single, go on to the next depth, with one suffix for each kind. Only interval sizes are exchanged, combined in each
+task before they are shuffled. The depths are `depth` bytes for whole stretches; then, for blocks of BLOCK windows counted
+from the anchor, what the block's windows have in common; then each window of its own. Equality is by two independent
+64-bit hashes.
 
 Defined results: null text is the empty text; texts shorter than the window lose nothing; rows that repeat a text are
 repeats of each other (both lose what they share, as the contract's "starts anywhere else" says), also with the same or a null doc_id;
@@ -135,8 +134,9 @@ def row_key(doc_id: str, text: str):
     return F.xxhash64(F.col(f"`{doc_id}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit("row"))
 
 
-def shard_transforms(rows: DataFrame, form: Form) -> DataFrame:
-    """Sorted suffixes with their transform symbols, shard after shard. rows: row and text."""
+def anchored_stretches(rows: DataFrame, form: Form) -> DataFrame:
+    """Each stretch: its row, place and anchor, and the hashes of what its windows have in common (prefix) and hold in all (symbol).
+    rows: row and text."""
 
     def run(batches):
         for batch in batches:
@@ -150,19 +150,20 @@ def shard_transforms(rows: DataFrame, form: Form) -> DataFrame:
                     prefix = hashes.of(anchor, anchor + form.depth)
                     reach = (anchor - first) * form.span + (last - first)
                     symbol = B.mix(hashes.of(first, anchor) * np.uint64(3) + hashes.of(anchor, last + form.window) * np.uint64(5) + reach.astype(np.uint64))
-                    order = np.lexsort((symbol, prefix))
                     columns = [key[texts.first + origin[row]], (first - piece.offsets[row] + begin[row]).astype(np.int32), (last - first + 1).astype(np.int32), (anchor - first).astype(np.int32), prefix.view(np.int64), symbol.view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c[order]) for c in columns], schema=_ARROW)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_ARROW)
 
     return map_arrow(rows, run, SUFFIXES)
 
 
-def refine(members: DataFrame, interval: list[str], kind: str, one: list[str]) -> tuple[DataFrame, DataFrame]:
+def refine(members: DataFrame, interval: list[str], kind: str, one: list[str], held: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """One round. members have the columns of interval, kind, one and copies (how many suffixes each stands for, 2
     meaning more). Returns the kinds that occur twice or more (interval, kind), all of whose windows repeat, and one
-    member of each kind of the torn intervals, with copies."""
+    member of each kind of the torn intervals, with copies. Tables written for that join held."""
     kinds = stage(members.groupBy(*interval, kind).agg(F.sum("copies").alias("copies"), F.min(F.struct(*one)).alias("one")), "kinds")
-    torn = kinds.groupBy(*interval).agg(F.count("*").alias("n"), F.min("copies").alias("least")).where("n > 1 AND least = 1").select(*interval)
+    # Written, here and below, so that both sides of a join are read from shuffles and a frequent key can be split.
+    torn = stage(kinds.groupBy(*interval).agg(F.count("*").alias("n"), F.min("copies").alias("least")).where("n > 1 AND least = 1").select(*interval), "torn")
+    held += [kinds, torn]
     asked = kinds.join(torn, interval, "left_semi").select(*interval, "one.*", F.least("copies", F.lit(2)).cast("int").alias("copies"))
     return kinds.where("copies > 1").select(*interval, kind), asked
 
@@ -233,28 +234,30 @@ def single_windows(torn: DataFrame, asked: DataFrame, form: Form) -> DataFrame:
     return map_arrow(joined.select("row", (F.col("start") - F.col("first")).alias("offset"), "start", "windows", "copies", "core", "bytes"), run, "row long, at int, copies int, core long, window long")
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """row and spans: byte ranges (start, end), in no order, that cover exactly the repeated windows. docs: row and text."""
+def repeated_spans(docs: DataFrame, window: int, held: list[DataFrame]) -> DataFrame:
+    """row and spans: byte ranges (start, end), in no order, that cover exactly the repeated windows. docs: row and text. The result
+    reads written tables, which join held: they may be dropped once it is written itself."""
     form = Form(window)
     covered = lambda df: df.select("row", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
     # Depth one: whole stretches.
-    suffixes = stage(shard_transforms(docs, form), "suffixes")
-    # Written first, so that both sides of the join are read from shuffles and a frequent prefix can be split.
+    suffixes = stage(anchored_stretches(docs, form), "suffixes")
     shared = stage(suffixes.groupBy("prefix").agg(F.count("*").alias("size")).where("size > 1").select("prefix"), "shared")
     active = stage(suffixes.join(shared, "prefix", "left_semi").withColumn("copies", F.lit(1)), "intervals")
     drop(suffixes)
-    whole, asked = refine(active, ["prefix"], "symbol", ["row", "first", "windows", "lead"])
+    whole, asked = refine(active, ["prefix"], "symbol", ["row", "first", "windows", "lead"], held)
     spans = covered(active.join(whole, ["prefix", "symbol"], "left_semi").withColumn("start", F.col("first")).withColumn("end", F.col("first") + F.col("windows") + window - 1))
     torn = stage(stretch_bytes(docs, asked, form), "torn")
     # Depth two: blocks of windows.
     members = stage(blocks(torn, form), "blocks")
     interval = ["prefix", "block", "core"]
-    whole, asked = refine(members, interval, "hull", ["row", "first", "start", "windows"])
+    whole, asked = refine(members, interval, "hull", ["row", "first", "start", "windows"], held)
     spans = spans.unionByName(covered(members.where("copies = 1").join(whole, [*interval, "hull"], "left_semi").withColumn("end", F.col("start") + F.col("windows") + window - 1)))
     # Depth three: single windows.
     windows = stage(single_windows(torn, asked.select("row", "first", "start", "windows", "copies", "core"), form), "windows")
-    equal = windows.groupBy("core", "window").agg(F.sum("copies").alias("n")).where("n > 1").select("core", "window")
+    equal = stage(windows.groupBy("core", "window").agg(F.sum("copies").alias("n")).where("n > 1").select("core", "window"), "equal")
     spans = spans.unionByName(covered(windows.where("copies = 1").join(equal, ["core", "window"], "left_semi").withColumn("start", F.col("at")).withColumn("end", F.col("at") + window)))
+    drop(torn)
+    held += [shared, active, members, windows, equal]
     return spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
@@ -288,7 +291,7 @@ def finer_spans(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
     """repeated_spans for a longer window, from those of a shorter one: a repeated string lies in what its parts cover, so
     that only the covered runs of `window` bytes or more are read."""
     pieces = stage(cut(docs, spans, window), "pieces")
-    found = repeated_spans(pieces.select(F.col("piece").alias("row"), "text"), window).withColumnRenamed("row", "piece")
+    found = repeated_spans(pieces.select(F.col("piece").alias("row"), "text"), window, []).withColumnRenamed("row", "piece")
     placed = found.join(pieces.select("piece", "row", "base").distinct(), "piece").select("row", F.explode("spans").alias("span"), "base")
     return placed.groupBy("row").agg(F.collect_set(F.struct((F.col("span.start") + F.col("base")).alias("start"), (F.col("span.end") + F.col("base")).alias("end"))).alias("spans"))
 
@@ -312,12 +315,14 @@ def removal(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep
     row, found, short = fresh(docs, "_row"), fresh(docs, "_spans"), fresh(docs, "_short")
     keyed = docs.select(row_key(doc_id, text).alias("row"), F.col(f"`{text}`").alias("text"))
     if passages and PASSAGE_WINDOW < window:
-        shorter = stage(repeated_spans(keyed, PASSAGE_WINDOW), "spans")
+        held: list[DataFrame] = []
+        shorter = stage(repeated_spans(keyed, PASSAGE_WINDOW, held), "spans")
+        drop(*held)
         spans = shorter.withColumnRenamed("spans", short).join(finer_spans(keyed, shorter, window).withColumnRenamed("spans", found), "row", "left")
     elif passages:
         raise ValueError(f"passages are counted beside windows of more than {PASSAGE_WINDOW} bytes")
     else:
-        spans = repeated_spans(keyed, window).withColumnRenamed("spans", found)
+        spans = repeated_spans(keyed, window, []).withColumnRenamed("spans", found)
     needed = list(dict.fromkeys([*keep, doc_id, text]))
     whole = squeezed(docs.select(*(f"`{c}`" for c in needed)).withColumn(row, row_key(doc_id, text)), text)
     of_row = [short, found] if passages else [found]
