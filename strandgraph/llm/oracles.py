@@ -96,3 +96,50 @@ g AS MATERIALIZED (SELECT r, page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes
 f AS (SELECT *, min(page_id) OVER (PARTITION BY x, payload_bytes) AS first_id FROM g)
 SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v[i // 8 + 1] >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31) AS BIGINT) + 1, 1)), '') AS payload_digest,
  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM f"""
+
+
+def _whole(vector: str, scale: int, kind: str) -> str:
+    fit = f"{vector} IS NOT NULL AND len({vector}) = 64 AND len(list_filter({vector}, lambda x: x IS NULL OR NOT isfinite(x) OR abs(CAST(x AS DOUBLE) * {scale}) >= 67108864)) = 0"
+    return f"list_transform({vector}, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS {kind})) AS x FROM embeddings WHERE {fit}"
+
+
+#: The floor of s / n for integers: a remainder is taken off first, so that no rounding is left to do.
+_FLOOR = "(({s} - (({s} % {n}) + {n}) % {n}) // {n})"
+
+
+def distinct_codes(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    width = 64 // parts
+    apart = " + ".join(f"(d.part[{i}] - c.part[{i}]) * (d.part[{i}] - c.part[{i}])" for i in range(1, width + 1))
+    sums = ", ".join(f"CAST(sum(w * part[{i}]) AS BIGINT) AS s{i}" for i in range(1, width + 1))
+    mean = ", ".join(_FLOOR.format(s=f"s{i}", n="n") for i in range(1, width + 1))
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT pos, part, w, near // {entries} AS distance, near % {entries} AS entry FROM (SELECT d.pos, d.part, any_value(w) AS w, min(({apart}) * {entries} + entry) AS near FROM d JOIN c{r} c ON c.pos = d.pos GROUP BY d.pos, d.part))")
+        if r < rounds:
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.pos, c.entry, CASE WHEN n IS NULL THEN c.part ELSE [{mean}] END AS part FROM c{r} c LEFT JOIN (SELECT pos, entry, CAST(sum(w) AS BIGINT) AS n, {sums} FROM a{r} GROUP BY ALL) m ON m.pos = c.pos AND m.entry = c.entry)")
+    return f"""WITH k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, {_whole("embedding", 256, "BIGINT")}),
+e AS MATERIALIZED (SELECT r, vec_id, label, x, unnest(range({parts})) AS pos FROM k),
+p AS MATERIALIZED (SELECT r, vec_id, label, pos, x[{width} * pos + 1:{width} * pos + {width}] AS part FROM e),
+d AS MATERIALIZED (SELECT pos, part, count(*) AS w FROM p GROUP BY ALL),
+f AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS entry FROM k),
+c0 AS MATERIALIZED (SELECT pos, entry, part FROM p JOIN f USING (r) WHERE entry < {entries}),
+{", ".join(steps)},
+v AS MATERIALIZED (SELECT p.r, any_value(vec_id) AS vec_id, any_value(label) AS label, string_agg(lpad(printf('%x', entry), 2, '0'), '' ORDER BY p.pos) AS code, CAST(sum(distance) AS BIGINT) AS error FROM p JOIN a{rounds} a ON a.pos = p.pos AND a.part = p.part GROUP BY p.r),
+h AS (SELECT sha256(coalesce(string_agg(array_to_string(part, ','), ',' ORDER BY pos, entry), '')) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v, h"""
+
+
+def centroid_clusters(clusters: int = 8, rounds: int = 10) -> str:
+    mean = ", ".join(f"CAST({_FLOOR.format(s=f's{i}', n='n')} AS DOUBLE)" for i in range(1, 65))
+    sums = ", ".join(f"CAST(sum(x[{i}]) AS BIGINT) AS s{i}" for i in range(1, 65))
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(x) AS x, min(CAST(list_dot_product(x, x) - 2 * list_dot_product(x, y) + list_dot_product(y, y) AS BIGINT) * {clusters} + cluster) AS near FROM k, c{r} GROUP BY r)")
+        if r < rounds:
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.cluster, CASE WHEN n IS NULL THEN c.y ELSE [{mean}] END AS y FROM c{r} c LEFT JOIN (SELECT near % {clusters} AS cluster, count(*) AS n, {sums} FROM a{r} GROUP BY 1) m ON m.cluster = c.cluster)")
+    return f"""WITH k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, {_whole("embedding", 1024, "DOUBLE")}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, x) - 1 AS cluster, x AS y FROM k QUALIFY cluster < {clusters}),
+{", ".join(steps)},
+v AS (SELECT vec_id, near % {clusters} AS cluster, near // {clusters} AS distance FROM a{rounds})
+SELECT vec_id, CAST(v.cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY v.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+ sha256(array_to_string(list_transform(y, lambda i: CAST(i AS BIGINT)), ',')) AS centroid_sha256 FROM v JOIN c{rounds} c ON c.cluster = v.cluster"""

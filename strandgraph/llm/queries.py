@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bwt_dedup, decontam, html_crf, jaccard_join, license_rules, oracles, packing, quality_mcd, shard_table, warc_bundles, zstd_quality
+from . import bwt_dedup, decontam, distinct_codes, drake_kmeans, html_crf, jaccard_join, license_rules, oracles, packing, quality_mcd, shard_table, warc_bundles, zstd_quality
 from .common import table
 
 
@@ -56,8 +56,16 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_bundles.digest(warc_bundles.read_bundles(warc_bundles.write_bundles(table(spark, sf_dir, "pages"))))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_codes.digest(distinct_codes.encode(table(spark, sf_dir, "embeddings")))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drake_kmeans.digest(drake_kmeans.cluster(table(spark, sf_dir, "embeddings")))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_shard_placement, op4_quality_score, op5_license_scan, op6_pack, op7_decontaminate, op8_jaccard_join, op9_repeated_passages, op10_warc_bundles)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_shard_placement, op4_quality_score, op5_license_scan, op6_pack, op7_decontaminate, op8_jaccard_join, op9_repeated_passages, op10_warc_bundles, op11_vector_codes, op13_centroid_clusters)}
 
 
 def oracle_sql():
@@ -67,4 +75,6 @@ def oracle_sql():
         "op7_decontaminate": oracles.DECONTAMINATE,
         "op8_jaccard_join": oracles.JACCARD,
         "op10_warc_bundles": oracles.WARC,
+        "op11_vector_codes": oracles.distinct_codes(),
+        "op13_centroid_clusters": oracles.centroid_clusters(),
     }
