@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bwt_dedup, decontam, distinct_codes, drake_kmeans, html_crf, jaccard_join, license_rules, oracles, packing, quality_mcd, shard_table, warc_bundles, zstd_quality
+from . import bwt_dedup, decontam, distinct_codes, drake_kmeans, html_crf, jaccard_join, license_rules, lm_mixing, oracles, packing, quality_mcd, shard_table, warc_bundles, zstd_quality
 from .common import table
 
 
@@ -60,12 +60,18 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_codes.digest(distinct_codes.encode(table(spark, sf_dir, "embeddings")))
 
 
+def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lm_mixing.fit(docs)
+    return lm_mixing.digest(lm_mixing.score(docs, model, keep=["doc_id"]), model)
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drake_kmeans.digest(drake_kmeans.cluster(table(spark, sf_dir, "embeddings")))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_shard_placement, op4_quality_score, op5_license_scan, op6_pack, op7_decontaminate, op8_jaccard_join, op9_repeated_passages, op10_warc_bundles, op11_vector_codes, op13_centroid_clusters)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_shard_placement, op4_quality_score, op5_license_scan, op6_pack, op7_decontaminate, op8_jaccard_join, op9_repeated_passages, op10_warc_bundles, op11_vector_codes, op12_lm_score, op13_centroid_clusters)}
 
 
 def oracle_sql():
