@@ -102,3 +102,10 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cache_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as cache entries by user, each live for thirty days."""
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("cache_key"), "event_id", "ts", F.col("props").alias("value_json"), (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("expires_at"))
+
+
+def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as entities with names: label and id; a name of four words, and as aliases its first two and the two after it."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    names = F.array(F.slice(w, 1, 4), F.slice(w, 1, 2), F.slice(w, 5, 2))
+    return read(spark, sf_dir, "benchmark").select(F.explode(F.transform(names, lambda n: F.array_join(n, " "))).alias("label"), F.col("item_id").alias("id"))
