@@ -2,8 +2,10 @@
 
 A document's set is its distinct five-word shingles as 52-bit hashes. Documents with equal sets form a class at once and
 are joined as one. Shingles are put in one order for all documents, rarer first; two sets of similarity 0.75 or more share
-a shingle among the first n - ceil(0.75 n) + 1 of each. So classes meet on those prefix shingles. A pair that meets must
-pass the length filter, the positional filter (what can still follow the places of the shared shingle), and the suffix
+a shingle among the first n - ceil(0.75 n) + 1 of each. So classes meet on those prefix shingles. The smaller of two sets (each, if
+they are equally large) has the shared one even among its first n - ceil(6 n / 7) + 1, its index prefix: the second round only looks at
+pairs that meet there. So texts made from one template, each with too many words of its own to link, meet nowhere: their index
+prefixes hold nothing but their own words. A pair that meets must pass the length filter, the positional filter (what can still follow the places of the shared shingle), and the suffix
 filter (a lower bound on how many members only one of two sets has, from parities: the sets are cut in parts by hash, and a
 part that holds an odd number of members in one set and an even number in the other holds a difference; the parts are four
 to eight times as many as members, so that few differences fall together); then it is verified once, on whole sets.
@@ -14,7 +16,7 @@ meet in all pairs. Instead a first round verifies, for each shingle, only the pa
 shingles are the most frequent) with the others; the links give provisional components. The second round takes all pairs
 that meet and are not in one component yet, so no link that could change a component is missed. A shingle whose cell stands
 HOT above the middle is dealt over several tasks in the first round, and in the second most of its classes are in one
-component, so that only the others meet the rest, block by block.
+component, so that only the others meet the rest, block by block, and only where one of the two has it in its index prefix.
 
 Defined results: null, empty and wordless texts have no shingles, no links and their own doc_id as component; a text of
 fewer than five words is one shingle; equal texts link, also with one or a null doc_id; a null doc_id is no component id
@@ -39,7 +41,7 @@ NUMERATOR, DENOMINATOR = 3, 4
 #: Cells of the sketch, and the parts in which tasks hand it over, each one packed row.
 SKETCH, SEGMENTS = 1 << 22, 64
 #: Bits of a set's parities for each member, at least, and bits of the smallest.
-PARITY_BITS, LEAST_BITS = 4, 64
+PARITY_BITS, LEAST_BITS = 4, 256
 #: Postings of one shingle that one task takes in the first round, by the sketch's estimate.
 HOT = 20_000
 
@@ -189,6 +191,9 @@ def postings(docs: DataFrame, text: str, cells: np.ndarray) -> DataFrame:
     return map_arrow(docs.select(text), run, "token long, salt int, sig long, place int, n int, central int")
 
 
+#: Whether a shingle is in a set's index prefix; whether the smaller of two sets (both, if equally large) has it there.
+INDEXED_SQL = f"place < n - ceil({2 * NUMERATOR} * n / {NUMERATOR + DENOMINATOR}) + 1"
+SMALLER_SQL = "CASE WHEN x_n < y_n THEN x_indexed WHEN x_n > y_n THEN y_indexed ELSE x_indexed AND y_indexed END"
 #: Filters of a pair (x, y) that meets on a shingle at places x_place and y_place.
 LENGTH_SQL = f"{DENOMINATOR} * least(x_n, y_n) >= {NUMERATOR} * greatest(x_n, y_n)"
 POSITION_SQL = f"{NUMERATOR + DENOMINATOR} * bigint(1 + least(x_n - x_place, y_n - y_place) - 1 + least(x_place, y_place)) >= {NUMERATOR} * (x_n + y_n)"
@@ -319,32 +324,38 @@ SMALL, QUERY_BLOCK, ROW_BLOCK = 32, 1024, 65_536
 
 
 def crossing(post: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """The second round's pairs: all that meet, are not in one component, and pass the filters.
+    """The second round's pairs: all that meet in an index prefix, are not in one component, and pass the filters.
 
-    Per shingle, classes of its largest component need not meet each other; every other class (a query) meets all. Shingles of a
-    few classes are joined, which makes at most SMALL rows of one. Those of many are dealt in blocks of queries and
-    blocks of rows; the filters run on arrays within a block, so that only pairs that pass become rows.
+    Per shingle, classes of its largest component need not meet each other. Shingles of a few classes are joined, which makes at most
+    SMALL rows of one. Those of many are dealt in blocks of queries and blocks of rows; the filters run on arrays within a
+    block, so that only pairs that pass become rows. Queries are the classes outside the largest component: those that have the
+    shingle in their index prefix meet all (part 0), the others those of the largest component that have it there (part 1).
     """
-    seen = post.select("token", "sig", "n", "place").join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    mixed = seen.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
+    seen = post.select("token", "sig", "n", "place").withColumn("indexed", F.expr(INDEXED_SQL)).join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    mixed = seen.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.bool_or("indexed").alias("any")).where("least <> most AND any").select("token")
     seen = stage(seen.join(mixed, "token", "left_semi"), "crossing")
-    sizes = seen.groupBy("token", "component").agg(F.count("*").alias("size"))
-    major = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("major"), F.sum("size").alias("size")).select("token", F.col("major.component").alias("major"), "size", (F.col("size") - F.col("major.size")).alias("queries"))
-    told = seen.join(major, "token")
+    sizes = seen.groupBy("token", "component").agg(F.count("*").alias("size"), F.count_if("indexed").alias("indexed"))
+    size = [F.sum("size").alias("size"), F.sum("indexed").alias("indexed"), F.max(F.struct("size", "component", "indexed")).alias("major")]
+    major = sizes.groupBy("token").agg(*size).selectExpr("token", "major.component AS major", "size", "indexed - major.indexed AS queries_0", "size - indexed - major.size + major.indexed AS queries_1", "major.indexed AS rows_1")
+    told = seen.join(major, "token").withColumn("is_major", F.col("component") == F.col("major"))
     few = told.where(f"size <= {SMALL}")
-    x = named(few.where("component <> major"), "x", "token", "sig", "n", "place", "component")
-    y = named(few.withColumn("is_major", F.col("component") == F.col("major")), "y", "token", "sig", "n", "place", "component", "is_major")
-    met = x.join(y, F.expr(f"x_token = y_token AND x_component <> y_component AND (y_is_major OR x_sig < y_sig) AND {LENGTH_SQL} AND {POSITION_SQL}"))
+    x = named(few.where("NOT is_major"), "x", "token", "sig", "n", "place", "component", "indexed")
+    y = named(few, "y", "token", "sig", "n", "place", "component", "is_major", "indexed")
+    met = x.join(y, F.expr(f"x_token = y_token AND x_component <> y_component AND (y_is_major OR x_sig < y_sig) AND {SMALLER_SQL} AND {LENGTH_SQL} AND {POSITION_SQL}"))
     small = overlap_filter(met.select(F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b")).distinct(), classes)
-    many = told.where(f"size > {SMALL}").join(classes.select("sig", "parity"), "sig").withColumn("q", F.expr(f"int(ceil(queries / {QUERY_BLOCK}))")).withColumn("r", F.expr(f"int(ceil(size / {ROW_BLOCK}))"))
+    many = told.where(f"size > {SMALL} AND (queries_0 > 0 OR queries_1 > 0 AND rows_1 > 0)").join(classes.select("sig", "parity"), "sig")
+    blocks = lambda n, block: F.ceil(F.col(n) / block).cast("int")
     part = lambda seed, n: F.pmod(F.xxhash64("sig", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["token", "query_block", "row_block", "side", "sig", "n", "place", "component", "is_major", "parity"]
-    many = many.withColumn("is_major", F.col("component") == F.col("major"))
-    queries = many.where("NOT is_major").withColumn("query_block", part(1, "q")).withColumn("row_block", every("r")).withColumn("side", F.lit(0)).select(*columns)
-    rows = many.withColumn("row_block", part(2, "r")).withColumn("query_block", every("q")).withColumn("side", F.lit(1)).select(*columns)
-    keys = columns[:3]
-    dealt = queries.unionByName(rows).repartition(*keys).sortWithinPartitions(*columns[:4])
+    columns = ["token", "part", "query_block", "row_block", "side", "sig", "n", "place", "component", "is_major", "indexed", "parity"]
+    dealt = None
+    for k, (asks, answers, n) in enumerate((("indexed AND NOT is_major", "queries_0 > 0", "size"), ("NOT indexed AND NOT is_major AND rows_1 > 0", "queries_1 > 0 AND indexed AND is_major", "rows_1"))):
+        sized = many.withColumn("q", blocks(f"queries_{k}", QUERY_BLOCK)).withColumn("r", blocks(n, ROW_BLOCK)).withColumn("part", F.lit(k))
+        queries = sized.where(asks).withColumn("query_block", part(1, "q")).withColumn("row_block", every("r")).withColumn("side", F.lit(0)).select(*columns)
+        rows = sized.where(answers).withColumn("row_block", part(2, "r")).withColumn("query_block", every("q")).withColumn("side", F.lit(1)).select(*columns)
+        both = queries.unionByName(rows)
+        dealt = both if dealt is None else dealt.unionByName(both)
+    dealt = dealt.repartition(*columns[:4]).sortWithinPartitions(*columns[:5])
     return small.unionByName(map_arrow(dealt, block_pairs, "a long, b long")).distinct()
 
 
@@ -383,33 +394,35 @@ class Queries:
 
 
 def block_pairs(batches):
-    """Pairs of each block's queries (which come first) with its rows, in order of (token, query_block, row_block, side)."""
+    """Pairs of each block's queries (which come first) with its rows, in order of (token, part, query_block, row_block, side)."""
     current, held, queries = None, [], None
     for batch in batches:
-        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
+        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)])
         change = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
         for lo, hi in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
             if lo == hi:
                 continue
             part = batch.slice(lo, hi - lo)
-            values = [part.column(i).to_numpy(zero_copy_only=False) for i in range(4, 9)]
-            key = tuple(keys[:3, lo].tolist())
+            values = [part.column(i).to_numpy(zero_copy_only=False) for i in range(5, 11)]
+            key = tuple(keys[:4, lo].tolist())
             if key != current:
                 current, held, queries = key, [], None
-            if keys[3, lo] == 0:
-                held.append((values, part.column(9).to_pylist()))
+            if keys[4, lo] == 0:
+                held.append((values, part.column(11).to_pylist()))
                 continue
             if queries is None and not held:
                 continue
             if queries is None:
                 queries = Queries([np.concatenate(c) for c in zip(*(v for v, _ in held))], [p for _, some in held for p in some])
                 held = []
-            sig, n, place, component, _ = queries.columns
-            sig2, n2, place2, component2, is_major = values
-            for i, parity in enumerate(part.column(9)):
+            sig, n, place, component, _, indexed = queries.columns
+            sig2, n2, place2, component2, is_major, indexed2 = values
+            for i, parity in enumerate(part.column(11)):
                 small, large = np.minimum(n, n2[i]).astype(np.int64), np.maximum(n, n2[i]).astype(np.int64)
                 after, before = np.minimum(n - place, n2[i] - place2[i]), np.minimum(place, place2[i])
-                ok = (component != component2[i]) & (is_major[i] | (sig < sig2[i])) & (DENOMINATOR * small >= NUMERATOR * large)
+                once = (sig < sig2[i]) if indexed2[i] and not is_major[i] else np.ones(len(sig), bool)  # such a row is a query, too
+                ok = once & (component != component2[i]) & (DENOMINATOR * small >= NUMERATOR * large)
+                ok &= np.where(n < n2[i], indexed, indexed2[i] & ((n > n2[i]) | indexed))
                 ok &= (NUMERATOR + DENOMINATOR) * (after + before).astype(np.int64) >= NUMERATOR * (small + large)
                 at = np.flatnonzero(ok)
                 if len(at):
