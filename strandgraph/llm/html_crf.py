@@ -63,8 +63,10 @@ _ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _WORD = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+)*")
 
 
-#: Parts of a name that say what a box has, lacks or how it stands, not what it is: comments-disabled, has-sidebar, no-nav.
-STATES = frozenset("no not non without with has is off on none disabled enabled closed open hidden visible active allowed count layout".split())
+#: Parts of a name that say what a box lacks, counts or holds elsewhere, not what it is: comments-disabled, has-sidebar, no-nav.
+LACKS = frozenset("no not non without with has off none disabled closed count layout".split())
+#: A word that says little beside one of content: text-more.
+WEAK = frozenset(["more"])
 
 
 @lru_cache(1 << 16)
@@ -75,13 +77,19 @@ def attribute_kinds(attributes: str) -> int:
         if found[1].lower() not in ("class", "id", "role"):
             continue
         for word in _WORD.findall((found[2] or found[3] or found[4] or "").lower()):
-            if not STATES.isdisjoint(word.split("-")):
+            parts = word.split("-")
+            if not LACKS.isdisjoint(parts):
                 continue
-            for part in (word, *word.split("-")):
+            said = {}
+            for part in (word, *parts):
                 for form in (part, part.rstrip("0123456789"), part.removesuffix("s")):
                     if form in KIND_OF_WORD:
-                        out |= BIT[KIND_OF_WORD[form]]
+                        said[form] = KIND_OF_WORD[form]
                         break
+            if "content" in said.values():
+                said = {form: kind for form, kind in said.items() if form not in WEAK}
+            for kind in said.values():
+                out |= BIT[kind]
     return out
 
 
@@ -94,10 +102,62 @@ class Block:
     chars: int
 
 
+BAD = sum(BIT[k] for k in ("nav", "header", "footer", "aside", "form", "ad", "notice", "comment", "head", "related"))
+GOOD = BIT["content"] | BIT["main"]
+#: What an open list item, row or cell is not sought beyond, and tags whose names may belong to a whole page rather than to a part.
+STOPS = frozenset("ul ol dl table select tr".split())
+WRAPPERS = frozenset("div section form center body".split())
+
+
+class Open:
+    """The open elements: (tag, kinds, whether it is a wrapper of a bad kind, where it begins). Places by tag, and of elements that end
+    a search, are kept besides, so that looking for one costs the same at any depth."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, bool, int]] = [("#root", 0, False, 0)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks, self.scopes, self.stops = [0], [0], [0]
+
+    def push(self, name: str, kinds: int, wraps: bool, start: int) -> None:
+        at = len(self.stack)
+        self.stack.append((name, kinds, wraps, start))
+        self.places.setdefault(name, []).append(at)
+        for held, among in ((self.blocks, name not in INLINE), (self.scopes, name in SCOPE), (self.stops, name in STOPS)):
+            if among:
+                held.append(at)
+
+    def close(self, name: str, bounds: list[int]) -> None:
+        """Close the last element of that tag, and all in it, unless the last of bounds lies inside it."""
+        places = self.places.get(name)
+        if not places or places[-1] < bounds[-1]:
+            return
+        at = places[-1]
+        while len(self.stack) > at:
+            self.places[self.stack.pop()[0]].pop()
+        for held in (self.blocks, self.scopes, self.stops):
+            while held[-1] >= at:
+                held.pop()
+
+
+ANY = [0]
+
+
 def blocks(page: str) -> list[Block]:
-    """The page's leaf blocks with text, in order."""
+    """The page's leaf blocks with text, in order. If none is plainly an article's, wrappers that hold the first article or main element
+    name nothing: a whole page may be called contact-page or nav-expanded, or be one form."""
+    found, wrappers = read(page, frozenset())
+    if wrappers and not any(b.kinds & GOOD and not b.kinds & BAD for b in found):
+        found, _ = read(page, wrappers)
+    return found
+
+
+def read(page: str, mute: frozenset[int]) -> tuple[list[Block], frozenset[int]]:
+    """(the leaf blocks, where the wrappers of bad kinds around the first article or main element begin). Elements that begin at
+    a place in mute name nothing."""
     out: list[Block] = []
-    stack: list[tuple[str, int]] = [("#root", 0)]
+    open_ = Open()
+    stack = open_.stack
+    wrappers: frozenset[int] | None = None
     pieces: list[str] = []
     kinds, tag, link_chars, chars = 0, "#root", 0, 0
 
@@ -107,7 +167,7 @@ def blocks(page: str) -> list[Block]:
             piece = html_lib.unescape(piece)
         if not pieces or not chars:
             kinds = stack[-1][1]
-            tag = next((t for t, _ in reversed(stack) if t not in INLINE), "#root")
+            tag = stack[open_.blocks[-1]][0]
         pieces.append(piece)
         n = len(piece.strip())
         chars += n
@@ -136,44 +196,31 @@ def blocks(page: str) -> list[Block]:
         if not inline:
             close()
         if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if inline and stack[i][0] not in INLINE:
-                    break
+            open_.close(name, open_.blocks if inline else ANY)
             continue
         if name in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPE:
-                    break
+            open_.close("p", open_.scopes)
         elif name in ("li", "tr", "td", "th", "dt", "dd", "option"):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("ul", "ol", "dl", "table", "select", "tr"):
-                    break
+            open_.close(name, open_.stops)
         if name in VOID:
             continue
         own = BIT[TAG_KIND[name]] if name in TAG_KIND else 0
         attributes = m[4]
-        if attributes and "=" in attributes and not (name in ("body", "html")):
+        if attributes and "=" in attributes and name not in ("body", "html"):
             own |= attribute_kinds(attributes)
-        stack.append((name, stack[-1][1] | own))
+        if wrappers is None and name in ("article", "main"):
+            wrappers = frozenset(start for _, _, wraps, start in stack if wraps)
+        if m.start() in mute:
+            own &= ~BAD
+        open_.push(name, stack[-1][1] | own, name in WRAPPERS and bool(own & BAD), m.start())
     if at < len(page):
         text(page[at:])
     close()
-    return out
+    return out, wrappers or frozenset()
 
 
 TAGS = {t: i for i, t in enumerate(["p", "div", "li", "h1", "h2", "h3", "td", "span", "blockquote", "article", "section", "body", "title", "pre", "figcaption", "label"])}
 N_FEATURES = 1 + len(KINDS) + len(TAGS) + 1 + 6 + 4 + 5 + 3
-BAD = sum(BIT[k] for k in ("nav", "header", "footer", "aside", "form", "ad", "notice", "comment", "head", "related"))
-GOOD = BIT["content"] | BIT["main"]
 
 
 def active(b: Block) -> list[int]:
@@ -383,7 +430,8 @@ class Maker:
         after += [self.footer()] if self.chance(0.85) else []
         body = "".join(before) + main + "".join(after)
         if self.chance(0.3):
-            body = self.pick(f'<div id="wrapper">{body}</div>', f'<div class="page">{body}</div>')
+            name = self.pick("wrapper", "page", "contact-page", "header-fixed", "nav-expanded", "post-meta-wrap", "comments-open", "sidebar-visible") if "<article>" in main[:9] or "<main>" in main[:6] else self.pick("wrapper", "page")
+            body = self.pick(f'<div id="{name}">{body}</div>', f'<div class="{name}">{body}</div>')
         head = "" if self.chance(0.3) else f"<head><title>{self.words(2, 8)}</title><style>p{{margin:0}}</style></head>"
         page = f"<!DOCTYPE html><html>{head}<body>{body}</body></html>"
         if self.chance(0.1):
