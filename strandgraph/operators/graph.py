@@ -85,3 +85,33 @@ def styled(edges: DataFrame) -> DataFrame:
     from ..functions.scalar import edge_opacity, edge_width
 
     return edges.withColumns({"width": edge_width(F.col("score")), "opacity": edge_opacity(F.col("score"))})
+
+
+def closure(tree: DataFrame, key: str = "ui", column: str = "tree_number") -> DataFrame:
+    """key, ancestor (a tree number, its own included) and depth (steps up to it): each number's dotted beginnings."""
+    parts = F.split(column, r"\.")
+    n = F.size(parts)
+    ups = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), ".").alias("ancestor"), (n - i).alias("depth")))
+    return tree.where(F.col(column).isNotNull()).select(key, F.explode(ups).alias("up")).select(key, "up.ancestor", "up.depth")
+
+
+def all_descendants(tree: DataFrame, key: str = "ui", column: str = "tree_number") -> DataFrame:
+    """ancestor, key and depth for every descriptor at once: beginnings of tree numbers meet the numbers themselves in an equi-join, so a
+    number makes as many rows as it has levels. Of several ways between two descriptors, the shortest counts."""
+    named = tree.select(F.col(column).alias("ancestor"), F.col(key).alias("_ancestor")).distinct()
+    met = closure(tree, key, column).join(named, "ancestor")
+    return met.groupBy(F.col("_ancestor").alias("ancestor"), key).agg(F.min("depth").alias("depth"))
+
+
+def all_subgraphs(edges: DataFrame) -> DataFrame:
+    """The views of disease_subgraph for every disease at once: one row for each disease and edge. Frontiers carry their disease, and
+    meet edges in equi-joins by node; of a node that many edges end at, adaptive execution splits the join."""
+    columns = ["disease", "type", "src_id", "dst_id", "src_kind", "dst_kind", "score"]
+    first = edges.where("src_kind = 'disease' AND dst_kind = 'target'").withColumn("disease", F.col("src_id"))
+    own = edges.where("src_kind = 'disease'").select(F.col("src_id").alias("disease"), F.col("src_id").alias("dst_id"))
+    seen = first.select("disease", "dst_id").unionByName(own).distinct()
+    drugs = edges.where("src_kind = 'drug'")
+    second = drugs.join(seen, "dst_id")
+    users = second.select("disease", "src_id").distinct()
+    third = drugs.where("dst_kind = 'company'").join(users, "src_id")
+    return first.select(*columns).unionByName(second.select(*columns)).unionByName(third.select(*columns)).distinct()

@@ -459,12 +459,12 @@ def ordered_names(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from . import discovery, loaders  # noqa: F401  register their own
+    from . import discovery, loaders, upkeep  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import discovery, loaders  # noqa: F401
+    from . import discovery, loaders, upkeep  # noqa: F401
 
     return dict(_SQL)

@@ -17,7 +17,7 @@ ORDER = ["licenses", "mesh", "targets", "trials", "patents"]
 
 def _entities(store: Store, df, source: str, now, seq=None) -> None:
     rows = df.withColumn("id", entity_id(F.col("kind"), F.col("canonical_id"))).withColumn("source", F.lit(source)).withColumn("updated_at", now)
-    store.upsert("entity", rows.withColumn("_seq", seq if seq is not None else F.col("name")), "_seq")
+    store.upsert("entity", rows.withColumn("_seq", seq if seq is not None else F.col("name")), "_seq", {"created_at": now})
 
 
 def _edges(store: Store, df, source: str) -> None:

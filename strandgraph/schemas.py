@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -48,6 +50,34 @@ KEYS = {
     "lookup_cache": ["cache_key"],
 }
 
+
+class Link(NamedTuple):
+    """A foreign key, and whether rows go with the row that they refer to."""
+
+    child: str
+    child_keys: tuple[str, ...]
+    parent: str
+    parent_keys: tuple[str, ...]
+    cascade: bool = True
+
+
+FOREIGN_KEYS = [
+    Link("mesh_tree", ("ui",), "mesh_descriptor", ("ui",)),
+    Link("mesh_alias", ("ui",), "mesh_descriptor", ("ui",)),
+    Link("entity", ("mesh_ui",), "mesh_descriptor", ("ui",), cascade=False),
+    Link("alias", ("kind", "canonical_id"), "entity", ("kind", "canonical_id")),
+    Link("edge", ("src_kind", "src_cid"), "entity", ("kind", "canonical_id")),
+    Link("edge", ("dst_kind", "dst_cid"), "entity", ("kind", "canonical_id")),
+    Link("patent_assignee", ("patent_number",), "patent", ("patent_number",)),
+    Link("patent_assignee", ("name_norm",), "assignee", ("name_norm",)),
+    Link("patent_drug", ("patent_number",), "patent", ("patent_number",)),
+    Link("evidence", ("license",), "license_allowlist", ("license",), cascade=False),
+    Link("assertion", ("subject_entity_id",), "entity", ("id",)),
+    Link("assertion", ("object_entity_id",), "entity", ("id",)),
+    Link("assertion_evidence", ("assertion_id",), "assertion", ("assertion_id",)),
+    Link("assertion_evidence", ("evidence_id",), "evidence", ("evidence_id",)),
+]
+
 #: What the store lays tables out by.
 PARTITIONS = {"entity": ["kind"], "edge": ["type"]}
 
