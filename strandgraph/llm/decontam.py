@@ -5,9 +5,12 @@ windows of ten consecutive words (an item of fewer words, but not none, is one w
 numbered, so that a window has ten nodes at most whatever its length in bytes; a text's words are looked up in the same
 numbering and scanned once. Hits are word numbers, which are mapped to byte offsets of the original text.
 
-Windows are made and counted in executors. Up to BLOCK_WINDOWS of them are one automaton; more go in as many blocks as
-the count asks for, which pass through the driver one after another, each in one narrow pass over the documents that
-writes the rows with hits. So neither the driver nor a worker ever holds more than one block.
+Windows are made and counted in executors, one row for each window and item that has it, so that a window of very many items
+is many rows. More than BLOCK_WINDOWS windows are first cut down to those that occur: a filter of FILTER bits, whatever their number,
+goes over the documents' own windows once, and what passes it is joined with the table of windows by hash. Those that occur are
+one automaton, or, if they or their items are still too many for one, as many as the count asks for, which pass through the driver one
+after another, each in one narrow pass over the documents that writes the rows with hits. So the number of passes does not grow
+with the windows but with those that the documents hold, and neither the driver nor a worker ever holds more than one block.
 
 Defined results: null or wordless texts have no words and no hits; null or wordless items give no window; rows that
 repeat an item_id are one item, a null item_id is the item "null"; repeated documents are scanned each for itself; an
@@ -23,16 +26,21 @@ from functools import reduce
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytewords as B
-from .common import free_names, fresh, map_arrow, map_rows, stage
+from .common import drop, free_names, fresh, map_arrow, map_rows, stage
 
 WINDOW_WORDS = 10
 #: Distinct windows in one automaton: ten nodes each, some 100 bytes a node.
 BLOCK_WINDOWS = 100_000
+#: Pairs of a window and an item in one automaton.
+BLOCK_PAIRS = 500_000
+#: Bits of the filter, and the segments in which tasks hand it over.
+FILTER, SEGMENTS = 1 << 27, 64
 
 _FORM = bytes(0x20 if b in B.NON_ALNUM else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -50,32 +58,35 @@ def windows(text: bytes, size: int = WINDOW_WORDS) -> set[bytes]:
 
 
 class Machine:
-    """The automaton of a block of windows (words, names of the items that have them)."""
+    """The automaton of a block: windows, each with the numbers of the items that have it, and the items' names."""
 
-    def __init__(self, block: list[tuple[bytes, list[str]]]):
+    def __init__(self, block: tuple[dict[bytes, list[int]], list[str]]):
+        windows, self.names = block
         self.numbers: dict[bytes, int] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if block else None
-        for window, names in block:
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if windows else None
+        for window, owners in windows.items():
             key = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in window.split(b" "))
-            self.automaton.add_word(key, (len(key), tuple(names)))
-        shortest = min((window.count(b" ") + 1 for window, _ in block), default=1)
+            self.automaton.add_word(key, (len(key), owners))
+        shortest = min((window.count(b" ") + 1 for window in windows), default=1)
         # A hit lies in a run of words that windows have, of as many words as the shortest window at least.
         self.runs = re.compile(rb"\x01{%d,}" % shortest)
-        if block:
+        if windows:
             self.automaton.make_automaton()
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Word count, merged runs [first, last + 1) of hit words, and names of the items with a window in the text."""
         split = normal_words(text)
         known = list(map(self.numbers.get, split))
-        starts, stops, names = [], [], set()
+        starts, stops, held, names = [], [], set(), set()
         for run in self.runs.finditer(bytes([n is not None for n in known])):
             first = run.start() + 1
             for end, (size, owners) in self.automaton.iter(tuple(known[run.start() : run.end()])):
                 starts.append(first + end - size)
                 stops.append(first + end)
-                names.update(owners)
-        return len(split), merge(np.array(starts), np.array(stops)) if starts else [], names
+                if id(owners) not in held:
+                    held.add(id(owners))
+                    names.update(owners)
+        return len(split), merge(np.array(starts), np.array(stops)) if starts else [], {self.names[n] for n in names}
 
 
 def merge(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
@@ -87,8 +98,17 @@ def merge(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[new].tolist(), stops[last].tolist()))
 
 
+def window_hashes(column: pa.Array, size: int) -> np.ndarray:
+    """Hashes of all runs of size words of the rows, and of rows with fewer words, but not none, of all their words."""
+    out = [np.zeros(0, np.uint64)]
+    for texts in B.chunks(column):
+        found = B.words(texts, B.NON_ALNUM)
+        out.append(B.shingle_hashes(B.word_hashes(texts, found), found.rows, size)[0])
+    return np.concatenate(out)
+
+
 def window_table(items: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
-    """window (bytes) and names (of its items, sorted), written: one row for each distinct window."""
+    """window (bytes), hash, words and name: one row for each distinct window and item that has it, written."""
     slim = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("name"), F.col(text).alias("text")).where("text is not null")
 
     def run(batches):
@@ -97,9 +117,62 @@ def window_table(items: DataFrame, item_id: str, text: str, size: int) -> DataFr
                 found = list(windows(text.as_py().encode(), size))
                 for lo in range(0, len(found), 10_000):
                     part = found[lo : lo + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(part)), pa.array(part, pa.binary())], names=["name", "window"])
+                    column = pa.array(part, pa.binary())
+                    words = [w.count(b" ") + 1 for w in part]  # a window is a row of at most size words: it has one hash
+                    yield pa.RecordBatch.from_arrays([column, pa.array(window_hashes(column, size).view(np.int64)), pa.array(words, pa.int32()), pa.array([name.as_py()] * len(part))], names=["window", "hash", "words", "name"])
+
+    return stage(map_arrow(slim, run, "window binary, hash long, words int, name string").distinct(), "windows")
+
+
+def window_filter(table: DataFrame) -> np.ndarray:
+    """FILTER bits as bytes: those at the hashes of a table's windows are set. Tasks hand over what they set, packed, by segment."""
+
+    def own(batches):
+        bits = np.zeros(FILTER // 8, np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy().view(np.uint64) % np.uint64(FILTER)
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        if bits.any():
+            pack = zstandard.ZstdCompressor(level=1).compress
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SEGMENTS, dtype=np.int32)), pa.array([pack(p.tobytes()) for p in bits.reshape(SEGMENTS, -1)], pa.binary())], names=["segment", "bits"])
+
+    def both(batches):
+        unpack, sums = zstandard.ZstdDecompressor().decompress, {}
+        for batch in batches:
+            for segment, bits in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.frombuffer(unpack(bits.as_py()), np.uint8)
+                sums[segment] = sums[segment] | part if segment in sums else part
+        if sums:
+            pack = zstandard.ZstdCompressor(level=1).compress
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(v.tobytes()) for v in sums.values()], pa.binary())], names=["segment", "bits"])
+
+    parts = map_arrow(table.select("hash").distinct(), own, "segment int, bits binary").repartition(SEGMENTS, "segment")
+    out, unpack = np.zeros((SEGMENTS, FILTER // 8 // SEGMENTS), np.uint8), zstandard.ZstdDecompressor().decompress
+    for r in map_arrow(parts, both, "segment int, bits binary").collect():  # FILTER bits at most
+        out[r["segment"]] = np.frombuffer(unpack(r["bits"]), np.uint8)
+    return out.reshape(-1)
+
+
+def occurring(table: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The rows of a table of windows whose hash some document's window has, written: all windows that occur are among them."""
+    sizes = sorted(r["words"] for r in table.select("words").distinct().collect())  # at most as many as a window has words
+    shared = docs.sparkSession.sparkContext.broadcast(window_filter(table))
+
+    def run(batches):
+        bits = shared.value
+        for batch in batches:
+            for size in sizes:
+                hashes = window_hashes(batch.column(0), size)
+                at = hashes % np.uint64(FILTER)
+                hashes = np.unique(hashes[(bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0])
+                if len(hashes):
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["hash"])
 
-    return stage(map_arrow(slim, run, "name string, window binary").groupBy("window").agg(F.sort_array(F.collect_set("name")).alias("names")), "windows")
+    slim = docs.select(F.col(f"`{text}`").alias("text")).where("text is not null")
+    out = stage(table.join(map_arrow(slim, run, "hash long").distinct(), "hash", "left_semi").select(*table.columns), "occurring")
+    drop(table)
+    shared.destroy()
+    return out
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -135,7 +208,7 @@ def text_key(text: str) -> F.Column:
     return F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256))
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, size: int = WINDOW_WORDS, block_windows: int = BLOCK_WINDOWS, prefix: str = "") -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, size: int = WINDOW_WORDS, block_windows: int = BLOCK_WINDOWS, block_pairs: int = BLOCK_PAIRS, prefix: str = "") -> DataFrame:
     """keep (all columns by default) and, under names made of prefix: n_words, hit_words (runs of word numbers), hit_bytes
     (the same runs as byte offsets in the original text) and hit_items (names, sorted as strings); with underscores before a
     name that keep has.
@@ -147,11 +220,21 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text",
     names = free_names(keep, *(f"{prefix}{x}" for x in ("n_words", "hit_words", "hit_bytes", "hit_items")))
     fields = T.StructType([T.StructField(names[0], T.LongType()), T.StructField(names[1], SPANS), T.StructField(names[2], SPANS), T.StructField(names[3], T.ArrayType(T.StringType()))])
     table = window_table(items, item_id, item_text, size)
-    n = max(1, -(-table.count() // block_windows))
+    distinct = lambda t: t.select("window").distinct().count()
+    windows_in = distinct(table)
+    if windows_in > block_windows:
+        table = occurring(table, docs, text)
+        windows_in = distinct(table)
+    by_window, by_pair = -(-windows_in // block_windows), -(-table.count() // block_pairs)
+    n = max(1, by_window, by_pair)
+    # An item's share of a frequent window may be in any block: what blocks find is united.
+    place_of = F.pmod(F.xxhash64("window", "name") if by_pair > by_window else F.xxhash64("window"), F.lit(n))
 
     def block(i):
-        part = table if n == 1 else table.where(F.pmod(F.xxhash64("window"), F.lit(n)) == i)
-        return spark.sparkContext.broadcast([(bytes(r["window"]), r["names"]) for r in part.collect()])
+        owners, names = {}, {}
+        for r in (table if n == 1 else table.where(place_of == i)).select("window", "name").toLocalIterator():
+            owners.setdefault(bytes(r["window"]), []).append(names.setdefault(r["name"], len(names)))
+        return spark.sparkContext.broadcast((owners, list(names)))
 
     if n == 1:
         place, shared = docs.columns.index(text), block(0)

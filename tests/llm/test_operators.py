@@ -373,12 +373,12 @@ def items_of(corpus):
     return [(1, " ".join(corpus[5][1].split()[10:40])), (2, "short item"), (3, None), (4, "..."), (None, " ".join(corpus[7][1].split()[:10]).upper()), (1, " ".join(corpus[6][1].split()[3:20]))]
 
 
-@pytest.mark.parametrize("block", [decontam.BLOCK_WINDOWS, 7])
-def test_decontamination(spark, docs, corpus, none, block):
+@pytest.mark.parametrize(("block", "pairs"), [(decontam.BLOCK_WINDOWS, decontam.BLOCK_PAIRS), (7, 500), (40, 500), (500, 9)])
+def test_decontamination(spark, docs, corpus, none, block, pairs):
     items = items_of(corpus)
     table = spark.createDataFrame(items, "item_id long, text string")
     extra = docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(99)).withColumn("text", F.lit("a SHORT, item; short item")))
-    found = decontam.digest(decontam.find_contamination(extra.select("doc_id", "text"), table, keep=["doc_id"], block_windows=block)).collect()
+    found = decontam.digest(decontam.find_contamination(extra.select("doc_id", "text"), table, keep=["doc_id"], block_windows=block, block_pairs=pairs)).collect()
     expected = [(d, *brute.contamination(t, items)) for d, t in [(r[0], r[1]) for r in corpus] + [(99, "a SHORT, item; short item")]]
     assert multiset(map(tuple, found)) == multiset(expected)
     kept = decontam.remove_contaminated(docs, table)
