@@ -16,7 +16,8 @@ def decorated(edges: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def at_least(edges: DataFrame, min_score: float) -> DataFrame:
-    """Edges scored min_score or more; a null score counts as 0. Without a null to save, the filter reaches the scan."""
+    """Edges scored min_score or more; a null score counts as 0. Where scores are maxima, give the source the bound, too: no filter goes
+    below an aggregation by itself."""
     return edges.where(F.col("score") >= min_score) if min_score > 0 else edges.where(F.coalesce("score", F.lit(0.0)) >= min_score)
 
 

@@ -14,6 +14,7 @@ from ..operators import search as Q
 from ..operators import stats as C
 from ..operators import store as W
 from ..operators import vectors as V
+from ..operators.staging import written
 from ..sources import star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,7 +125,7 @@ DECORATED = "SELECT e.type, e.src_id, s.name AS src_name, e.src_kind, e.dst_id,
 
 @query(f"WITH {ENTITY}, {EDGE} {DECORATED} WHERE e.type IN ('associated_with', 'inhibits', 'manufactured_by') AND coalesce(e.score, 0) >= 0.05")
 def graph_edges_min_score(spark, sf_dir):
-    return G.decorated(G.at_least(edges(spark, sf_dir, *SCORED), 0.05), entities(spark, sf_dir, "disease", "target", "drug", "company"))
+    return G.decorated(G.at_least(star.edges(spark, sf_dir, list(SCORED), 0.05), 0.05), entities(spark, sf_dir, "disease", "target", "drug", "company"))
 
 
 def flagship(spark, sf_dir):
@@ -160,12 +161,13 @@ u AS (SELECT * FROM a UNION SELECT * FROM b UNION SELECT * FROM c)"""
 
 @query(f"{SUBGRAPH} SELECT * FROM u")
 def subgraph_edges(spark, sf_dir):
-    return G.disease_subgraph(edges(spark, sf_dir, *SCORED), B)
+    """The scored edges are aggregated and written once; each hop reads them."""
+    return G.disease_subgraph(written(edges(spark, sf_dir, *SCORED), "edges"), B)
 
 
 @query(f"{SUBGRAPH}, {ENTITY} SELECT id, name, kind FROM entity WHERE id = {B} OR id IN (SELECT src_id FROM u) OR id IN (SELECT dst_id FROM u)")
 def subgraph_nodes(spark, sf_dir):
-    ids = G.nodes_of(G.disease_subgraph(edges(spark, sf_dir, *SCORED), B), B)
+    ids = G.nodes_of(G.disease_subgraph(written(edges(spark, sf_dir, *SCORED), "edges"), B), B)
     return entities(spark, sf_dir, "disease", "target", "drug", "company").join(ids, "id", "left_semi").select("id", "name", "kind")
 
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import store as W
+from ..operators.layout import GraphLayout
+from ..operators.staging import written
 from ..sources import star
 from ..streaming import ingest
-from .catalog import EDGE, ENTITY, SCORED, TREE, B, edges, entities, query
+from .catalog import DECORATED, EDGE, ENTITY, SCORED, TREE, B, edges, entities, query
 
 
 @query("""WITH old AS (SELECT c_custkey AS k, c_name AS name, c_nationkey AS nation, c_acctbal AS balance FROM customer WHERE c_mktsegment <> 'BUILDING'),
@@ -101,4 +103,11 @@ b AS (SELECT seen.disease, g.* FROM g JOIN seen ON seen.dst_id = g.dst_id WHERE
 c AS (SELECT u.disease, g.* FROM g JOIN (SELECT DISTINCT disease, src_id FROM b) u ON u.src_id = g.src_id WHERE g.src_kind = 'drug' AND g.dst_kind = 'company')
 SELECT disease, type, src_id, dst_id FROM a UNION SELECT disease, type, src_id, dst_id FROM b UNION SELECT disease, type, src_id, dst_id FROM c""")
 def subgraphs_of_all(spark, sf_dir):
-    return G.all_subgraphs(edges(spark, sf_dir, *SCORED)).select("disease", "type", "src_id", "dst_id")
+    return G.all_subgraphs(written(edges(spark, sf_dir, *SCORED), "edges")).select("disease", "type", "src_id", "dst_id")
+
+
+@query(f"WITH {ENTITY}, {EDGE} {DECORATED} WHERE e.type IN ('associated_with', 'inhibits', 'manufactured_by') AND coalesce(e.score, 0) >= 0.03")
+def edges_from_buckets(spark, sf_dir):
+    """Named edges over tables laid out for it."""
+    layout = GraphLayout.build(entities(spark, sf_dir, "disease", "target", "drug", "company"), edges(spark, sf_dir, *SCORED))
+    return layout.decorated(0.03)

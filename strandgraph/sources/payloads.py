@@ -76,6 +76,23 @@ def studies(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return study_rows(s.select(F.struct("page", "pos").alias("batch_seq"), "s"))
 
 
+def paged_studies(spark: SparkSession, path: str) -> DataFrame:
+    """study_rows of a landing of token chains (see sources.paging); batch_seq is query, page and place in the page."""
+    from .paging import pages
+
+    found = pages(spark, path).select("query", "page", F.from_json("body", f"studies array<{STUDY}>").alias("p"))
+    s = found.select("query", "page", F.posexplode("p.studies").alias("pos", "s"))
+    return study_rows(s.select(F.struct("query", "page", "pos").alias("batch_seq"), "s"))
+
+
+def paged_associations(spark: SparkSession, path: str) -> DataFrame:
+    """associations of a landing of numbered pages; the query's name is the mesh_id."""
+    from .paging import pages
+
+    page = pages(spark, path).select("query", F.from_json("body", ASSOCIATIONS).alias("p")).select("p.data", "p.errors", F.col("query").alias("mesh_id"))
+    return association_rows(page)
+
+
 def study_rows(s: DataFrame) -> DataFrame:
     """One row per study (batch_seq, s): the extracted fields, and batch_seq for last-wins writers. Studies without an
     identifier are dropped; phases may be a list or plain text."""
