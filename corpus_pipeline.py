@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strandgraph.llm import bwt_dedup, decontam, jaccard_join, packing, quality_mcd
-from strandgraph.llm.common import stage, table
+from strandgraph.llm.common import stage, staged, sweep, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over the documents table; what lies between stages is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows over the documents table; what lies between stages is written and read again, and all that a stage
+    has written besides, its input included, is deleted then."""
+    docs, since = table(spark, sf_dir, "documents"), staged()
     for i, (name, function) in enumerate(STAGES):
         docs = function(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stage(docs, name)
+            sweep(since, docs)
     return docs

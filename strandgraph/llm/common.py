@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 
 _OWN: dict[str, str] = {}
+#: Staged tables that have not been dropped, in the order of their making.
+_STAGED: list[DataFrame] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +44,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     tidy()
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    _STAGED.append(out)
     return out
 
 
@@ -51,6 +54,17 @@ def drop(*tables: DataFrame) -> None:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table.staged_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _STAGED[:] = [t for t in _STAGED if t is not table]
+
+
+def staged() -> int:
+    """How many staged tables there are: what sweep() starts from."""
+    return len(_STAGED)
+
+
+def sweep(since: int, keep: DataFrame) -> None:
+    """Delete the tables staged since then but for one: what they were made for has been written to it."""
+    drop(*(t for t in _STAGED[since:] if t is not keep))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
