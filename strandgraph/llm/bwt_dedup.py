@@ -21,7 +21,8 @@ from the anchor, what the block's windows have in common; then each window of it
 Defined results: null text is the empty text; texts shorter than the window lose nothing; rows that repeat a text are
 repeats of each other (both lose what they share, as the contract's "starts anywhere else" says), also with the same or a null doc_id;
 overlapping occurrences within one text count; an empty table gives no rows; other columns are not read. Very long texts
-are cut into overlapping parts of PART bytes, which changes stretches but no result.
+are cut into overlapping parts of PART bytes, which changes stretches but no result. Passages of over 50 words are sought by strings
+of 200 bytes, and words are split by ASCII white space: more than 50 words of one or two letters in fewer bytes are not seen.
 """
 
 from __future__ import annotations
