@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import dealt, partitions, written
+
 
 def decorated(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """Edges with the names of both ends; edges without one of them are dropped. Entities join by numeric id, which is
@@ -105,14 +107,19 @@ def all_descendants(tree: DataFrame, key: str = "ui", column: str = "tree_number
 
 
 def all_subgraphs(edges: DataFrame) -> DataFrame:
-    """The views of disease_subgraph for every disease at once: one row for each disease and edge. Frontiers carry their disease, and
-    meet edges in equi-joins by node; of a node that many edges end at, adaptive execution splits the join."""
+    """The views of disease_subgraph for every disease at once: one row for each disease and edge. Edges are a set, written before, as they are
+    read several times; ids are unique over kinds. Frontiers carry their disease and meet edges in equi-joins by node, over partitions that grow with
+    the edges. The hops have no edge in common (they differ in the kinds of the ends), and frontiers are distinct, so no row is made twice,
+    and the result, far larger than the edges, needs no shuffle."""
     columns = ["disease", "type", "src_id", "dst_id", "src_kind", "dst_kind", "score"]
-    first = edges.where("src_kind = 'disease' AND dst_kind = 'target'").withColumn("disease", F.col("src_id"))
+    spark = edges.sparkSession
+    n = partitions(spark, edges.count())
+    first = edges.where("src_kind = 'disease' AND dst_kind = 'target'").withColumn("disease", F.col("src_id")).select(*columns).distinct()
     own = edges.where("src_kind = 'disease'").select(F.col("src_id").alias("disease"), F.col("src_id").alias("dst_id"))
     seen = first.select("disease", "dst_id").unionByName(own).distinct()
     drugs = edges.where("src_kind = 'drug'")
-    second = drugs.join(seen, "dst_id")
-    users = second.select("disease", "src_id").distinct()
-    third = drugs.where("dst_kind = 'company'").join(users, "src_id")
-    return first.select(*columns).unionByName(second.select(*columns)).unionByName(third.select(*columns)).distinct()
+    met = dealt(drugs.where("dst_kind IN ('target', 'disease')"), n, "dst_id").join(dealt(seen, n, "dst_id"), "dst_id")
+    second = written(met.select(*columns), "hop")
+    users = dealt(second.select("disease", "src_id"), n, "src_id").distinct()
+    third = dealt(drugs.where("dst_kind = 'company'"), n, "src_id").join(users, "src_id")
+    return first.unionByName(second).unionByName(third.select(*columns))

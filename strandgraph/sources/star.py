@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import dealt, partitions
 from ..schemas import KINDS, LICENSES
 
 BASE = 10**10
@@ -45,17 +46,19 @@ def _edge(df: DataFrame, kind: str, src: tuple[str, str], dst: tuple[str, str],
 
 def edges(spark: SparkSession, sf_dir: str, types: list[str] | None = None, least: float | None = None) -> DataFrame:
     """type, src_id, dst_id, src_kind, dst_kind, score; only what the types asked for need is read. With a least score, scored edges
-    below it are left out: a maximum reaches it if one of its values does, so the others are never read."""
+    below it are left out: a maximum reaches it if one of its values does, so the others are never read. Of large tables, joins and groups are dealt
+    over partitions that grow with the lines (counted from the file's footers), so that no task's memory does."""
     t = lambda n: read(spark, sf_dir, n)
     null = F.lit(None)
     scored = lambda: t("lineitem") if least is None else t("lineitem").where(F.col("l_discount") >= least)
-    ordered = lambda: scored().join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    n = partitions(spark, t("lineitem").count()) if types is None or {"inhibits", "manufactured_by", "sponsored_by", "studies"} & set(types) else None
+    ordered = lambda: dealt(scored(), n, "l_orderkey").join(dealt(t("orders").select("o_orderkey", "o_custkey"), n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     made = {
         "associated_with": lambda: _edge(t("customer"), "associated_with", ("disease", "c_nationkey"), ("target", "c_custkey"), (F.col("c_custkey") % 101) / F.lit(100.0)),
-        "inhibits": lambda: _edge(ordered().groupBy("l_partkey", "o_custkey").agg(F.max("l_discount").alias("s")), "inhibits", ("drug", "l_partkey"), ("target", "o_custkey"), F.col("s")),
-        "manufactured_by": lambda: _edge(scored().groupBy("l_partkey", "l_suppkey").agg(F.max("l_discount").alias("s")), "manufactured_by", ("drug", "l_partkey"), ("company", "l_suppkey"), F.col("s")),
-        "sponsored_by": lambda: _edge(t("lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("k")), "sponsored_by", ("trial", "l_orderkey"), ("company", "k"), null),
-        "studies": lambda: _edge(t("lineitem").select("l_orderkey", "l_partkey").distinct(), "studies", ("trial", "l_orderkey"), ("drug", "l_partkey"), null),
+        "inhibits": lambda: _edge(dealt(ordered(), n, "l_partkey", "o_custkey").groupBy("l_partkey", "o_custkey").agg(F.max("l_discount").alias("s")), "inhibits", ("drug", "l_partkey"), ("target", "o_custkey"), F.col("s")),
+        "manufactured_by": lambda: _edge(dealt(scored(), n, "l_partkey", "l_suppkey").groupBy("l_partkey", "l_suppkey").agg(F.max("l_discount").alias("s")), "manufactured_by", ("drug", "l_partkey"), ("company", "l_suppkey"), F.col("s")),
+        "sponsored_by": lambda: _edge(dealt(t("lineitem"), n, "l_orderkey").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("k")), "sponsored_by", ("trial", "l_orderkey"), ("company", "k"), null),
+        "studies": lambda: _edge(dealt(t("lineitem").select("l_orderkey", "l_partkey"), n, "l_orderkey").distinct(), "studies", ("trial", "l_orderkey"), ("drug", "l_partkey"), null),
         "for_condition": lambda: _edge(t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")), "for_condition", ("trial", "o_orderkey"), ("disease", "c_nationkey"), null),
     }
     out = None
