@@ -53,13 +53,16 @@ def nodes_of(edges: DataFrame, *extra: int) -> DataFrame:
 
 
 def neighbours(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
-    """id and hop: the least number of steps along edges, in either direction, up to a bounded number."""
-    both = edges.select("src_id", "dst_id").unionByName(edges.select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"))).distinct()
-    seen = starts.select("id").distinct().withColumn("hop", F.lit(0))
-    front = seen
+    """id and hop: the least number of steps along edges, in either direction, up to a bounded number. A front is written, so that its size is
+    known and a small one is broadcast to the edges, below what they are grouped by: only edges that a front meets are ever shuffled."""
+    seen = front = starts.select("id").distinct().withColumn("hop", F.lit(0))
     for hop in range(1, hops + 1):
-        found = both.join(front.select(F.col("id").alias("src_id")), "src_id", "left_semi").select(F.col("dst_id").alias("id")).distinct()
-        front = found.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop))
+        front = written(front, "front")
+        ends = None
+        for here, there in (("src_id", "dst_id"), ("dst_id", "src_id")):
+            met = edges.select(here, there).join(front.select(F.col("id").alias(here)), here, "left_semi").select(F.col(there).alias("id"))
+            ends = met if ends is None else ends.unionByName(met)
+        front = ends.distinct().join(seen, "id", "left_anti").withColumn("hop", F.lit(hop))
         seen = seen.unionByName(front)
     return seen
 
