@@ -32,16 +32,20 @@ def degrees(edges: DataFrame) -> DataFrame:
 def disease_subgraph(edges: DataFrame, disease_id: int) -> DataFrame:
     """Edges of a disease's view: disease to target; drug to the disease or those targets; those drugs to company.
 
-    The second hop tests a fixed set, so that the result does not depend on the order of edges.
+    The second hop tests a fixed set, so that the result does not depend on the order of edges. Edges are a set. Frontiers are written, so that
+    small ones are broadcast to the edges, below what these are grouped by; an edge is told by the last hop that has it, so the
+    three together need no shuffle.
     """
-    first = edges.where((F.col("src_id") == disease_id) & (F.col("dst_kind") == "target"))
-    seen = first.select("dst_id").distinct()
-    drugs = edges.where(F.col("src_kind") == "drug")
-    second = drugs.join(seen, "dst_id", "left_semi").unionByName(drugs.where(F.col("dst_id") == disease_id))
-    users = second.select("src_id").distinct()
-    third = drugs.where(F.col("dst_kind") == "company").join(users, "src_id", "left_semi")
     columns = ["type", "src_id", "dst_id", "src_kind", "dst_kind", "score"]
-    return first.select(*columns).unionByName(second.select(*columns)).unionByName(third.select(*columns)).distinct()
+    first = edges.where((F.col("src_id") == disease_id) & (F.col("dst_kind") == "target"))
+    own = edges.sparkSession.range(1).select(F.lit(disease_id).cast("long").alias("dst_id"))
+    seen = written(first.select("dst_id").unionByName(own).distinct(), "front")
+    drugs = edges.where("src_kind = 'drug'")
+    second = drugs.join(seen, "dst_id", "left_semi")
+    users = written(second.select("src_id").distinct(), "front")
+    third = drugs.where("dst_kind = 'company'").join(users, "src_id", "left_semi")
+    first = first.where("NOT (src_kind <=> 'drug')").select(*columns).distinct()
+    return first.unionByName(second.where("NOT (dst_kind <=> 'company')").select(*columns)).unionByName(third.select(*columns))
 
 
 def nodes_of(edges: DataFrame, *extra: int) -> DataFrame:

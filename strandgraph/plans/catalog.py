@@ -14,7 +14,6 @@ from ..operators import search as Q
 from ..operators import stats as C
 from ..operators import store as W
 from ..operators import vectors as V
-from ..operators.staging import written
 from ..sources import star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,13 +160,13 @@ u AS (SELECT * FROM a UNION SELECT * FROM b UNION SELECT * FROM c)"""
 
 @query(f"{SUBGRAPH} SELECT * FROM u")
 def subgraph_edges(spark, sf_dir):
-    """The scored edges are aggregated and written once; each hop reads them."""
-    return G.disease_subgraph(written(edges(spark, sf_dir, *SCORED), "edges"), B)
+    """Each hop aggregates the scored edges that its front meets, and no others."""
+    return G.disease_subgraph(edges(spark, sf_dir, *SCORED), B)
 
 
 @query(f"{SUBGRAPH}, {ENTITY} SELECT id, name, kind FROM entity WHERE id = {B} OR id IN (SELECT src_id FROM u) OR id IN (SELECT dst_id FROM u)")
 def subgraph_nodes(spark, sf_dir):
-    ids = G.nodes_of(G.disease_subgraph(written(edges(spark, sf_dir, *SCORED), "edges"), B), B)
+    ids = G.nodes_of(G.disease_subgraph(edges(spark, sf_dir, *SCORED), B), B)
     return entities(spark, sf_dir, "disease", "target", "drug", "company").join(ids, "id", "left_semi").select("id", "name", "kind")
 
 
