@@ -9,19 +9,34 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import graph as G
 from ..operators import search as Q
+from ..operators.staging import partitions
 from ..sources import payloads as P
 from ..sources import star
 from .catalog import ENTITY, entities, query
 
 
+#: Payloads that one task parses, at most.
+PAYLOADS = 1 << 14
+
+
 def text(*parts: str | Column) -> Column:
     """Literals and columns, one after another."""
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
+def tasks(spark, sf_dir, table: str) -> int:
+    """Tasks of PAYLOADS rows of a star table, about."""
+    return partitions(spark, star.read(spark, sf_dir, table).count(), PAYLOADS)
+
+
+def dealt_rows(spark, sf_dir, table: str, key: str) -> DataFrame:
+    """A star table dealt over tasks: its file, small beside the payloads made of it, may be read by a single one."""
+    return star.read(spark, sf_dir, table).repartition(tasks(spark, sf_dir, table), key)
+
+
 def landed(df: DataFrame, json: Column, schema: str, *keep: str) -> DataFrame:
-    """The fields of landed JSON texts, beside the columns kept."""
-    return df.select(*keep, F.from_json(json, schema).alias("landed")).select(*keep, "landed.*")
+    """The fields of landed JSON texts, beside the columns kept. A generator gives them, so that each text is parsed once, whatever reads its fields."""
+    return df.select(*keep, F.inline(F.array(F.from_json(json, schema))))
 
 
 def study_pages(spark, sf_dir) -> DataFrame:
@@ -91,7 +106,8 @@ def load_patent_edges(spark, sf_dir):
     owners = text('"assignees":[{"assignee_organization":"', F.col("p_brand"), '"},{"assignee_organization":', F.when(key % 5 == 0, "null").otherwise(text('"', F.col("p_type"), '"')), '},{"assignee_organization":"third"}]')
     one = lambda i: text('{"patent_number":', F.when((key % 6 == 0) & F.lit(i == 1), "null").otherwise(text('"', 10 * key + i, '"')), ',"patent_title":"",', owners, "}")
     json = text('{"chembl_id":"CHEMBL:', key, '","patents":[', one(0), ",", one(1), ",", one(2), ",", one(3), "]}")
-    return P.patent_rows(landed(star.read(spark, sf_dir, "part"), json, P.PATENTS))["edge"].select("src_cid", "type", "dst_cid")
+    pages = landed(dealt_rows(spark, sf_dir, "part", "p_partkey"), json, P.PATENTS)
+    return P.patent_rows(pages, parts=tasks(spark, sf_dir, "part"))["edge"].select("src_cid", "type", "dst_cid")
 
 
 def mesh_rows(spark, sf_dir) -> DataFrame:

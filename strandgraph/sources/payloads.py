@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators.staging import dealt
 
 DESCRIPTOR = "DescriptorUI string, DescriptorName struct<String:string>, TreeNumberList struct<TreeNumber:array<string>>, ConceptList struct<Concept:array<struct<TermList:struct<Term:array<struct<String:string>>>>>>"
 DAY = "struct<date:string>"
@@ -175,16 +176,17 @@ def patents(spark: SparkSession, path: str | list[str], per_drug: int = 3, assig
     return patent_rows(spark.read.schema(PATENTS).json(path), per_drug, assignees)
 
 
-def patent_rows(page: DataFrame, per_drug: int = 3, assignees: int = 2) -> dict[str, DataFrame]:
-    """patents of parsed pages."""
+def patent_rows(page: DataFrame, per_drug: int = 3, assignees: int = 2, parts: int | None = None) -> dict[str, DataFrame]:
+    """patents of parsed pages; parts: partitions that edges are dealt over before they are made distinct, if shuffles have fewer."""
     p = page.select("chembl_id", F.explode(F.slice("patents", 1, per_drug)).alias("p")).where(S.present(F.col("p.patent_number")))
     number = F.concat(F.lit("PATENT:"), "p.patent_number")
     owners = p.select(number.alias("cid"), F.explode(F.slice("p.assignees", 1, assignees)).alias("a")).select("cid", F.col("a.assignee_organization").alias("org")).where(S.present(F.col("org")))
     title = F.substring(S.first_filled(F.col("p.patent_title"), F.col("p.patent_number"), F.lit("Unknown patent")), 1, 255)
     edge = lambda kind, sk, s, dk, d: (F.lit(sk).alias("src_kind"), s.alias("src_cid"), F.lit(kind).alias("type"), F.lit(dk).alias("dst_kind"), d.alias("dst_cid"))
+    edges = p.select(*edge("protected_by", "drug", F.col("chembl_id"), "patent", number)).unionByName(owners.select(*edge("assigned_to", "patent", F.col("cid"), "company", S.org_key(F.col("org")))))
     return {
         "entity": p.select(F.lit("patent").alias("kind"), number.alias("canonical_id"), title.alias("name")).unionByName(owners.select(F.lit("company").alias("kind"), S.org_key(F.col("org")).alias("canonical_id"), F.substring("org", 1, 255).alias("name"))).dropDuplicates(["kind", "canonical_id"]),
-        "edge": p.select(*edge("protected_by", "drug", F.col("chembl_id"), "patent", number)).unionByName(owners.select(*edge("assigned_to", "patent", F.col("cid"), "company", S.org_key(F.col("org"))))).distinct(),
+        "edge": dealt(edges, parts, "src_cid").distinct(),
     }
 
 
