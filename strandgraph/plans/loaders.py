@@ -116,7 +116,8 @@ def mesh_rows(spark, sf_dir) -> DataFrame:
     terms = text("<Term><String> Seg ", F.col("c_mktsegment"), "</String></Term><Term><String>seg ", F.lower("c_mktsegment"), "</String></Term><Term><String>", F.col("c_name"), "</String></Term><Term><String>n", F.col("c_nationkey"), "</String></Term>")
     tree = text("<TreeNumber>", F.when(key % 2 == 0, "C").otherwise("A"), key % 20, ".1</TreeNumber>")
     xml = text("<DescriptorRecord><DescriptorUI>D", key, "</DescriptorUI><DescriptorName><String>", name, "</String></DescriptorName><TreeNumberList>", tree, "</TreeNumberList><ConceptList><Concept><TermList>", terms, "</TermList></Concept></ConceptList></DescriptorRecord>")
-    return P.descriptors(star.read(spark, sf_dir, "customer").select(F.from_xml(xml, P.DESCRIPTOR).alias("x")).select("x.*"))
+    # Each text is parsed once, in tasks of PAYLOADS at most.
+    return P.descriptors(dealt_rows(spark, sf_dir, "customer", "c_custkey").select(F.inline(F.array(F.from_xml(xml, P.DESCRIPTOR)))))
 
 
 @query("SELECT 'D' || c_custkey AS ui, 'Seg ' || c_mktsegment AS alias FROM customer WHERE c_custkey % 9 <> 0 UNION ALL SELECT 'D' || c_custkey, 'n' || c_nationkey FROM customer WHERE c_custkey % 9 <> 0")
