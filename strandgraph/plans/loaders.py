@@ -42,7 +42,8 @@ def landed(df: DataFrame, json: Column, schema: str, *keep: str) -> DataFrame:
 def study_pages(spark, sf_dir) -> DataFrame:
     key, customer = F.col("o_orderkey"), star.read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
     nation = star.read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    rows = star.read(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    n = tasks(spark, sf_dir, "orders")
+    rows = dealt_rows(spark, sf_dir, "orders", "o_custkey").join(customer.repartition(n, "c_custkey"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
     phases = F.when(key % 4 == 0, '"PHASE3"').when(key % 4 == 1, '["PHASE1","PHASE2"]').when(key % 4 == 2, "[]").otherwise("null")
     json = text(
         '{"protocolSection":{"identificationModule":{"nctId":"', F.when(key % 11 == 0, "").otherwise(text(" ", key, "\\t")), '","officialTitle":"', F.when(key % 3 == 0, "").otherwise(text(" ", F.col("o_orderpriority"))),
@@ -51,7 +52,7 @@ def study_pages(spark, sf_dir) -> DataFrame:
         '"}},"conditionsModule":{"conditions":[" ', F.lower("n_name"), '","nothing",""]},"armsInterventionsModule":{"interventions":[{"type":"', F.when(key % 2 == 0, "drug").otherwise("DEVICE"), '","name":" Item ', key % 50,
         '"},{"type":"Biological","name":""}]}}}',
     )
-    return rows.select(F.struct("o_orderkey").alias("batch_seq"), F.from_json(json, P.STUDY).alias("s"))
+    return rows.select(F.struct("o_orderkey").alias("batch_seq"), F.explode(F.array(F.from_json(json, P.STUDY))).alias("s"))
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS nct_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE o_orderpriority END AS title, o_orderstatus AS overall_status, CASE o_orderkey % 4 WHEN 0 THEN 'PHASE3' WHEN 1 THEN 'PHASE1,PHASE2' END AS phase_raw, CAST(CASE o_orderkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 END AS INTEGER) AS phase_max, CAST(date_trunc('month', o_orderdate) AS DATE) AS start_date, CASE WHEN o_orderkey % 5 <> 0 THEN c_mktsegment || ' & Co.' END AS sponsor_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 11 <> 0")
@@ -64,7 +65,7 @@ SELECT 'NCT:' || o_orderkey AS src_cid, 'sponsored_by' AS type, 'CTG_SPONSOR:' |
 UNION ALL SELECT 'NCT:' || o_orderkey, 'for_condition', 'MESH:' || c_nationkey FROM t UNION ALL SELECT 'NCT:' || o_orderkey, 'studies', 'CTG_INT:item_' || (o_orderkey % 50) FROM t WHERE o_orderkey % 2 = 0""")
 def load_trial_edges(spark, sf_dir):
     labels = entities(spark, sf_dir, "disease").select(F.lower("name").alias("label"), "canonical_id")
-    return P.trial_graph(P.study_rows(study_pages(spark, sf_dir)), labels)["edge"].select("src_cid", "type", "dst_cid")
+    return P.trial_graph(P.study_rows(study_pages(spark, sf_dir)), labels, tasks(spark, sf_dir, "orders"))["edge"].select("src_cid", "type", "dst_cid")
 
 
 @query("""SELECT 'D' || c_nationkey AS mesh_id, 'OPENTARGETS:E' || c_custkey AS canonical_id, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE c_name END AS name, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE (c_custkey % 100) / 128.0::DOUBLE END AS score

@@ -128,21 +128,31 @@ def in_window(day: Column, lo: str | None = None, hi: str | None = None) -> Colu
     return day.isNull() | ok
 
 
-def trial_graph(found: DataFrame, labels: DataFrame) -> dict[str, DataFrame]:
-    """Entities, trial rows and edges of studies; labels is (label, canonical_id), lower-case, one row a label."""
+def trial_graph(found: DataFrame, labels: DataFrame, parts: int | None = None) -> dict[str, DataFrame]:
+    """Entities, trial rows and edges of studies; labels is (label, canonical_id), lower-case, one row a label. A study's edges of all types are
+    made in one pass, so that it is parsed once; parts: partitions that edges are dealt over before they are made distinct, if shuffles have fewer."""
     trial = F.concat(F.lit("NCT:"), "nct_id")
     company = F.concat(F.lit("CTG_SPONSOR:"), S.slug(F.col("sponsor_name")))
     used = found.select("nct_id", F.explode("interventions").alias("i")).where(F.upper("i.type").isin("DRUG", "BIOLOGICAL")).select("nct_id", S.strip(F.col("i.name")).alias("name")).where(S.present(F.col("name")))
     drug = F.concat(F.lit("CTG_INT:"), S.slug(F.col("name")))
-    edge = lambda kind, src, dst_kind, dst: (F.lit("trial").alias("src_kind"), src.alias("src_cid"), F.lit(kind).alias("type"), F.lit(dst_kind).alias("dst_kind"), dst.alias("dst_cid"))
     sponsors = found.where("sponsor_name IS NOT NULL")
-    met = found.select("nct_id", F.explode("conditions").alias("c")).withColumn("label", F.lower("c")).join(labels, "label")
+    end = lambda kind, dst_kind, dst, label: F.struct(F.lit(kind).alias("type"), F.lit(dst_kind).alias("dst_kind"), dst.alias("dst_cid"), label.alias("label"))
+    none = F.lit(None).cast("string")
+    given = F.filter("interventions", lambda i: F.upper(i["type"]).isin("DRUG", "BIOLOGICAL") & S.present(S.strip(i["name"])))
+    ends = F.concat(
+        F.filter(F.array(end("sponsored_by", "company", company, none)), lambda e: e["dst_cid"].isNotNull()),
+        F.transform("conditions", lambda c: end("for_condition", "disease", none, F.lower(c))),
+        F.transform(given, lambda i: end("studies", "drug", F.concat(F.lit("CTG_INT:"), S.slug(S.strip(i["name"]))), none)),
+    )
+    # Only a condition has a label, and its end is the label's entity.
+    ended = found.select(F.lit("trial").alias("src_kind"), trial.alias("src_cid"), F.inline(ends)).join(labels.select("label", "canonical_id"), "label", "left")
+    edges = ended.where("type <> 'for_condition' OR canonical_id IS NOT NULL").select("src_kind", "src_cid", "type", "dst_kind", F.coalesce("dst_cid", "canonical_id").alias("dst_cid"))
     return {
         "entity": found.select(F.lit("trial").alias("kind"), trial.alias("canonical_id"), F.coalesce("title", "nct_id").alias("name"))
         .unionByName(sponsors.select(F.lit("company").alias("kind"), company.alias("canonical_id"), F.col("sponsor_name").alias("name")))
         .unionByName(used.select(F.lit("drug").alias("kind"), drug.alias("canonical_id"), "name")),
         "trial": found.drop("conditions", "interventions"),
-        "edge": sponsors.select(*edge("sponsored_by", trial, "company", company)).unionByName(met.select(*edge("for_condition", trial, "disease", F.col("canonical_id")))).unionByName(used.select(*edge("studies", trial, "drug", drug))).distinct(),
+        "edge": dealt(edges, parts, "src_cid").distinct(),
     }
 
 
