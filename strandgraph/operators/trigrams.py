@@ -15,11 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import like_pattern
-from .staging import new_path
+from .staging import dealt, new_path, partitions
 
 SIZE, END = 3, "\x00"
 #: Partitions of the table, by the first two characters.
 LEADS = 64
+#: Postings that one task sorts, about.
+TASK_POSTINGS = 1 << 21
 
 
 def lead(gram: Column) -> Column:
@@ -59,17 +61,21 @@ def wanted(q: str) -> tuple[list[str], list[str]]:
 
 @dataclass
 class TrigramIndex:
-    """The table (gram, id, lead) in a folder of the shared store."""
+    """The table (gram, id, lead) in a folder of the shared store, of so many parts."""
 
     spark: SparkSession
     path: str
+    parts: int | None = None
 
     @classmethod
     def build(cls, entities: DataFrame, path: str | None = None, key: str = "id", name: str = "name") -> TrigramIndex:
         path = path or new_path(entities.sparkSession, "trigrams")
+        spark = entities.sparkSession
         rows = postings(entities, key, name).withColumn("lead", lead(F.col("gram")))
-        rows.repartition("lead", F.substring("gram", 1, SIZE)).sortWithinPartitions("lead", "gram", "id").write.partitionBy("lead").parquet(path)
-        return cls(entities.sparkSession, path)
+        # Ranges with the id in them cut even one run's postings, however many; they are counted by the lengths of names.
+        parts = partitions(spark, entities.agg(F.coalesce(F.sum(F.length(name)), F.lit(0))).first()[0], TASK_POSTINGS)
+        rows.repartitionByRange(parts, "lead", "gram", "id").sortWithinPartitions("lead", "gram", "id").write.partitionBy("lead").parquet(path)
+        return cls(spark, path, parts)
 
     def table(self, id_type: str = "long") -> DataFrame:
         return self.spark.read.schema(f"gram string, id {id_type}, lead int").parquet(self.path)
@@ -87,7 +93,7 @@ class TrigramIndex:
         rows = self.table().where(here)
         if all(len(p) > 1 for p in short):
             rows = rows.where(F.col("lead").isin(sorted({zlib.crc32(p[:2].encode()) % LEADS for p in [*whole, *short]})))
-        held = rows.groupBy("id").agg(*(F.bool_or(a).alias(f"h{i}") for i, a in enumerate(asked)))
+        held = dealt(rows, self.parts, "id").groupBy("id").agg(*(F.bool_or(a).alias(f"h{i}") for i, a in enumerate(asked)))
         return held.where(" AND ".join(f"h{i}" for i in range(len(asked)))).select("id")
 
 
