@@ -26,6 +26,8 @@ SAMPLE, MOST_CELLS, ROUNDS = 20_000, 4096, 10
 #: Queries by which the number of cells to look at is chosen.
 TUNED = 200
 ROW_BLOCK, QUERY_BLOCK, STEP = 65_536, 2048, 2048
+#: Distances that a task holds at once, and probes that it hands on at once.
+HELD, HANDED = 1 << 20, 8192
 #: Similarities are compared as they are shown, to so many digits; ties go to the least key.
 DIGITS = 6
 
@@ -54,6 +56,21 @@ def fitted(x: np.ndarray, cells: int) -> np.ndarray:
     return centroids
 
 
+def slices(batches, cells: int):
+    """Batches cut into slices whose distances from so many cells are HELD at most."""
+    step = max(1, HELD // max(cells, 1))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def handed(batch: pa.RecordBatch, at: np.ndarray, cells: np.ndarray):
+    """query, unit and cell of a batch's queries (query, unit) at `at`, HANDED rows at a time: each carries its vector."""
+    for lo in range(0, len(at), HANDED):
+        rows = pa.array(at[lo : lo + HANDED])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(cells[lo : lo + HANDED].astype(np.int32))], names=["query", "unit", "cell"])
+
+
 def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's nearest centroid and its distance."""
     apart = distances(x, centroids)
@@ -87,7 +104,7 @@ class VectorIndex:
         centroids = fitted(x, k)
 
         def assign(batches):
-            for batch in batches:
+            for batch in slices(batches, k):
                 if batch.num_rows:
                     own, apart = nearest(matrix(batch.column(1)), centroids)
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(apart)], names=["key", "unit", "cell", "apart"])
@@ -104,11 +121,11 @@ class VectorIndex:
         centroids, used = self.centroids, np.flatnonzero(self.size)
 
         def run(batches):
-            for batch in batches:
+            for batch in slices(batches, len(used)):
                 if batch.num_rows:
                     order = used[np.argsort(distances(matrix(batch.column(1)), centroids[used]), axis=1, kind="stable")[:, :cells]]
                     at = np.repeat(np.arange(len(order)), order.shape[1])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(order.reshape(-1).astype(np.int32))], names=["query", "unit", "cell"])
+                    yield from handed(batch, at, order.reshape(-1))
 
         return queries.mapInArrow(run, self.probe_schema(queries))
 
@@ -122,7 +139,7 @@ class VectorIndex:
         centroids, radius, used = self.centroids, self.radius, np.flatnonzero(self.size)
 
         def run(batches):
-            for batch in batches:
+            for batch in slices(batches, len(used)):
                 if not batch.num_rows:
                     continue
                 apart = distances(matrix(batch.column(1)), centroids[used])
@@ -132,7 +149,7 @@ class VectorIndex:
                 open_ = apart - radius[used][None, :] <= reach[:, None]
                 np.put_along_axis(open_, order[:, :cells], False, axis=1)
                 at, cell = np.nonzero(open_)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(used[cell].astype(np.int32))], names=["query", "unit", "cell"])
+                yield from handed(batch, at, used[cell])
 
         return queries.select("query", "unit", "least").mapInArrow(run, self.probe_schema(queries))
 
