@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import json_merge
 from ..schemas import FOREIGN_KEYS, KEYS, PARTITIONS, TABLES, Link
+from .staging import written
 
 
 class ConstraintError(ValueError):
@@ -99,8 +100,9 @@ def parents_first(links: list[Link]) -> list[str]:
 
 def cascade(tables: dict[str, DataFrame], gone: dict[str, DataFrame], links: list[Link] = FOREIGN_KEYS) -> dict[str, tuple[DataFrame, DataFrame]]:
     """(kept, removed) rows of each table that loses any when rows (gone) are deleted: what refers to them goes too, and what refers to
-    that, through all levels. Tables are taken parents first, so each is joined once for each of its keys. A row that stays but
-    refers to one that goes, by a key that does not cascade, is an error."""
+    that, through all levels. Tables are taken parents first, so each is joined once for each of its keys. The keys that go are written, so that their
+    size is known, and few of them are broadcast to the children. A row that stays but refers to one that goes, by a key that does not
+    cascade, is an error."""
     out: dict[str, tuple[DataFrame, DataFrame]] = {}
     held = [link for link in links if link.child in tables and link.parent in tables]
     order = [*(n for n in parents_first(links) if n in tables), *(n for n in gone if n not in {x for link in links for x in (link.parent, link.child)})]
@@ -113,6 +115,7 @@ def cascade(tables: dict[str, DataFrame], gone: dict[str, DataFrame], links: lis
             continue
         for i, (child_keys, parents, parent_keys) in enumerate(lost):
             named = parents.select(*(F.col(p).alias(f"_{i}_{j}") for j, p in enumerate(parent_keys)), F.lit(True).alias(f"_mark{i}")).distinct()
+            named = written(named, "gone")
             rows = rows.join(named, [F.col(c) == F.col(f"_{i}_{j}") for j, c in enumerate(child_keys)], "left")
             marks.append(F.col(f"_mark{i}").isNotNull())
         any_ = marks[0]

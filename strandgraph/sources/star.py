@@ -19,6 +19,21 @@ def id_of(kind: str, key: Column) -> Column:
     return F.lit(KINDS[kind] * BASE) + key.cast("long")
 
 
+#: An entity's identifier by kind, from its key.
+CIDS = {
+    "disease": lambda key: F.concat(F.lit("MESH:"), key.cast("string")),
+    "target": lambda key: F.concat(F.lit("OPENTARGETS:"), key.cast("string")),
+    "drug": lambda key: F.concat(F.lit("CHEMBL:"), key.cast("string")),
+    "company": lambda key: F.concat(F.lit("cik:"), F.lpad(key.cast("string"), 10, "0")),
+    "trial": lambda key: F.concat(F.lit("NCT:"), key.cast("string")),
+}
+
+
+def canonical_id(kind: Column, number: Column) -> Column:
+    """The identifier of an entity by its kind and id, so that edges need no join to be told by it."""
+    return F.coalesce(*(F.when(kind == k, cid(number - F.lit(KINDS[k] * BASE))) for k, cid in CIDS.items()))
+
+
 def _entity(df: DataFrame, kind: str, key: str, cid: Column, name: Column) -> DataFrame:
     return df.select(F.lit(kind).alias("kind"), cid.alias("canonical_id"), id_of(kind, F.col(key)).alias("id"), name.alias("name"))
 
@@ -26,13 +41,13 @@ def _entity(df: DataFrame, kind: str, key: str, cid: Column, name: Column) -> Da
 def entities(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) -> DataFrame:
     """kind, canonical_id, id, name; only the tables of the kinds asked for are read."""
     t = lambda n: read(spark, sf_dir, n)
-    text = lambda prefix, key: F.concat(F.lit(prefix), F.col(key).cast("string"))
+    cid = lambda kind, key: CIDS[kind](F.col(key))
     made = {
-        "disease": lambda: _entity(t("nation"), "disease", "n_nationkey", text("MESH:", "n_nationkey"), F.col("n_name")),
-        "target": lambda: _entity(t("customer"), "target", "c_custkey", text("OPENTARGETS:", "c_custkey"), F.col("c_name")),
-        "drug": lambda: _entity(t("part"), "drug", "p_partkey", text("CHEMBL:", "p_partkey"), F.col("p_name")),
-        "company": lambda: _entity(t("supplier"), "company", "s_suppkey", F.concat(F.lit("cik:"), F.lpad(F.col("s_suppkey").cast("string"), 10, "0")), F.col("s_name")),
-        "trial": lambda: _entity(t("orders"), "trial", "o_orderkey", text("NCT:", "o_orderkey"), F.concat_ws(" ", "o_orderpriority", F.col("o_orderkey").cast("string"))),
+        "disease": lambda: _entity(t("nation"), "disease", "n_nationkey", cid("disease", "n_nationkey"), F.col("n_name")),
+        "target": lambda: _entity(t("customer"), "target", "c_custkey", cid("target", "c_custkey"), F.col("c_name")),
+        "drug": lambda: _entity(t("part"), "drug", "p_partkey", cid("drug", "p_partkey"), F.col("p_name")),
+        "company": lambda: _entity(t("supplier"), "company", "s_suppkey", cid("company", "s_suppkey"), F.col("s_name")),
+        "trial": lambda: _entity(t("orders"), "trial", "o_orderkey", cid("trial", "o_orderkey"), F.concat_ws(" ", "o_orderpriority", F.col("o_orderkey").cast("string"))),
     }
     out = None
     for kind in kinds or made:
