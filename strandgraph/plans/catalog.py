@@ -14,6 +14,7 @@ from ..operators import search as Q
 from ..operators import stats as C
 from ..operators import store as W
 from ..operators import vectors as V
+from ..operators.staging import partitions
 from ..sources import star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +62,8 @@ def edges(spark, sf_dir, *types):
     return star.edges(spark, sf_dir, list(types) or None)
 
 
+#: Bytes of texts whose words one task groups, about.
+TASK_TEXT = 1 << 23
 SCORED = ("associated_with", "inhibits", "manufactured_by")
 
 
@@ -289,7 +292,10 @@ def json_merge(spark, sf_dir):
 
 @query("SELECT doc_id, lower(w) AS term, min(i) AS pos FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents) WHERE w <> '' GROUP BY ALL")
 def case_insensitive_dedupe(spark, sf_dir):
-    words = star.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w")).where("w <> ''")
+    """Texts are dealt by document before they are cut, so that texts are shuffled, once, and not their words."""
+    docs = star.read(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = partitions(spark, docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0], TASK_TEXT)
+    words = docs.repartition(parts, "doc_id").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w")).where("w <> ''")
     return words.groupBy("doc_id", F.lower("w").alias("term")).agg(F.min(F.col("p") + 1).cast("long").alias("pos"))
 
 
