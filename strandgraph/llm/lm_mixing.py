@@ -4,8 +4,8 @@ Three passes over texts, each narrow; what they hand on grows with the texts:
 
 1. training texts' words are counted (by 64-bit hash, combined before the shuffle, every word of every text) and their pairs of bytes,
    which make the code trees of `mixing`;
-2. each task counts its training texts' decisions in tables of hashed contexts, and learns mixing weights online: at its chunks
-   1, 4, 16, 64 ... it predicts the chunk from what it counted before, and steps down the cost's gradient. Tables are handed over
+2. each task counts its training texts' decisions in tables of hashed contexts, and learns mixing weights online: it predicts every
+   chunk from what it counted before, and steps down the cost's gradient; so every training text teaches the weights. Tables are handed over
    packed, in segments that are added up apart; weights are averaged by the decisions that taught them;
 3. all texts are scored: the mixed model in place, and words by the counts of the most frequent ones (at most HEAD, broadcast);
    the others' words are joined with the table of counts, once a text, so that no frequent word is ever a join key.
@@ -144,15 +144,13 @@ def predictors(texts: DataFrame, tree: M.Tree) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        tree, counts, mixer, learned, k, rows = shared.value, M.Counts(), M.Mixer.new(), 0, 0, 0
+        tree, counts, mixer, learned, rows = shared.value, M.Counts(), M.Mixer.new(), 0, 0
         for batch in batches:
             rows += batch.num_rows
             for part in B.chunks(batch.column(0), CHUNK):
                 for data, bounds in M.pieces(part, B.words(part, B.SPACES)):
-                    if k and not k & (k - 1) and k.bit_length() % 2:
-                        learned += counts.teach(mixer, data, bounds, tree)
+                    learned += counts.teach(mixer, data, bounds, tree)
                     counts.add(data, bounds, tree)
-                    k += 1
         if rows:
             pack, part = zstandard.ZstdCompressor(level=1).compress, TaskContext.get().partitionId()
             for i in range(M.TABLES):
