@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
@@ -14,8 +15,17 @@ from pyspark.sql import types as T
 
 
 _OWN: dict[str, str] = {}
+
+
+@dataclass(frozen=True)
+class Staged:
+    """Where a staged table lies: not the table, whose plan and file listing the driver would hold as long."""
+
+    staged_path: str
+
+
 #: Staged tables that have not been dropped, in the order of their making.
-_STAGED: list[DataFrame] = []
+_STAGED: list[Staged] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,17 +54,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     tidy()
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
-    _STAGED.append(out)
+    _STAGED.append(Staged(path))
     return out
 
 
 def drop(*tables: DataFrame) -> None:
     """Delete staged tables that no later plan reads."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.staged_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        _STAGED[:] = [t for t in _STAGED if t is not table]
+        delete(table.sparkSession, table.staged_path)
+
+
+def delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _STAGED[:] = [t for t in _STAGED if t.staged_path != name]
 
 
 def staged() -> int:
@@ -64,7 +77,9 @@ def staged() -> int:
 
 def sweep(since: int, keep: DataFrame) -> None:
     """Delete the tables staged since then but for one: what they were made for has been written to it."""
-    drop(*(t for t in _STAGED[since:] if t is not keep))
+    for table in _STAGED[since:]:
+        if table.staged_path != keep.staged_path:
+            delete(keep.sparkSession, table.staged_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -152,7 +152,8 @@ BIN_SQL = f"CAST(round({DISTANCE_SCALE} * ln(1 + d2)) AS BIGINT)"
 
 
 def chain(df: DataFrame, steps: list[tuple[str, str]]) -> DataFrame:
-    return reduce(lambda d, s: d.withColumn(s[0], F.expr(s[1])), steps, df)
+    """df with the steps' columns; a step may name those before it, which one select resolves: the driver analyses one plan for all."""
+    return df.select("*", *(F.expr(expression).alias(name) for name, expression in steps))
 
 
 #: Languages and sources up to which a table of groups is broadcast; with more, it is joined by shuffles.
@@ -247,10 +248,11 @@ def least_determinant(vectors: DataFrame, small: bool = False) -> DataFrame:
     rest = [c for c in estimate.columns if c not in ("group_key", "start")]
     best = estimate.groupBy("group_key").agg(F.min(F.struct(F.expr(LOGDET_SQL).alias("logdet"), "start", *rest)).alias("best"))
     estimate = stage(best.select("group_key", "best.start", *(f"best.{c}" for c in rest)), "estimate")
-    same = reduce(lambda a, b: a & b, [F.col(f"new.{c}") == F.col(f"old.{c}") for c in rest])
     for _ in range(MOST_STEPS):
-        before, estimate = estimate, stage(concentrate(vectors, estimate, small), "estimate")
-        if not estimate.alias("new").join(before.alias("old"), "group_key").where(~same).take(1):
+        before = few(estimate.select("group_key", F.struct(*rest).alias("before")), small)
+        found = stage(concentrate(vectors, estimate, small).join(before, "group_key").withColumn("moved", F.struct(*rest) != F.col("before")).drop("before"), "estimate")
+        estimate = found.drop("moved")
+        if not found.where("moved").take(1):
             break
     return estimate
 
