@@ -149,8 +149,9 @@ def predictors(texts: DataFrame, tree: M.Tree) -> DataFrame:
             rows += batch.num_rows
             for part in B.chunks(batch.column(0), CHUNK):
                 for data, bounds in M.pieces(part, B.words(part, B.SPACES)):
-                    learned += counts.teach(mixer, data, bounds, tree)
-                    counts.add(data, bounds, tree)
+                    found = M.contexts(data, bounds, M.coded(bounds))
+                    learned += counts.teach(mixer, data, bounds, tree, found)
+                    counts.add(data, bounds, tree, found)
         if rows:
             pack, part = zstandard.ZstdCompressor(level=1).compress, TaskContext.get().partitionId()
             for i in range(M.TABLES):

@@ -40,6 +40,8 @@ BUCKETS, PRIOR, BLOCK, LATER, LAST = 32, 64.0, 128, 1024, 0.5
 SPACE, END, PAD = 0x20, 0x0A, 8
 #: Bytes of a long text that are predicted at once; a match looks back no further.
 PIECE = 1 << 20
+#: Bytes whose decisions teach the weights at once.
+SLICE = 1 << 15
 INPUTS = TABLES + 2
 LEAST = 2.0**-14
 
@@ -57,10 +59,16 @@ class Tree:
     def path(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Nodes and answers of pairs of bytes, one after another, and how many each has."""
         depth = self.depth[pairs]
-        ends = np.cumsum(depth)
-        flat = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[pairs] - ends + depth, depth)
+        nodes, answers, _ = self.walk(pairs, depth, np.repeat(np.arange(len(pairs)), depth))
+        return nodes, answers, depth
+
+    def walk(self, pairs: np.ndarray, depth: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes and answers of pairs of bytes of these depths, given the pair that each decision belongs to, and where each pair's begin."""
+        begin = np.cumsum(depth) - depth
+        flat = (self.start[pairs] - begin).take(byte, mode="clip")
+        flat += np.arange(len(byte))
         steps = self.steps.take(flat, mode="clip")
-        return steps & np.uint8(63), steps >> 6, depth
+        return steps & np.uint8(63), steps >> 6, begin
 
 
 def paths_of(counts: list[int]) -> list[list[tuple[int, int]]]:
@@ -204,52 +212,67 @@ class Decisions:
 
 def decisions(data: np.ndarray, bounds: np.ndarray, at: np.ndarray, order: np.ndarray, tree: Tree) -> Decisions:
     """The decisions of the bytes at `at`, bytes taken in the given order."""
-    hashes = (contexts(data, bounds, at) & np.uint32(CELLS - 1)).astype(np.int64)[:, order]
-    expected, held = (v[order] for v in matches(data, bounds, at))
-    before = data[at[order] - 1].astype(np.int64) << 8
-    values = before | data[at[order]]
-    nodes, answers, depth = tree.path(values)
+    hashes, (expected, held) = contexts(data, bounds, at), matches(data, bounds, at)
+    return decided(data, at[order], hashes[:, order], expected[order], held[order], tree)
+
+
+def decided(data: np.ndarray, at: np.ndarray, hashes: np.ndarray, expected: np.ndarray, held: np.ndarray, tree: Tree) -> Decisions:
+    """The decisions of the bytes at `at`, whose contexts and matches are given."""
+    before = data[at - 1].astype(np.int64) << 8
+    values = before | data[at]
+    depth = tree.depth[values]
     byte = np.repeat(np.arange(len(values)), depth)
+    nodes, answers, begin = tree.walk(values, depth, byte)
     cells = np.empty((TABLES, len(nodes)), np.int64)
     wide = nodes.astype(np.int64)
+    hashes = (hashes & np.uint32(CELLS - 1)).astype(np.int64)
     for i in range(TABLES):
         hashes[i].take(byte, mode="clip", out=cells[i])
         cells[i] ^= wide
-    until = np.full(len(values), -1)  # the last decision that the match has a say in
+    # what the match says of a decision: no and yes as -1 and 1 until the last one that it has a say in, of which it is wrong unless it is right in all
+    until = np.full(len(values), -1)
     some = np.flatnonzero(held)
     differ = tree.code[values[some]] ^ tree.code[before[some] | expected[some]]
-    until[some] = (np.cumsum(depth) - depth)[some] + np.where(differ == 0, 64, 64 - np.frexp(np.maximum(differ, 1).astype(np.float64))[1])
+    until[some] = begin[some] + np.where(differ == 0, 64, 64 - np.frexp(np.maximum(differ, 1).astype(np.float64))[1])
     until, place = until.take(byte, mode="clip"), np.arange(len(byte))
     match = (2 * (answers ^ (place == until)).astype(np.int8) - 1) * (place <= until)
     return Decisions(cells, match, held.take(byte, mode="clip") * (match != 0), answers, byte)
 
 
 class Counts:
-    """Yes and no counts of each table's cells."""
+    """Yes and no counts of each table's cells, and the cells as bytes."""
 
     def __init__(self):
         self.cells = np.zeros((TABLES, 2 * CELLS), np.uint32)
+        self.codes = np.full((TABLES, CELLS), PACKED[0], np.uint8)
 
-    def add(self, data: np.ndarray, bounds: np.ndarray, tree: Tree) -> None:
-        """Count a stream's decisions. Equal bytes after equal contexts are counted first, so that cells are touched once for each."""
+    def add(self, data: np.ndarray, bounds: np.ndarray, tree: Tree, found: np.ndarray | None = None) -> None:
+        """Count a stream's decisions, in the contexts found if they are known. Equal bytes after equal contexts are counted first, so that
+        cells are touched once for each."""
         at = coded(bounds)
         values = pairs_of(data)[at - 1].astype(np.uint64)
-        for i, hashes in enumerate(contexts(data, bounds, at)):
+        for i, hashes in enumerate(contexts(data, bounds, at) if found is None else found):
             keys = np.sort((hashes.astype(np.uint64) << np.uint64(16)) | values)
             last = np.flatnonzero(np.concatenate((keys[1:] != keys[:-1], np.ones(min(len(keys), 1), bool))))
             often = np.diff(last, prepend=-1).astype(np.uint32)
             nodes, answers, depth = tree.path((keys[last] & np.uint64(0xFFFF)).astype(np.int64))
             cells = (np.repeat((keys[last] >> np.uint64(16)).astype(np.uint32), depth) ^ nodes) & np.uint32(CELLS - 1)
-            np.add.at(self.cells[i], 2 * cells.astype(np.int64) + answers, np.repeat(often, depth))
-
-
-    def teach(self, mixer: Mixer, data: np.ndarray, bounds: np.ndarray, tree: Tree) -> int:
-        """Let the mixer learn from a stream, predicted by the counts so far. Returns the number of decisions."""
-        at = coded(bounds)
-        found = decisions(data, bounds, at, np.arange(len(at)), tree)
-        codes = [packed(c[2 * cells].astype(np.float64), c[2 * cells + 1].astype(np.float64)) for c, cells in zip(self.cells, found.cells)]
-        mixer.learn(codes, found)
-        return found.size
+            cells = cells.astype(np.int64)
+            np.add.at(self.cells[i], 2 * cells + answers, np.repeat(often, depth))
+            self.codes[i][cells] = coded_cells(self.cells[i].view("<u8").take(cells, mode="clip"))
+
+    def teach(self, mixer: Mixer, data: np.ndarray, bounds: np.ndarray, tree: Tree, found: np.ndarray | None = None) -> int:
+        """Let the mixer learn from a stream, predicted by the counts so far, in the contexts found if they are known; SLICE bytes at a
+        time, so that what is made of them stays in a core's cache. Returns the number of decisions."""
+        at, size = coded(bounds), 0
+        hashes = contexts(data, bounds, at) if found is None else found
+        expected, held = matches(data, bounds, at)
+        for lo in range(0, len(at), SLICE):
+            s = slice(lo, lo + SLICE)
+            some = decided(data, at[s], hashes[:, s], expected[s], held[s], tree)
+            mixer.learn([c.take(cells, mode="clip") for c, cells in zip(self.codes, some.cells)], some)
+            size += some.size
+        return size
 
 
 def packed(no: np.ndarray, yes: np.ndarray) -> np.ndarray:
@@ -259,6 +282,18 @@ def packed(no: np.ndarray, yes: np.ndarray) -> np.ndarray:
     return level | (np.searchsorted(SURE, no + yes, "right") << 6).astype(np.uint8)
 
 
+#: Cells as bytes by 256 * no + yes, for counts below 256.
+PACKED = packed(*np.divmod(np.arange(1 << 16, dtype=np.float64), 256))
+
+
+def coded_cells(counts: np.ndarray) -> np.ndarray:
+    """Cells as bytes; counts: no in the lower half of 64 bits, yes in the upper."""
+    out = PACKED.take((counts << np.uint64(8) | counts >> np.uint64(32)).astype(np.uint16))
+    many = np.flatnonzero(counts & np.uint64(0xFFFFFF00FFFFFF00))
+    out[many] = packed((counts[many] & np.uint64(0xFFFFFFFF)).astype(np.float64), (counts[many] >> np.uint64(32)).astype(np.float64))
+    return out
+
+
 LOGITS = np.tile((np.arange(LEVELS, dtype=np.float32) - LEVELS // 2) * np.float32(STEP), 4)
 LOGITS[:LEVELS] = 0.0
 
@@ -269,11 +304,20 @@ def gate(held: np.ndarray, longest: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def squash(x: np.ndarray) -> np.ndarray:
-    return np.clip(1 / (1 + np.exp(-x)), LEAST, 1 - LEAST)
+    out = np.exp(-x)
+    out += 1
+    np.divide(1, out, out=out)
+    np.maximum(out, LEAST, out=out)
+    return np.minimum(out, 1 - LEAST, out=out)
 
 
 def bucket(logit: np.ndarray, held: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(logit * 2) + BUCKETS // 2, 0, BUCKETS - 1).astype(np.uint8) + np.uint8(BUCKETS) * held
+    out = logit * 2
+    np.rint(out, out=out)
+    out += BUCKETS // 2
+    np.maximum(out, 0, out=out)
+    np.minimum(out, BUCKETS - 1, out=out)
+    return out.astype(np.uint8) + np.uint8(BUCKETS) * held
 
 
 @dataclass
@@ -291,20 +335,21 @@ class Mixer:
 
     def learn(self, codes: list[np.ndarray], found: Decisions, rate: float = 0.02, batch: int = 4096) -> None:
         """Online steps down the gradient of the coding cost, over decisions predicted from codes (a table's cells as bytes)."""
-        x = np.empty((found.size, INPUTS))
-        for i in range(TABLES):
-            x[:, i] = LOGITS[codes[i]]
-        x[:, -2], x[:, -1] = found.match * MATCH_LOGIT, 0.3
-        gates = gate(found.held, codes[TABLES - 2], codes[TABLES - 1])
+        x = [*(LOGITS.take(c, mode="clip") for c in codes), found.match * np.float32(MATCH_LOGIT)]
+        gates = gate(found.held, codes[TABLES - 2], codes[TABLES - 1]).astype(np.int64)
+        answers, logit = found.answers.astype(np.float32), np.empty(found.size, np.float32)
         for lo in range(0, found.size, batch):
             s = slice(lo, lo + batch)
-            logit = np.einsum("ij,ij->i", x[s], self.weights[gates[s]])
-            miss = found.answers[s] - squash(logit)
-            where = bucket(logit, found.held[s])
-            self.seen[0] += np.bincount(where, minlength=4 * BUCKETS)
-            self.seen[1] += np.bincount(where, found.answers[s], minlength=4 * BUCKETS)
-            step = np.stack([np.bincount(gates[s], x[s, j] * miss, minlength=GATES) for j in range(INPUTS)], axis=1)
-            self.weights += rate * step / np.sqrt(np.bincount(gates[s], minlength=GATES) + 1.0)[:, None]
+            here, weights = gates[s], self.weights.T.astype(np.float32)
+            out = (np.float32(0.3) * weights[-1]).take(here, mode="clip")
+            for values, w in zip(x, weights):
+                out += values[s] * w.take(here, mode="clip")
+            logit[s] = out
+            miss = answers[s] - squash(out)
+            step = np.stack([*(np.bincount(here, values[s] * miss, minlength=GATES) for values in x), 0.3 * np.bincount(here, miss, minlength=GATES)], axis=1)
+            self.weights += rate * step / np.sqrt(np.bincount(here, minlength=GATES) + 1.0)[:, None]
+        no, yes = np.bincount(bucket(logit, found.held) + found.answers.astype(np.int64) * (4 * BUCKETS), minlength=8 * BUCKETS).reshape(2, -1)
+        self.seen += np.stack((no + yes, yes))
 
 
 @dataclass
@@ -352,7 +397,9 @@ class Model:
         found = decisions(data, bounds, at, order, self.tree)
         logit = self.logits(found)
         first = squash(logit)
-        where = (row[order].astype(np.int64) * (4 * BUCKETS)).take(found.byte, mode="clip") + bucket(logit, found.held)
+        rows = row[order].astype(np.int64).take(found.byte, mode="clip")
+        where = rows * (4 * BUCKETS)
+        where += bucket(logit, found.held)
         all_, yes = np.tile(self.prior[:, None, :], (1, n, 1)).reshape(2, -1) if state is None else state
         p = np.empty(found.size)
         turns = np.searchsorted(found.byte, np.searchsorted(block[order], np.arange((int(block.max()) if len(block) else -1) + 2)))
@@ -368,4 +415,4 @@ class Model:
         p *= LAST
         p += (1 - LAST) * first
         cost = -np.log2(np.abs((1 - found.answers) - p, dtype=np.float32))
-        return np.bincount(row[order].take(found.byte, mode="clip"), cost, minlength=n), np.stack((all_, yes))
+        return np.bincount(rows, cost, minlength=n), np.stack((all_, yes))
