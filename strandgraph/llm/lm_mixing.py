@@ -2,8 +2,8 @@
 
 Three passes over texts, each narrow; what they hand on grows with the texts:
 
-1. training texts' words are counted (by 64-bit hash, combined before the shuffle, every word of every text) and their pairs of bytes,
-   which make the code trees of `mixing`;
+1. training texts' words are counted (by 64-bit hash, combined before the shuffle, every word of every text) and their bytes after a byte and
+   the class of the one before it, which make the code trees of `mixing`;
 2. each task counts its training texts' decisions in tables of hashed contexts, and learns mixing weights online: it predicts every
    chunk from what it counted before, and steps down the cost's gradient; so every training text teaches the weights. Tables are handed over
    packed, in segments that are added up apart; weights are averaged by the decisions that taught them;
@@ -22,7 +22,7 @@ The model's score is of the lower-cased words with a space after each, and the e
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,10 @@ HEAD = 1 << 18
 SEGMENTS, CHUNK, SCORED = 64, 1 << 18, 1 << 16
 #: Tasks whose counts of a segment are added up in one task.
 FAN = 256
+#: A byte after a class and a byte that is not one in 2 ** RARE is counted as never seen in the code trees.
+RARE = 18
+#: Upper bits of a word's hash that tell where to look for it in the head.
+SLOT_BITS = 20
 #: Words that a task counts before it combines them.
 GATHER = 1 << 20
 
@@ -79,10 +83,10 @@ def fold(doc_id: Column) -> Column:
 
 
 def counted(texts: DataFrame) -> DataFrame:
-    """kind 0: a word's hash and count; kind 1: two bytes in a row and their count; kind 2: the number of texts."""
+    """kind 0: a word's hash and count; kind 1: a byte after a class and a byte, and their count; kind 2: the number of texts."""
 
     def run(batches):
-        held, n, pairs, rows = [], 0, np.zeros(1 << 16, np.int64), 0
+        held, n, triples, rows = [], 0, np.zeros(M.CLASSES << 16, np.int64), 0
 
         def told(kind, keys, counts):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.int64) if kind else keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["kind", "key", "n"])
@@ -91,7 +95,7 @@ def counted(texts: DataFrame) -> DataFrame:
             rows += batch.num_rows
             for part in B.chunks(batch.column(0), CHUNK):
                 found = B.words(part, B.SPACES)
-                pairs += np.bincount(M.pairs_of(PLAIN[part.data]), minlength=1 << 16)
+                np.add.at(triples, M.triples_of(PLAIN.take(part.data)), 1)
                 held.append(B.word_hashes(part, found))
                 n += len(held[-1])
                 if n > GATHER:
@@ -100,8 +104,7 @@ def counted(texts: DataFrame) -> DataFrame:
         if n:
             yield told(0, *np.unique(np.concatenate(held), return_counts=True))
         if rows:
-            pairs[256 * M.SPACE + M.END] += rows
-            yield told(1, np.flatnonzero(pairs), pairs[pairs > 0])
+            yield told(1, np.flatnonzero(triples), triples[triples > 0])
             yield told(2, np.zeros(1), np.full(1, rows))
 
     return map_arrow(texts, run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -124,17 +127,21 @@ def head_of(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def word_model(texts: DataFrame, most: int = HEAD) -> tuple[WordModel, np.ndarray]:
-    """The word model of texts (one column), and the counts of their stream's pairs of bytes (but for repeated white space)."""
+    """The word model of texts (one column), and the counts of their stream's bytes by 65536 * class + 256 * before + byte (but for repeated white space, and
+    for those so rare that a tree need not know them)."""
     found = stage(counted(texts), "words")
     counts = found.where("kind = 0").select(F.col("key").alias("token"), "n")
-    pairs, rows = np.zeros(1 << 16, np.int64), 0
-    for r in found.where("kind > 0").collect():  # at most 65,537 rows
-        if r["kind"] == 1:
-            pairs[r["key"]] = r["n"]
-        else:
-            rows = r["n"]
-    sums = counts.agg(F.count("*").alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
-    return WordModel(counts, sums["total"] + rows, sums["kinds"] + (rows > 0), rows, *head_of(counts, most)), pairs
+    sums = {r["kind"]: r for r in found.groupBy("kind").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).collect()}
+    kinds, total = (sums[0]["kinds"], sums[0]["total"]) if 0 in sums else (0, 0)
+    rows = sums[2]["total"] if 2 in sums else 0
+    triples = np.zeros((M.CLASSES, 256, 256), np.int64)
+    if 1 in sums:
+        for r in found.where((F.col("kind") == 1) & (F.col("n") >= sums[1]["total"] >> RARE)).select("key", "n").collect():  # at most 2 ** RARE rows
+            triples.reshape(-1)[r["key"]] = r["n"]
+    # a text's end comes after a space; after which class is not counted
+    spaces = triples[:, M.SPACE].sum(axis=1)
+    triples[:, M.SPACE, M.END] += rows * (spaces + 1) // int(spaces.sum() + M.CLASSES)
+    return WordModel(counts, total + rows, kinds + (rows > 0), rows, *head_of(counts, most)), triples.reshape(-1)
 
 
 def predictors(texts: DataFrame, tree: M.Tree) -> DataFrame:
@@ -149,7 +156,7 @@ def predictors(texts: DataFrame, tree: M.Tree) -> DataFrame:
             rows += batch.num_rows
             for part in B.chunks(batch.column(0), CHUNK):
                 for data, bounds in M.pieces(part, B.words(part, B.SPACES)):
-                    found = M.contexts(data, bounds, M.coded(bounds))
+                    found = M.met(data, bounds, tree)
                     learned += counts.teach(mixer, data, bounds, tree, found)
                     counts.add(data, bounds, tree, found)
         if rows:
@@ -192,8 +199,8 @@ def summed(found: DataFrame) -> DataFrame:
     return added_up(parts, last=True)
 
 
-def bit_model(texts: DataFrame, pairs: np.ndarray) -> M.Model:
-    tree = M.tree_of(pairs)
+def bit_model(texts: DataFrame, triples: np.ndarray) -> M.Model:
+    tree = M.tree_of(triples)
     found = stage(predictors(texts, tree), "predictors")
     cells, unpack = np.full((M.TABLES, SEGMENTS, M.CELLS // SEGMENTS), M.LEVELS // 2, np.uint8), zstandard.ZstdDecompressor().decompress
     for r in summed(found).collect():  # CELLS bytes a table
@@ -212,8 +219,29 @@ def bit_model(texts: DataFrame, pairs: np.ndarray) -> M.Model:
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", head: int = HEAD) -> LanguageModel:
     """Models of the texts whose fold is not HELD_OUT."""
     texts = docs.where(fold(F.col(doc_id)) != HELD_OUT).select(text)
-    words, pairs = word_model(texts, head)
-    return LanguageModel(words, bit_model(texts, pairs))
+    words, triples = word_model(texts, head)
+    return LanguageModel(words, bit_model(texts, triples))
+
+
+def slots_of(head: np.ndarray) -> np.ndarray:
+    """By the upper bits of a hash, the place in head of the first that has them (that of the last, if none has)."""
+    return np.minimum(np.searchsorted(head, np.arange(1 << SLOT_BITS, dtype=np.uint64) << np.uint64(64 - SLOT_BITS)), max(len(head) - 1, 0))
+
+
+def found_in(head: np.ndarray, slots: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes' places in head (sorted), and whether they are there. Most are where their upper bits say; only those of head's few that share these with one before are
+    searched for."""
+    if not len(head):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    place = slots.take((hashes >> np.uint64(64 - SLOT_BITS)).view(np.int64))
+    at = head.take(place)
+    common = at == hashes
+    after = np.flatnonzero(at < hashes)
+    further = np.minimum(place[after] + 1, len(head) - 1)
+    after = after[head[further] <= hashes[after]]
+    place[after] = np.minimum(np.searchsorted(head, hashes[after]), len(head) - 1)
+    common[after] = head[place[after]] == hashes[after]
+    return place, common
 
 
 def scored(docs: DataFrame, model: LanguageModel, text: str, keep: list[str]) -> DataFrame:
@@ -229,6 +257,7 @@ def scored(docs: DataFrame, model: LanguageModel, text: str, keep: list[str]) ->
 
     def run(batches):
         bits, head, logs = shared.value
+        bits, slots = replace(bits, cells=bits.cells.copy()), slots_of(head)  # a copy lies in large pages, where random places are read faster
         for batch in batches:
             for part in B.chunks(batch.column(1 + len(keep)), SCORED):
                 here = batch.slice(part.first, part.n)
@@ -236,8 +265,7 @@ def scored(docs: DataFrame, model: LanguageModel, text: str, keep: list[str]) ->
                 n = np.diff(found.rows)
                 at = np.repeat(np.arange(part.n), n)
                 hashes = B.word_hashes(part, found)
-                place = np.minimum(np.searchsorted(head, hashes), max(len(head) - 1, 0))
-                common = head[place] == hashes if len(head) else np.zeros(len(hashes), bool)
+                place, common = found_in(head, slots, hashes)
                 base = np.bincount(at[common], logs[place[common]], minlength=part.n) + end
                 known = np.bincount(at[common], minlength=part.n) + end_known
                 cost, size, state = np.zeros(part.n), np.zeros(part.n, np.int64), None
